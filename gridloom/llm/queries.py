@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from gridloom.llm import exact_dedup, mixing, sharding
+from gridloom.llm import exact_dedup, mixing, packing, sharding, tokens, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_mixing": mixing.op1_mixing,
+        "op2_token_counts": tokens.op2_token_counts,
         "op4_sharding": sharding.op4_sharding,
+        "op6_toxicity": toxicity.op6_toxicity,
+        "op7_best_fit_packing": packing.op7_best_fit_packing,
         "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     }
 
