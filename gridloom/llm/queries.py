@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gridloom.llm import exact_dedup, mixing, packing, sharding, tokens, toxicity
+from gridloom.llm import exact_dedup, fingerprints, mixing, packing, sharding, substring_dedup, suffix_dedup, tokens, toxicity
 
 
 def queries() -> dict:
@@ -10,9 +10,12 @@ def queries() -> dict:
         "op1_mixing": mixing.op1_mixing,
         "op2_token_counts": tokens.op2_token_counts,
         "op4_sharding": sharding.op4_sharding,
+        "op5_substring_dedup": substring_dedup.op5_substring_dedup,
         "op6_toxicity": toxicity.op6_toxicity,
         "op7_best_fit_packing": packing.op7_best_fit_packing,
         "op8_exact_dedup": exact_dedup.op8_exact_dedup,
+        "op9_fingerprints": fingerprints.op9_fingerprints,
+        "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
     }
 
 
