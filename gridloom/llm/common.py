@@ -77,3 +77,17 @@ def running(df: DataFrame, group: list[str], bucket: str, order: list[Column], v
     on = [left[c].eqNullSafe(sums[f"__r_{c}"]) for c in by]
     joined = left.join(sums, on)
     return joined.withColumn(into, (F.col("__within") + F.col("__before")).cast("long")).drop("__within", "__before", *[f"__r_{c}" for c in by])
+
+
+def kept_rows(docs: DataFrame, kept: DataFrame, key: Column, id_col: str = "doc_id") -> DataFrame:
+    """The rows of ``docs``, all columns as they are, that ``kept`` (id, key, and times if not 1) names.
+
+    ``key`` is what tells rows with one identifier apart. Of rows with equal identifier and key one stays.
+    """
+    none = F.lit(-(2**63))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce(F.col(id_col).cast("long"), none).alias("id"), key.alias("key"))
+    times = F.col("times") if "times" in kept.columns else F.lit(1)
+    named = kept.select(F.coalesce(F.col("id").cast("long"), none).alias("id"), "key", times.alias("times")).filter("times > 0")
+    nth = F.row_number().over(W.partitionBy("id", "key").orderBy("id", "key"))
+    found = rows.join(named, ["id", "key"]).withColumn("nth", nth).filter("nth = 1")
+    return found.withColumn("time", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).select("row.*")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import BUCKETS, fraction, running, staged, word_count
+from gridloom.llm.common import BUCKETS, fraction, kept_rows, running, staged, text_of, word_count
 
 ROUNDS = 24
 #: Slots that one row of the slot generator makes.
@@ -59,11 +59,11 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: fl
     Null texts and texts without words have size 0 and are never taken; null sources are a source;
     repeated rows are separate stretches of the stream; an empty table gives empty results.
 
-    Returns the tables ``documents`` (id, source, size, source_size, target, taken), ``slots`` (src,
+    Returns the tables ``documents`` (id, th (a hash of the text), source, size, source_size, target, taken), ``slots`` (src,
     slot, shard, index, words) and ``pieces`` (id, src, index, first, last: the words of a block
     that are the document's). The same input gives the same mix.
     """
-    sized = staged(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(text_col).alias("size")), "sizes")
+    sized = staged(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(text_col).alias("size"), F.xxhash64(text_of(text_col)).alias("th")), "sizes")
     targets = staged(source_targets(sized, weights, share, repeat), "targets")
     n = F.ceil(F.col("source_size") / block).cast("long")
     quota = F.round("target").cast("long")
@@ -84,19 +84,30 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: fl
     named = sized.join(targets.select(F.col("source").alias("of"), "src", "source_size", "target"), F.col("source").eqNullSafe(F.col("of"))).drop("of")
     h = F.xxhash64(F.lit(seed + 2), F.col("id"))
     rows = named.withColumn("h", h).withColumn("bucket", F.pmod(F.shiftrightunsigned("h", 40), F.lit(BUCKETS)).cast("int"))
-    rows = running(rows.filter("size > 0"), ["src"], "bucket", [F.col("h"), F.col("id"), F.col("size")], F.col("size"), "first")
+    rows = running(rows.filter("size > 0"), ["src"], "bucket", [F.col("h"), F.col("id"), F.col("th")], F.col("size"), "first")
     pieces = rows.withColumn("index", F.explode(F.sequence(F.floor(F.col("first") / block), F.floor((F.col("first") + F.col("size") - 1) / block))))
     lo = F.greatest(F.col("first") - F.col("index") * block, F.lit(0)).alias("from_word")
     hi = F.least(F.col("first") + F.col("size") - F.col("index") * block, F.lit(block)).alias("to_word")
-    pieces = pieces.select("id", "src", "source", "size", "source_size", "target", F.col("first").alias("stream_at"), "index", lo, hi)
+    pieces = pieces.select("id", "th", "src", "source", "size", "source_size", "target", F.col("first").alias("stream_at"), "index", lo, hi)
     used = slots.select(F.col("src").alias("s_src"), F.col("index").alias("s_index"), "words")
     got = F.greatest(F.least("to_word", "words") - F.col("from_word"), F.lit(0))
-    taken = pieces.join(used, (F.col("src") == F.col("s_src")) & (F.col("index") == F.col("s_index")), "left").groupBy("id", "source", "size", "source_size", "target", "stream_at").agg(F.coalesce(F.sum(got), F.lit(0)).cast("long").alias("taken"))
-    keep = ["id", "source", "size", "source_size", "target"]
+    taken = pieces.join(used, (F.col("src") == F.col("s_src")) & (F.col("index") == F.col("s_index")), "left").groupBy("id", "th", "source", "size", "source_size", "target", "stream_at").agg(F.coalesce(F.sum(got), F.lit(0)).cast("long").alias("taken"))
+    keep = ["id", "th", "source", "size", "source_size", "target"]
     result = taken.select(*keep, "taken").unionByName(named.filter("size = 0").select(*keep, F.lit(0).cast("long").alias("taken")))
     return {"documents": result, "slots": slots, "pieces": pieces}
 
 
+def drawn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed: int = 1, **how) -> DataFrame:
+    """The rows of ``docs`` as often as the mix takes them.
+
+    The mix cuts documents at blocks; here a document is drawn as a whole, taken / size times, a fraction
+    by a hash of the document, so that the words drawn come to those taken on average. Documents without words stay once.
+    """
+    mixed = mix_sources(docs, id_col=id_col, text_col=text_col, seed=seed, **how)["documents"]
+    times = F.when(F.col("size") == 0, 1).otherwise(F.floor(F.col("taken") / F.col("size") + fraction(F.lit(seed + 3), F.col("id"), F.col("th"))))
+    return kept_rows(docs, mixed.groupBy("id", F.col("th").alias("key")).agg(F.sum(times).cast("int").alias("times")), F.xxhash64(text_of(text_col)), id_col)
+
+
 def op1_mixing(spark, sf_dir):
     mixed = mix_sources(spark.read.parquet(f"{sf_dir}/documents.parquet"))["documents"]
     return mixed.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from gridloom.llm import exact_dedup, fingerprints, mixing, packing, sharding, substring_dedup, suffix_dedup, tokens, toxicity
+from gridloom.llm import exact_dedup, fingerprints, minhash, mixing, packing, sharding, substring_dedup, suffix_dedup, tokens, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_mixing": mixing.op1_mixing,
         "op2_token_counts": tokens.op2_token_counts,
+        "op3_minhash": minhash.op3_minhash,
         "op4_sharding": sharding.op4_sharding,
         "op5_substring_dedup": substring_dedup.op5_substring_dedup,
         "op6_toxicity": toxicity.op6_toxicity,

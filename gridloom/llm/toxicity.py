@@ -166,6 +166,19 @@ def score(docs: DataFrame, model: dict[str, float], id_col: str = "doc_id", text
     return out.select(F.col("id").alias(id_col), held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "offending")
 
 
+def without_toxic(docs: DataFrame, model: dict[str, float], text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns as they are, whose text scores below 0.5."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # FEATURES words at most
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights = Weights(sent.value)
+        for b in batches:
+            yield b.filter(pa.array([score_text(t.as_py() or "", weights)[0] < 0.5 for t in b.column(at)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op6_toxicity(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return score(docs, train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
