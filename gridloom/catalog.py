@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window as W
-from pyspark.sql import functions as F
-
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
+from gridloom import registry
+from gridloom.plans import pixel_queries, stencil_queries  # noqa: F401  they register themselves
 
 
 def queries() -> dict:
-    return QUERIES
+    return registry.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return ORACLE
+    return registry.ORACLE
