@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import release, staged, text_of
+from gridloom.llm.common import discard, release, staged, text_of
 
 _rng = np.random.default_rng(20240229)
 BYTE_VALUES = _rng.integers(0, 2**64, (2, 256), np.uint64)
@@ -30,6 +30,8 @@ INVERSES = tuple(pow(b, -1, 2**64) for b in BASES)
 #: Rows that a task hands on at a time.
 FLUSH = 200_000
 NULL_ID = -(2**63)
+#: A context's number and the distance of a window from its anchor (below this) are kept as one number.
+CODES = 256
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 
@@ -108,7 +110,7 @@ def anchors_of(u: Units, gram: int, width: int) -> tuple[np.ndarray, ...]:
 
 
 def blocks_of(u: Units, length: int, width: int, size: int, cid: np.ndarray, cls: np.ndarray, pos: np.ndarray, low: np.ndarray, high: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Runs of windows cut at multiples of ``size``: (cid, n, lo, hi, class key, inner hash, outer hash).
+    """Runs of windows cut at multiples of ``size``: (code of context and first window, n, class key, inner hash, last window, outer hash).
 
     ``inner`` is what all windows of the whole block have in common, ``outer`` all that the windows
     of the run within it cover. With ``size`` 1 both are the window.
@@ -123,7 +125,7 @@ def blocks_of(u: Units, length: int, width: int, size: int, cid: np.ndarray, cls
     key = mixed(cls[own].view(np.uint64) ^ mixed((block + 1).astype(np.uint64)))
     inner = u.hashes[1].of(p - a, p + length - b)
     outer = inner if size == 1 else u.hashes[1].of(p - hi, p + length - lo) ^ mixed((lo * 65536 + hi + 1).astype(np.uint64))
-    return cid[own], n[own], lo, hi, key.view(np.int64), inner.view(np.int64), outer.view(np.int64)
+    return cid[own] * CODES + lo, n[own], key.view(np.int64), inner.view(np.int64), hi, outer.view(np.int64)
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -137,49 +139,52 @@ def joined_words(data: bytes) -> bytes:
 
 
 def scan(texts: DataFrame, words: bool, gram: int, width: int) -> DataFrame:
-    """All anchors, and for each text a row with ``sha`` (of the text with nothing removed) and its units in ``n``."""
-    names = ["id", "th", "pos", "low", "high", "cls", "ctx", "n", "sha"]
-    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
+    """Rows of two kinds: a summary of each text (uid, id, th, its units in n, sha of the text with nothing removed), and its anchors (uid, pos, span, cls, ctx)."""
+    names = ["uid", "pos", "span", "cls", "ctx", "id", "th", "n", "sha"]
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list] = [[] for _ in names[:7]]
+        from pyspark import TaskContext
+
+        held: list[list] = [[] for _ in names[:5]]
         rows = 0
+        uid = TaskContext.get().partitionId() << 32
 
         def out() -> pa.RecordBatch:
             cols = [np.concatenate(h) for h in held]
             for h in held:
                 h.clear()
-            n = len(cols[0])
-            return pa.RecordBatch.from_arrays([*[pa.array(c, k) for c, k in zip(cols, kinds, strict=False)], pa.nulls(n, pa.int64()), pa.nulls(n, pa.string())], names)
+            return pa.RecordBatch.from_arrays([*[pa.array(c, k) for c, k in zip(cols, kinds, strict=False)], *[pa.nulls(len(cols[0]), k) for k in kinds[5:]]], names)
 
         for b in batches:
-            sizes, shas = [], []
-            for i, th, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+            uids, sizes, shas = [], [], []
+            for text in b.column(2):
                 data = text.as_py().encode()
                 u = Units(data, words)
+                uid += 1
+                uids.append(uid)
                 sizes.append(u.n)
                 shas.append(hashlib.sha256(joined_words(data) if words else data).hexdigest())
-                found = anchors_of(u, gram, width)
-                k = len(found[0])
-                if k:
-                    for h, v in zip(held, [np.full(k, i), np.full(k, th), *found], strict=True):
+                pos, low, high, cls, ctx = anchors_of(u, gram, width)
+                if len(pos):
+                    for h, v in zip(held, [np.full(len(pos), uid), pos, low * CODES + high, cls, ctx], strict=True):
                         h.append(v)
-                    rows += k
+                    rows += len(pos)
                     if rows > FLUSH:
                         yield out()
                         rows = 0
-            m = b.num_rows
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *[pa.nulls(m, k) for k in kinds[2:7]], pa.array(sizes, pa.int64()), pa.array(shas)], names)
+            yield pa.RecordBatch.from_arrays([pa.array(uids, pa.int64()), *[pa.nulls(b.num_rows, k) for k in kinds[1:5]], b.column(0), b.column(1), pa.array(sizes, pa.int64()), pa.array(shas, pa.string())], names)
         if rows:
             yield out()
 
-    return texts.mapInArrow(run, "id long, th long, pos int, low int, high int, cls long, ctx long, n long, sha string")
+    return texts.mapInArrow(run, "uid long, pos int, span int, cls long, ctx long, id long, th long, n long, sha string")
 
 
 def level(held: DataFrame, words: bool, length: int, width: int, size: int) -> DataFrame:
     """The blocks of ``size`` of the runs in ``runs`` (cid, cls, pos, low, high, n) of each text."""
-    names = ["cid", "n", "lo", "hi", "key", "inner", "outer"]
-    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+    names = ["code", "n", "key", "inner", "hi", "outer"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
+    kept = 4 if size == 1 else 6
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -189,20 +194,22 @@ def level(held: DataFrame, words: bool, length: int, width: int, size: int) -> D
                 cid, cls, n = cols[0], cols[1], cols[5]
                 pos, low, high = (c.astype(np.int64) for c in cols[2:5])
                 found = blocks_of(Units(text.as_py().encode(), words), length, width, size, cid, cls, pos, low, high, n)
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(found, kinds, strict=True)], names)
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(found[:kept], kinds, strict=False)], names[:kept])
 
-    return held.mapInArrow(run, "cid long, n long, lo int, hi int, key long, inner long, outer long")
+    return held.mapInArrow(run, "code long, n long, key long, inner long" + ", hi int, outer long" * (size > 1))
 
 
 def decide(rows: DataFrame) -> DataFrame:
-    """Blocks with ``total``, the windows like theirs, and ``alike``: all with this inner part have the same runs.
+    """Blocks whose common part is not unique, with the sum of their counts, the first such block (``source``), and
+    whether all of them have the same windows (``alike``).
 
-    The counts are aggregated before they are shuffled and are joined back, so that a window shared by
+    Counts are aggregated before they are shuffled and are joined back, so a window shared by
     many contexts is split by the skew join.
     """
     by = ["key", "inner"]
-    stats = rows.groupBy(*by).agg(F.sum("n").alias("total"), (F.min("outer") == F.max("outer")).alias("alike"), F.min(F.struct("cid", "lo")).alias("source")).filter("total > 1")
-    return rows.join(stats, by)
+    alike = F.min("outer") == F.max("outer") if "outer" in rows.columns else F.lit(True)
+    stats = rows.groupBy(*by).agg(F.sum("n").alias("total"), F.min("code").alias("source"), alike.alias("alike")).filter("total > 1")
+    return rows.drop("n", "outer").join(stats, by).drop(*by).withColumn("cid", F.shiftright("code", 8)).withColumn("lo", (F.col("code") % CODES).cast("int"))
 
 
 def repeated_runs(docs: DataFrame, words: bool, gram: int, width: int, sizes: tuple[int, ...], name: str, id_col: str, text_col: str, compact: Callable[[DataFrame], DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
@@ -212,43 +219,49 @@ def repeated_runs(docs: DataFrame, words: bool, gram: int, width: int, sizes: tu
     into shorter blocks, whose common part is longer, until it is the whole window. A block whose
     common part is unique drops out, and one whose windows are the same wherever they occur is done.
     """
+    spark = docs.sparkSession
     length = gram + width - 1
     texts = keyed(docs, id_col, text_col)
     scanned = staged(scan(texts, words, gram, width), f"{name}-anchors")
-    summary = scanned.filter("sha is not null").select("id", "th", "n", "sha")
-    anchors = scanned.filter("sha is null").select("id", "th", "pos", "low", "high", "cls", "ctx")
-    by = ["cls", "ctx", "low", "high"]
-    contexts = anchors.groupBy(*by).agg(F.count("*").alias("n"), F.min(F.struct("id", "th", "pos")).alias("at"))
-    classes = contexts.groupBy("cls").agg(F.sum("n").alias("total"), F.count("*").alias("kinds")).filter("total > 1")
-    contexts = staged(contexts.join(classes, "cls").withColumn("cid", F.monotonically_increasing_id()), f"{name}-contexts")
-    release(docs.sparkSession)
-
-    hits = anchors.join(contexts.select(*by, "cid"), by).groupBy("id", "th").agg(F.collect_list(F.struct("pos", "cid")).alias("hits"))
-    open_ = contexts.filter("kinds > 1").select(F.col("at.id").alias("id"), F.col("at.th").alias("th"), F.struct("cid", "cls", "at.pos", "low", "high", "n").alias("run"))
-    runs = open_.groupBy("id", "th").agg(F.collect_list("run").alias("runs"))
-    once = F.row_number().over(W.partitionBy("id", "th").orderBy("id", "th"))
-    held = texts.join(hits, ["id", "th"]).join(runs, ["id", "th"], "left").withColumn("__nth", once).filter("__nth = 1").drop("__nth")
-    held = staged(held, f"{name}-texts")
-    release(docs.sparkSession)
+    summary = staged(scanned.filter("sha is not null").select("uid", "id", "th", "n", "sha"), f"{name}-summary")
+    anchors = scanned.filter("sha is null").select("uid", "pos", "span", "cls", "ctx")
+    common = anchors.groupBy("cls").agg(F.count("*").alias("k")).filter("k > 1").select("cls")
+    repeated = staged(anchors.join(common, "cls", "left_semi"), f"{name}-repeated")
+    discard(scanned)
+    release(spark)
+
+    by = ["cls", "ctx", "span"]
+    contexts = repeated.groupBy(*by).agg(F.count("*").alias("n"), F.min(F.struct("uid", "pos")).alias("at"))
+    kinds = contexts.groupBy("cls").agg(F.count("*").alias("kinds"))
+    contexts = contexts.join(kinds, "cls").withColumn("cid", F.monotonically_increasing_id())
+    contexts = staged(contexts.withColumn("low", F.shiftright("span", 8)).withColumn("high", F.col("span") % CODES), f"{name}-contexts")
+    hits = repeated.join(contexts.select(*by, "cid"), by).groupBy("uid").agg(F.collect_list(F.struct("pos", "cid")).alias("hits"))
+    run = F.struct("cid", "cls", "at.pos", "low", "high", "n").alias("run")
+    runs = contexts.filter("kinds > 1").select(F.col("at.uid").alias("uid"), run).groupBy("uid").agg(F.collect_list("run").alias("runs"))
+    wanted = hits.join(runs, "uid", "left").join(summary.select("uid", "id", "th"), "uid")
+    once = F.row_number().over(W.partitionBy("id", "th", "uid").orderBy("id", "th", "uid"))
+    held = staged(texts.join(wanted, ["id", "th"]).withColumn("nth", once).filter("nth = 1").select("uid", "text", "hits", "runs"), f"{name}-texts")
+    discard(repeated)
+    release(spark)
 
     done = contexts.filter("kinds = 1").select("cid", F.col("low").alias("lo"), F.col("high").alias("hi"))
     at = held.filter("runs is not null").select("text", "runs")
     for size in sizes:
         blocks = decide(level(at, words, length, width, size))
         if size == 1:
-            ends = compact(blocks) if compact else blocks.select("cid", "lo", "hi")
-            done = done.unionByName(ends)
+            blocks = blocks.repartition("cid")  # a context has at most ``width`` rows
+            done = done.unionByName(compact(blocks) if compact else blocks.select("cid", "lo", F.col("lo").alias("hi")))
             break
         blocks = staged(blocks, f"{name}-blocks")
         done = done.unionByName(blocks.filter("alike").select("cid", "lo", "hi"))
         more = blocks.filter("not alike").select("cid", "lo", "hi").join(contexts.select("cid", "cls", "n", "at"), "cid")
-        more = more.select(F.col("at.id").alias("id"), F.col("at.th").alias("th"), F.struct("cid", "cls", "at.pos", F.col("lo").alias("low"), F.col("hi").alias("high"), "n").alias("run"))
-        at = held.select("id", "th", "text").join(more.groupBy("id", "th").agg(F.collect_list("run").alias("runs")), ["id", "th"]).select("text", "runs")
+        more = more.select(F.col("at.uid").alias("uid"), F.struct("cid", "cls", "at.pos", F.col("lo").alias("low"), F.col("hi").alias("high"), "n").alias("run"))
+        at = held.select("uid", "text").join(more.groupBy("uid").agg(F.collect_list("run").alias("runs")), "uid").select("text", "runs")
     spans = staged(done.groupBy("cid").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")), f"{name}-spans")
-    release(docs.sparkSession)
-    found = held.select("id", "th", F.explode("hits").alias("hit")).select("id", "th", "hit.pos", "hit.cid").join(spans, "cid")
-    found = found.select("id", "th", "pos", F.explode("spans").alias("s")).groupBy("id", "th").agg(F.collect_list(F.struct((F.col("pos") - F.col("s.hi")).alias("first"), (F.col("pos") - F.col("s.lo")).alias("last"))).alias("starts"))
-    return summary, held.select("id", "th", "text").join(found, ["id", "th"])
+    release(spark)
+    found = held.select("uid", F.explode("hits").alias("hit")).select("uid", "hit.pos", "hit.cid").join(spans, "cid")
+    found = found.select("uid", "pos", F.explode("spans").alias("s")).groupBy("uid").agg(F.collect_list(F.struct((F.col("pos") - F.col("s.hi")).alias("first"), (F.col("pos") - F.col("s.lo")).alias("last"))).alias("starts"))
+    return summary, held.select("uid", "text").join(found, "uid")
 
 
 def covered(n: int, first: np.ndarray, last: np.ndarray, length: int) -> np.ndarray:
@@ -261,12 +274,12 @@ def covered(n: int, first: np.ndarray, last: np.ndarray, length: int) -> np.ndar
 
 def removed(hit: DataFrame, words: bool, length: int) -> DataFrame:
     """Per text with repeats: n_removed, n_spans (maximal runs of removed units), kept_sha256."""
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for i, th, text, starts in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3), strict=True):
+            for uid, text, starts in zip(b.column(0).to_pylist(), b.column(1), b.column(2), strict=True):
                 data = text.as_py().encode()
                 first, last = (c.to_numpy(zero_copy_only=False).astype(np.int64) for c in starts.values.flatten())
                 if words:
@@ -277,16 +290,16 @@ def removed(hit: DataFrame, words: bool, length: int) -> DataFrame:
                     gone = covered(len(data), first, last, length)
                     kept = np.frombuffer(data, np.uint8)[~gone].tobytes()
                 spans = int(np.count_nonzero(np.diff(np.concatenate([[0], gone.view(np.int8)])) == 1))
-                out.append((i, th, int(gone.sum()), spans, hashlib.sha256(kept).hexdigest()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)] if out else [pa.array([], k) for k in kinds], ["id", "th", "n_removed", "n_spans", "kept"])
+                out.append((uid, int(gone.sum()), spans, hashlib.sha256(kept).hexdigest()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)] if out else [pa.array([], k) for k in kinds], ["uid", "n_removed", "n_spans", "kept"])
 
-    return hit.mapInArrow(run, "id long, th long, n_removed long, n_spans long, kept string")
+    return hit.mapInArrow(run, "uid long, n_removed long, n_spans long, kept string")
 
 
 def removal(docs: DataFrame, words: bool, gram: int, width: int, sizes: tuple[int, ...], name: str, id_col: str, text_col: str, compact: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     summary, hit = repeated_runs(docs, words, gram, width, sizes, name, id_col, text_col, compact)
     gone = removed(hit, words, gram + width - 1)
     own = F.when(F.col("id") != NULL_ID, F.col("id"))
-    return summary.join(gone, ["id", "th"], "left").select(
+    return summary.join(gone, "uid", "left").select(
         own.alias(id_col), F.col("n").alias("n_units"), F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("n_spans", F.lit(0)).cast("long").alias("n_spans"), F.coalesce("kept", "sha").alias("kept_sha256")
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.repeats import removal
+from gridloom.llm.repeats import CODES, removal
 
 #: Words of the first filter; with WIDTH it makes windows of GRAM + WIDTH - 1 = 35 words.
 GRAM, WIDTH = 8, 28
@@ -20,7 +20,8 @@ def compacted(edges: DataFrame) -> DataFrame:
     compact into one, after the source coordinates have been held against the number of edges (a gap
     leaves the edges single).
     """
-    path = edges.groupBy("cid", F.col("source.cid").alias("of"), (F.col("source.lo") - F.col("lo")).alias("shift"), "total").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.collect_set("lo").alias("all"))
+    shift = (F.col("source") % CODES).cast("int") - F.col("lo")
+    path = edges.groupBy("cid", F.shiftright("source", 8).alias("of"), shift.alias("shift"), "total").agg(F.min("lo").alias("lo"), F.max("lo").alias("hi"), F.collect_list("lo").alias("all"))
     whole = F.size("all") == F.col("hi") - F.col("lo") + 1
     runs = F.when(whole, F.array(F.struct("lo", "hi"))).otherwise(F.transform("all", lambda x: F.struct(x.alias("lo"), x.alias("hi"))))
     return path.select("cid", F.explode(runs).alias("run")).select("cid", "run.lo", "run.hi")
