@@ -6,8 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-IMAGE = W.partitionBy("image_id")
-PIXEL = W.partitionBy("image_id", "r", "c")
+
+def by_image():
+    return W.partitionBy("image_id")
+
+
+def by_pixel():
+    return W.partitionBy("image_id", "r", "c")
 
 
 def threshold(df: DataFrame, t: float, less_than: bool = False) -> DataFrame:
@@ -17,14 +22,14 @@ def threshold(df: DataFrame, t: float, less_than: bool = False) -> DataFrame:
 
 def rescaled(df: DataFrame, low: float = 0.0, high: float = 1.0) -> DataFrame:
     """Values of each image stretched to low .. high; a constant image becomes ``low``."""
-    lo, hi = F.min("v").over(IMAGE), F.max("v").over(IMAGE)
+    lo, hi = F.min("v").over(by_image()), F.max("v").over(by_image())
     return df.withColumn("v", F.coalesce(F.try_divide(F.col("v") - lo, hi - lo), F.lit(0.0)) * (high - low) + low)
 
 
 def normalised(df: DataFrame) -> DataFrame:
     """Zero mean and unit (population) variance in each image; a zero deviation counts as 1."""
-    sd = F.stddev_pop("v").over(IMAGE)
-    return df.withColumn("v", (F.col("v") - F.avg("v").over(IMAGE)) / F.when(sd == 0, F.lit(1.0)).otherwise(sd))
+    sd = F.stddev_pop("v").over(by_image())
+    return df.withColumn("v", (F.col("v") - F.avg("v").over(by_image())) / F.when(sd == 0, F.lit(1.0)).otherwise(sd))
 
 
 def to_bytes(df: DataFrame, low: float, high: float) -> DataFrame:
@@ -95,7 +100,7 @@ def appended(left: DataFrame, right: DataFrame, columns: int) -> DataFrame:
 
 def smoothed_distribution(df: DataFrame, alpha: float = 1e-4) -> DataFrame:
     """Each cell's distribution with a Dirichlet prior of ``alpha`` in all over its labels."""
-    n, total = F.count("*").over(PIXEL), F.sum("p").over(PIXEL)
+    n, total = F.count("*").over(by_pixel()), F.sum("p").over(by_pixel())
     a = F.lit(alpha) / n
     return df.withColumn("p", (F.col("p") + a) / (total + n * a))
 

@@ -150,9 +150,9 @@ edge AS (SELECT image_id, r, c FROM weak WHERE strong UNION SELECT w.image_id, w
 def w11h(spark, sf):
     """Weak edges stay where their component holds a strong one."""
     thin = S.thinned(S.gradient(T.raster(spark, sf)))
-    n = F.count("*").over(P.IMAGE)
+    n = F.count("*").over(P.by_image())
     place = F.row_number().over(W.partitionBy("image_id").orderBy("magnitude"))
-    high = F.max(F.when(F.col("place") == F.greatest(F.ceil(F.lit(0.8) * F.col("n")), F.lit(1)), F.col("magnitude"))).over(P.IMAGE)
+    high = F.max(F.when(F.col("place") == F.greatest(F.ceil(F.lit(0.8) * F.col("n")), F.lit(1)), F.col("magnitude"))).over(P.by_image())
     df = thin.withColumn("n", n).withColumn("place", place).withColumn("high", high)
     weak = staged(df.filter(F.col("keep") & (F.col("magnitude") > 0.33 * F.col("high"))).select(*CELL, (F.col("magnitude") > F.col("high")).alias("strong")), "weak")
     parts = S.connected(weak, 8, save=lambda x: staged(x, "edges")).join(weak, list(CELL))
