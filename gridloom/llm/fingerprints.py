@@ -93,7 +93,7 @@ def followers(keys: DataFrame) -> DataFrame:
     over = W.orderBy("bucket")
     firsts = firsts.select("bucket", F.coalesce(F.lead("first").over(over), F.min("first").over(over)).alias("beyond"))
     after = F.lead(me).over(W.partitionBy("bucket").orderBy("r", "th"))
-    return keys.withColumn("after", after).join(firsts, "bucket").select("r", "th", "copies", F.coalesce("after", "beyond").alias("next"))
+    return keys.withColumn("after", after).join(firsts, "bucket").select("r", "th", "copies", "n", F.coalesce("after", "beyond").alias("next"))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -117,22 +117,22 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     text = text_of(text_col)
     # r: the identifier's complement, in whose ascending order the next document follows
     texts = docs.select(F.bitwise_not(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID))).alias("r"), F.xxhash64(text).alias("th"), text.alias("text"))
-    keys = staged(texts.groupBy("r", "th").agg(F.count("*").alias("copies")), "fingerprint-keys")
+    keys = staged(texts.groupBy("r", "th").agg(F.count("*").alias("copies"), F.max(F.char_length("text")).alias("n")), "fingerprint-keys")
     after = followers(keys)
     # the last of repeated rows is followed by the next document, the others by their like
     own = after.withColumn("v", F.explode(F.when(F.col("copies") > 1, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
-    order = staged(own.select("r", "th", "v", F.when(F.col("v") == 0, 1).otherwise(F.col("copies") - 1).cast("long").alias("times"), F.when(F.col("v") == 0, F.col("next")).otherwise(F.struct("r", "th")).alias("next")), "fingerprint-order")
+    order = staged(own.select("r", "th", "v", F.floor(F.col("n") / 3).cast("int").alias("q"), F.when(F.col("v") == 0, 1).otherwise(F.col("copies") - 1).cast("long").alias("times"), F.when(F.col("v") == 0, F.col("next")).otherwise(F.struct("r", "th")).alias("next")), "fingerprint-order")
     once = F.row_number().over(W.partitionBy("r", "th").orderBy("r", "th"))
     single = texts.repartition("r", "th").withColumn("nth", once).filter("nth = 1").drop("nth")
-    to = order.select(F.col("next.r").alias("r"), F.col("next.th").alias("th"), F.col("r").alias("to_r"), F.col("th").alias("to_th"), F.col("v").alias("to_v"))
-    given = single.join(to, ["r", "th"]).select(F.col("to_r").alias("r"), F.col("to_th").alias("th"), F.col("to_v").alias("v"), F.col("text").alias("next_text"))
-    met = single.join(order.select("r", "th", "v", "times"), ["r", "th"]).join(given, ["r", "th", "v"])
+    # the next document gives the start of its text and its digests; v joins as a filter, so both sides stay where their texts are
+    to = order.select(F.col("next.r").alias("r"), F.col("next.th").alias("th"), F.col("r").alias("to_r"), F.col("th").alias("to_th"), F.col("v").alias("to_v"), "q")
+    given = single.join(to, ["r", "th"]).select(F.col("to_r").alias("r"), F.col("to_th").alias("th"), "to_v", F.substring("text", F.lit(1), F.col("q")).alias("start"), digests(F.col("text")).alias("next"))
+    met = single.join(order.select("r", "th", "v", "q", "times"), ["r", "th"]).join(given, ["r", "th"]).filter("v = to_v")
     n = F.char_length("text")
-    q = F.floor(n / 3).cast("int")
-    met = met.withColumn("edited", F.concat(F.substring("text", F.lit(1), n - q), F.substring("next_text", F.lit(1), q)))
+    met = met.withColumn("edited", F.concat(F.substring("text", F.lit(1), n - F.col("q")), F.col("start")))
     sets = met.select(
         "r", "th", "v", "times", n.cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
-        digests(F.col("text")).alias("own"), digests(F.col("edited")).alias("other"), digests(F.col("next_text")).alias("next"),
+        digests(F.col("text")).alias("own"), digests(F.col("edited")).alias("other"), "next",
     )
     sets = staged(sets, "fingerprint-sets")
     release(spark)
