@@ -17,6 +17,8 @@ SHINGLE, SIMILARITY = 5, 0.8
 #: Sketches of a text, and shingles in each. At similarity s a sketch agrees with probability of about s ** KEPT:
 #: at 0.8 none of 24 does with probability 4e-8.
 SKETCHES, KEPT = 24, 3
+#: Texts whose shingles a task remembers while it verifies pairs.
+REMEMBERED = 4000
 SALTS = np.random.default_rng(77).integers(0, 2**64, SKETCHES, np.uint64)
 
 
@@ -93,21 +95,35 @@ def aligned(a: np.ndarray, b: np.ndarray, most: int) -> int | None:
     return None
 
 
-def similar(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> bool:
+class Shingled:
+    """A text's shingles in order, and their labelled names in order of hash."""
+
+    def __init__(self, h: np.ndarray) -> None:
+        self.h, self.names = h, labelled(h)
+        self.order = np.argsort(self.names)
+        self.ranked = self.names[self.order]
+
+
+def near(a: Shingled, b: Shingled, similarity: float = SIMILARITY) -> bool:
     """Whether in-order shared shingles over all shingles come to ``similarity``.
 
     Too few shared shingles in any order rule it out. If the shared ones are in the same order on
     both sides they are the alignment; else it is worked out within the band.
     """
-    most = band(len(a), len(b), similarity)
-    if not len(a) or not len(b) or abs(len(a) - len(b)) > most:
+    most = band(len(a.h), len(b.h), similarity)
+    if not len(a.h) or not len(b.h) or abs(len(a.h) - len(b.h)) > most:
         return False
-    _, at, bt = np.intersect1d(labelled(a), labelled(b), assume_unique=True, return_indices=True)
-    if len(a) + len(b) - 2 * len(at) > most:
+    at = np.minimum(np.searchsorted(a.ranked, b.names), len(a.h) - 1)
+    places = a.order[at[a.ranked[at] == b.names]]
+    if len(a.h) + len(b.h) - 2 * len(places) > most:
         return False
-    if (np.diff(bt[np.argsort(at)]) > 0).all():
+    if (np.diff(places) > 0).all():
         return True
-    return aligned(a, b, most) is not None
+    return aligned(a.h, b.h, most) is not None
+
+
+def similar(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> bool:
+    return near(Shingled(a), Shingled(b), similarity)
 
 
 def sketched(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -126,18 +142,35 @@ def sketched(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.mapInArrow(run, "id long, h1 long, h2 long, n int, sketches array<long>")
 
 
+def matchable(texts: DataFrame) -> DataFrame:
+    """(uid, can): how many shingles of each text also occur in another of ``texts``, so that only these can be shared."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for uid, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                h, n = np.unique(shingles(t.as_py().encode()), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.full(len(h), uid)), pa.array(n.astype(np.int32))], ["h", "uid", "times"])
+
+    rows = texts.select("uid", "text").mapInArrow(run, "h long, uid long, times int")
+    alone = rows.groupBy("h").agg(F.count("*").alias("k"), F.min("uid").alias("uid"), F.min("times").alias("times")).filter("k = 1")
+    alone = alone.groupBy("uid").agg(F.sum("times").alias("alone"))
+    return alone
+
+
 def verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b) whose texts are similar enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, np.ndarray] = {}
+        known: dict[int, Shingled] = {}
         for rows in batches:
             keep = []
-            for x, y in zip(rows.column(2), rows.column(3), strict=True):
-                x = x.as_py()
-                if x not in known:
-                    known = {x: shingles(x.encode())}  # the pairs of a pivot come one after the other
-                keep.append(similar(known[x], shingles(y.as_py().encode()), similarity))
+            for a, b, x, y in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), rows.column(2), rows.column(3), strict=True):
+                if len(known) > REMEMBERED:
+                    known.clear()
+                for uid, text in ((a, x), (b, y)):
+                    if uid not in known:
+                        known[uid] = Shingled(shingles(text.as_py().encode()))
+                keep.append(near(known[a], known[b], similarity))
             yield rows.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     right = pairs.join(texts.select(F.col("uid").alias("b"), F.col("text").alias("text_b")), "b")
@@ -170,8 +203,9 @@ def near_dedup(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "d
 
     In each bucket of an equal sketch, pivots are held against all others that are of another class so far,
     the first pivot in the first round, then the next 2, 4, 8 ... So every two texts of a bucket
-    are compared unless they are known to be of one class: no candidate is dropped, and a large
-    bucket of near copies takes as many comparisons as it has texts.
+    are compared unless they are known to be of one class, and a large
+    bucket of near copies takes as many comparisons as it has texts. After the first round, pairs are left out only
+    where a bound proves them too unlike: shingles that no other text of an open bucket has can't be shared.
 
     Texts of fewer than five words are one shingle; texts without words (also null) are near their equals only;
     repeated rows are copies. Null ids are smallest in the choice of what stays and return as null.
@@ -201,8 +235,9 @@ def near_dedup(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "d
             pivots = pool.filter("uid = first").select("key", F.col("uid").alias("a"), F.col("n").alias("n_a"))
             pairs = pool.filter("uid != first").join(pivots, "key").filter(close).select("a", F.col("uid").alias("b"))
         else:
-            pairs = pool.filter(F.col("nth") > at).join(pool.filter(F.col("nth").between(at, until - 1)).select("key", F.col("uid").alias("a"), F.col("n").alias("n_a"), F.col("nth").alias("nth_a"), F.col("label").alias("label_a")), "key")
-            pairs = pairs.filter((F.col("nth") > F.col("nth_a")) & (F.col("label") != F.col("label_a")) & close).select("a", F.col("uid").alias("b"))
+            pairs = pool.filter(F.col("nth") > at).join(pool.filter(F.col("nth").between(at, until - 1)).select("key", F.col("uid").alias("a"), F.col("n").alias("n_a"), F.col("nth").alias("nth_a"), F.col("can").alias("can_a"), F.col("label").alias("label_a")), "key")
+            shared = F.least("can", "can_a")
+            pairs = pairs.filter((F.col("nth") > F.col("nth_a")) & (F.col("label") != F.col("label_a")) & close & (shared >= similarity * (F.col("n") + F.col("n_a") - shared) - 1e-6)).select("a", F.col("uid").alias("b"))
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
@@ -224,7 +259,11 @@ def near_dedup(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "d
         mixed_ = pool.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("size")).filter((F.col("lo") != F.col("hi")) & (F.col("size") > until + 1))
         pool = pool.join(mixed_.select("key"), "key")
         if at == 0:
-            pool = ranked(pool)
+            pool = staged(pool, "near-open")
+            alone = matchable(bodies.join(pool.select("uid").distinct(), "uid"))
+            pool = pool.join(alone, "uid", "left").withColumn("can", F.col("n") - F.coalesce("alone", F.lit(0))).drop("alone")
+            # texts that can't be near any other leave
+            pool = ranked(pool.filter(F.col("can") >= similarity * F.col("n") - 1e-6))
         pool = staged(pool, "near-pool")
         at, until = until, 2 * until + 1
         if pool.isEmpty():

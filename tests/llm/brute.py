@@ -52,7 +52,7 @@ def lcs(a, b):
 
 
 def near_classes(rows, similarity=0.8):
-    """Per row the least id of its class. rows: (id, text)."""
+    """Per row (id, text) the least id of its class, and a number of the class."""
     texts = sorted({t or "" for _, t in rows})
     parent = list(range(len(texts)))
 
@@ -79,4 +79,4 @@ def near_classes(rows, similarity=0.8):
     for d, t in rows:
         r = at[t or ""]
         least[r] = min(least.get(r, d), d)
-    return [least[at[t or ""]] for _, t in rows]
+    return [(least[at[t or ""]], at[t or ""]) for _, t in rows]
