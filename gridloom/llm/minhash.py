@@ -19,7 +19,7 @@ SHINGLE, SIMILARITY = 5, 0.8
 SKETCHES, KEPT = 24, 3
 #: Texts whose shingles a task remembers while it verifies pairs.
 REMEMBERED = 4000
-SALTS = np.random.default_rng(77).integers(0, 2**64, SKETCHES, np.uint64)
+SALTS = np.random.default_rng(77).integers(0, 2**64, SKETCHES, np.uint64) | np.uint64(1)
 
 
 def shingles(data: bytes, size: int = SHINGLE) -> np.ndarray:
@@ -43,16 +43,20 @@ def labelled(h: np.ndarray) -> np.ndarray:
 
 
 def sketch(h: np.ndarray, count: int = SKETCHES, kept: int = KEPT) -> np.ndarray:
-    """For each hash function the shingles with the ``kept`` least values, in text order, as one hash."""
-    names = labelled(h)
-    out = np.empty(count, np.uint64)
-    for j in range(count):
-        ranks = mixed(names ^ SALTS[j])
-        places = np.sort(np.argpartition(ranks, kept - 1)[:kept]) if len(h) > kept else np.arange(len(h))
-        total = np.full(1, j + 1, np.uint64)
-        for p in places:
-            total = mixed(total * np.uint64(0x9E3779B97F4A7C15) + h[p])
-        out[j] = total[0]
+    """For each hash function (a random odd factor) the shingles with the ``kept`` least values, in text order, as one hash."""
+    names, k = labelled(h), min(kept, len(h))
+    places = np.tile(np.arange(k), (count, 1))
+    step = max(1, 4_000_000 // len(h))  # functions at a time, so that a long text needs no more memory
+    for j in range(0, count if len(h) > kept else 0, step):
+        ranks = names[None] * SALTS[j : j + step, None]
+        each = np.arange(len(ranks))
+        for i in range(k):
+            places[j : j + step, i] = least = ranks.argmin(axis=1)
+            ranks[each, least] = np.iinfo(np.uint64).max
+    places.sort(axis=1)
+    out = np.arange(1, count + 1).astype(np.uint64)
+    for i in range(k):
+        out = mixed(out * np.uint64(0x9E3779B97F4A7C15) + h[places[:, i]])
     return out
 
 

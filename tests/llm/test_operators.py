@@ -235,7 +235,8 @@ def test_alignment_is_the_longest_common_subsequence():
         d = len(a) + len(b) - 2 * brute.lcs(a.tolist(), b.tolist())
         assert minhash.aligned(a, b, d) == d
         assert d == 0 or minhash.aligned(a, b, d - 1) is None
-        assert minhash.similar(a, b) == ((m := (len(a) + len(b) - d) // 2) / (len(a) + len(b) - m) >= 0.8)
+        m = (len(a) + len(b) - d) // 2
+        assert minhash.similar(a, b) == (m / (len(a) + len(b) - m) >= 0.8)
 
 
 def test_order_sketches_tell_reordered_texts():
