@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import release, staged, text_of
+from gridloom.llm.common import fraction, release, staged, text_of
 from gridloom.llm.repeats import NULL_ID, Hashes, Units, mixed
 
 #: Words in a shingle, similarity from which texts are near copies.
@@ -205,10 +205,11 @@ def near_dedup(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "d
     shingles with the least hashes, in text order, so that reordered texts part. Texts with an equal sketch
     are candidates.
 
-    In each bucket of an equal sketch, pivots are held against all others that are of another class so far,
-    the first pivot in the first round, then the next 2, 4, 8 ... So every two texts of a bucket
+    In each bucket of an equal sketch one pivot is held against all others. In buckets that still have several
+    classes, members of all but the largest class are pivots in turn (about 2 of a bucket in a round, then 16, 128, until
+    all have been), held against members of other classes. So every two texts of a bucket
     are compared unless they are known to be of one class, and a large
-    bucket of near copies takes as many comparisons as it has texts. After the first round, pairs are left out only
+    bucket of near copies takes about as many comparisons as it has texts. After the first round, pairs are left out only
     where a bound proves them too unlike: shingles that no other text of an open bucket has can't be shared.
 
     Texts of fewer than five words are one shingle; texts without words (also null) are near their equals only;
@@ -232,46 +233,47 @@ def near_dedup(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "d
     release(spark)
 
     close = F.least("n", "n_a") >= F.greatest("n", "n_a") * similarity - 1e-9
-    labels, tested, at, until = None, None, 0, 1
-    pool = members
-    while True:
-        if labels is None:
-            pivots = pool.filter("uid = first").select("key", F.col("uid").alias("a"), F.col("n").alias("n_a"))
-            pairs = pool.filter("uid != first").join(pivots, "key").filter(close).select("a", F.col("uid").alias("b"))
-        else:
-            pairs = pool.filter(F.col("nth") > at).join(pool.filter(F.col("nth").between(at, until - 1)).select("key", F.col("uid").alias("a"), F.col("n").alias("n_a"), F.col("nth").alias("nth_a"), F.col("can").alias("can_a"), F.col("label").alias("label_a")), "key")
-            shared = F.least("can", "can_a")
-            pairs = pairs.filter((F.col("nth") > F.col("nth_a")) & (F.col("label") != F.col("label_a")) & close & (shared >= similarity * (F.col("n") + F.col("n_a") - shared) - 1e-6)).select("a", F.col("uid").alias("b"))
+
+    def checked(pairs: DataFrame, before: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+        """The links among pairs that haven't been held against each other yet, and all pairs that have by now."""
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = staged(pairs, "near-pairs")
-        tested = pairs if tested is None else tested.unionByName(pairs)
+        pairs = staged(pairs.join(before, ["a", "b"], "left_anti") if before is not None else pairs, "near-pairs")
         links = staged(verified(pairs, bodies, similarity), "near-links")
         release(spark)
-        if labels is None:
-            labels = components(links, "near")
-        elif not links.isEmpty():
+        return links, pairs if before is None else before.unionByName(pairs)
+
+    pivots = members.filter("uid = first").select("key", F.col("uid").alias("a"), F.col("n").alias("n_a"))
+    links, tested = checked(members.filter("uid != first").join(pivots, "key").filter(close).select("a", F.col("uid").alias("b")), None)
+    labels = components(links, "near")
+    pool, limit = members.select("key", "uid", "n"), 2
+    while True:
+        # what is open: buckets of more than one class; pivots come from all but a bucket's largest class
+        pool = pool.select("key", "uid", "n", *(["can"] if "can" in pool.columns else [])).join(labels.select(F.col("node").alias("uid"), "label"), "uid", "left").withColumn("label", F.coalesce("label", "uid"))
+        classes = pool.groupBy("key", "label").agg(F.count("*").alias("k")).groupBy("key").agg(F.sum("k").alias("size"), F.max(F.struct("k", "label")).alias("top"), F.count("*").alias("classes"))
+        open_ = classes.filter("classes > 1").select("key", F.col("top.label").alias("major"), (F.col("size") - F.col("top.k")).alias("minor"))
+        pool = staged(pool.join(open_, "key"), "near-open")
+        if "can" not in pool.columns:
+            alone = matchable(bodies.join(pool.select("uid").distinct(), "uid"))
+            pool = pool.join(alone, "uid", "left").withColumn("can", F.col("n") - F.coalesce("alone", F.lit(0))).drop("alone")
+            # texts that can't be near any other leave
+            pool = staged(pool.filter(F.col("can") >= similarity * F.col("n") - 1e-6), "near-open")
+        most = pool.agg(F.max("minor")).first()[0]
+        if most is None:
+            break
+        some = fraction(F.lit(3), F.col("uid")) < F.lit(float(limit)) / F.col("minor")
+        pivots = pool.filter((F.col("label") != F.col("major")) & some).select("key", F.col("uid").alias("a"), F.col("n").alias("n_a"), F.col("can").alias("can_a"), F.col("label").alias("label_a"))
+        shared = F.least("can", "can_a")
+        pairs = pool.join(pivots, "key").filter((F.col("label") != F.col("label_a")) & close & (shared >= similarity * (F.col("n") + F.col("n_a") - shared) - 1e-6)).select("a", F.col("uid").alias("b"))
+        links, tested = checked(pairs, tested)
+        if not links.isEmpty():
             left, right = (labels.select(F.col("node").alias(c), F.col("label").alias(f"l{c}")) for c in "ab")
             merged = links.join(left, "a", "left").join(right, "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
             roots = components(merged.filter("a != b"), "near").withColumnsRenamed({"node": "root", "label": "to"})
             nodes = labels.unionByName(links.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(labels, "node", "left_anti").select("node", F.col("node").alias("label")))
             labels = staged(nodes.join(roots, F.col("label") == F.col("root"), "left").select("node", F.coalesce("to", "label").alias("label")), "near-labels")
-        # what is left: buckets of more than one class, from the next pivot on
-        pool = members if at == 0 else pool.drop("label")
-        pool = pool.join(labels.select(F.col("node").alias("uid"), "label"), "uid", "left").withColumn("label", F.coalesce("label", "uid"))
-        mixed_ = pool.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("size")).filter((F.col("lo") != F.col("hi")) & (F.col("size") > until + 1))
-        pool = pool.join(mixed_.select("key"), "key")
-        if at == 0:
-            pool = staged(pool, "near-open")
-            alone = matchable(bodies.join(pool.select("uid").distinct(), "uid"))
-            pool = pool.join(alone, "uid", "left").withColumn("can", F.col("n") - F.coalesce("alone", F.lit(0))).drop("alone")
-            # texts that can't be near any other leave
-            pool = ranked(pool.filter(F.col("can") >= similarity * F.col("n") - 1e-6))
-        pool = staged(pool, "near-pool")
-        at, until = until, 2 * until + 1
-        if pool.isEmpty():
+        if most <= limit:  # every minority member was a pivot
             break
+        limit *= 8
     labels = texts.join(labels, F.col("uid") == F.col("node"), "left").select("h1", "h2", "id", "copies", F.coalesce("label", "uid").alias("label"))
     classes = labels.groupBy("label").agg(F.min("id").alias("class_id"), F.sum("copies").alias("class_size"), F.min(F.struct("id", "h1", "h2")).alias("stay"))
     named = staged(labels.select("h1", "h2", "label").join(classes, "label"), "near-classes")
@@ -283,15 +285,5 @@ def near_dedup(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "d
     return out.select(real("id").alias(id_col), F.col("h1").alias("text_hash"), real("class_id").alias("class_id"), "class_size", ((F.struct("id", "h1", "h2") == F.col("stay")) & (F.col("twin") == 1)).alias("kept"))
 
 
-def ranked(pool: DataFrame) -> DataFrame:
-    """``nth``: the place of each text in its bucket, without a window over a bucket: by hash range, then within it."""
-    from gridloom.llm.common import running
-
-    spread = pool.withColumn("part", F.pmod(F.xxhash64("uid"), F.lit(64)).cast("int"))
-    first = (F.col("uid") == F.col("first")).cast("int")
-    out = running(spread.withColumn("part", F.when(first == 1, -1).otherwise(F.col("part"))), ["key"], "part", [F.col("uid")], F.lit(1), "nth")
-    return out.drop("part")
-
-
 def op3_minhash(spark, sf_dir):
     return near_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("text_hash")
