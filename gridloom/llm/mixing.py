@@ -90,7 +90,7 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: fl
     hi = F.least(F.col("first") + F.col("size") - F.col("index") * block, F.lit(block)).alias("to_word")
     pieces = pieces.select("id", "th", "src", "source", "size", "source_size", "target", F.col("first").alias("stream_at"), "index", lo, hi)
     used = slots.select(F.col("src").alias("s_src"), F.col("index").alias("s_index"), "words")
-    got = F.greatest(F.least("to_word", "words") - F.col("from_word"), F.lit(0))
+    got = F.greatest(F.least("to_word", F.coalesce("words", F.lit(0))) - F.col("from_word"), F.lit(0))
     # slots come out of a few rows of targets, which hides their number from the planner: no broadcast
     taken = pieces.join(used.hint("merge"), (F.col("src") == F.col("s_src")) & (F.col("index") == F.col("s_index")), "left").groupBy("id", "th", "source", "size", "source_size", "target", "stream_at").agg(F.coalesce(F.sum(got), F.lit(0)).cast("long").alias("taken"))
     keep = ["id", "th", "source", "size", "source_size", "target"]

@@ -128,6 +128,15 @@ def test_mixing(docs, rows, empty, block):
     assert mixing.mix_sources(empty)["documents"].count() == 0
 
 
+def test_mixing_leaves_words_of_a_source_with_a_small_target(spark):
+    docs = spark.createDataFrame([(i, "w " * 40, f"s{i % 3}") for i in range(90)], "doc_id long, text string, source string")
+    got = mixing.mix_sources(docs, weights=(8, 1, 1), block=16)["documents"].groupBy("source").agg({"taken": "sum", "target": "max", "source_size": "max"}).collect()
+    assert all(abs(r["sum(taken)"] - r["max(target)"]) <= 0.5 for r in got)
+    docs = spark.createDataFrame([(i, "w " * 40, "a" if i < 80 else "b") for i in range(90)], "doc_id long, text string, source string")
+    rows = mixing.mix_sources(docs, share=0.5, block=16)["documents"].groupBy("source").agg({"taken": "sum", "target": "max"}).collect()
+    assert all(abs(r["sum(taken)"] - r["max(target)"]) <= 0.5 for r in rows)
+
+
 def test_permutation_is_one(spark):
     from pyspark.sql import functions as F
 
