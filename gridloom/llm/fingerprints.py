@@ -12,11 +12,11 @@ from gridloom.llm.repeats import NULL_ID
 #: A paragraph cell: a line, cut after 160 characters; the first line of a text also after 12, 36 and
 #: 84, so that short texts have some cells too.
 CELL = r"\A[^\n]{1,12}|(?<=\A[^\n]{12})[^\n]{1,24}|(?<=\A[^\n]{36})[^\n]{1,48}|[^\n]{1,160}"
-#: Cells of the sketch that is written out as the fingerprint; a third for each hash function.
-BASE = 12
-#: Cells of the sketches that are subtracted: (times the digests of both versions, and so many more), tried in turn.
-SIZES = ((0.7, 9), (2.2, 24), (8.0, 96))
 ROUNDS = 8
+#: Digests of a partition in which sketches are made and peeled.
+DEALT = 100_000
+#: Of the hash functions of all sketches that are written and subtracted.
+SALT = 0
 
 
 def digests(text: Column) -> Column:
@@ -34,38 +34,53 @@ def places(digest: Column, size: Column, salt: int) -> list[Column]:
     return [F.pmod(F.xxhash64(F.lit(salt * 10 + i), digest), third) + F.lit(i) * third for i in range(3)]
 
 
-def written(rows: DataFrame, version: str, into: str) -> DataFrame:
-    """The base sketch of a version as text: count, digest sum and check sum of each cell, in hexadecimal digits."""
-    entries = rows.select("r", "th", F.explode_outer(version).alias("d"))
-    cells = entries.select("r", "th", "d", F.explode(F.array(*places(F.coalesce("d", F.lit(0)), F.lit(BASE), 0))).alias("cell"))
-    one = F.when(F.col("d").isNotNull(), 1).otherwise(0)
-    known = F.coalesce("d", F.lit(0).cast("long"))
-    cells = cells.groupBy("r", "th", "cell").agg(F.sum(one).alias("n"), F.bit_xor(known).alias("sum"), F.bit_xor(F.when(F.col("d").isNotNull(), check(F.col("d"))).otherwise(0)).alias("chk"))
-    text = F.concat_ws(".", F.hex("cell"), F.hex("n"), F.hex("sum"), F.hex(F.shiftrightunsigned("chk", 32)))
-    return cells.filter("n > 0").groupBy("r", "th").agg(F.concat_ws("-", F.array_sort(F.collect_list(text))).alias(into))
+def cells_of(n: Column) -> Column:
+    """Cells of the first sketch tried of ``n`` digests: three times a power of two, more than 4 n + 9.
+
+    What differs between two texts is at most half of the cells of the larger sketch.
+    """
+    return (F.pow(F.lit(2.0), F.length(F.bin(F.floor((n * 4 + 9) / 3)))) * 3).cast("long")
 
 
-def peeled(pairs: DataFrame, factor: float, more: int, salt: int, rounds: int = ROUNDS) -> DataFrame:
+def written(rows: DataFrame) -> DataFrame:
+    """Sketches as text, in hexadecimal digits: the number of cells, then count, digest sum and check sum of each cell that isn't empty.
+
+    Returns r, th, fingerprint, edited0 and edited1 (the edited text of v = 0 and of v = 1). ``rows`` (r, th, v, own, other, s_own, s_other) is partitioned by (r, th). Texts without digests have no row.
+    """
+    side = lambda k, name: F.struct(F.lit(k).alias("side"), F.col(name).alias("a"), F.col(f"s_{name}").alias("size"))
+    sides = rows.select("r", "th", "v", F.explode(F.array(side(0, "own"), side(1, "other"))).alias("s")).select("r", "th", "v", "s.*")
+    entries = sides.select("r", "th", "v", "side", "size", F.explode("a").alias("d"))
+    cells = entries.select("r", "th", "v", "side", "size", "d", F.explode(F.array(*places(F.col("d"), F.col("size"), SALT))).alias("cell"))
+    cells = cells.groupBy("r", "th", "v", "side", "size", "cell").agg(F.count("*").alias("n"), F.bit_xor("d").alias("sum"), F.bit_xor(check(F.col("d"))).alias("chk"))
+    text = F.concat_ws(".", F.hex("cell"), F.hex("n"), F.hex("sum"), F.hex("chk"))
+    prints = cells.groupBy("r", "th", "v", "side", "size").agg(F.array_sort(F.collect_list(F.struct("cell", text.alias("text")))).alias("cells"))
+    whole = F.concat(F.hex("size"), F.lit(":"), F.array_join(F.transform("cells", lambda c: c["text"]), "-"))
+    of = lambda k, v: F.max(F.when((F.col("side") == k) & (F.col("v") == v), whole))
+    return prints.groupBy("r", "th").agg(of(0, 0).alias("fingerprint"), of(1, 0).alias("edited0"), of(1, 1).alias("edited1"))
+
+
+def peeled(pairs: DataFrame, factor: float, more: int, salt: int, rounds: int = ROUNDS, size: str | None = None, keep: str = "true") -> DataFrame:
     """Subtract the sketches of both sides of each pair and peel what is left.
 
     ``pairs`` (r, th, v, kind, a, b) is partitioned by (r, th), so all of this stays in a task. In a
     round, each cell that holds a single digest gives it up, once for all its cells, and the digest is
-    taken out of its three cells. Cells that have become empty drop out of the table.
+    taken out of its three cells. Cells that have become empty drop out of the table. ``size`` names a
+    column with the number of cells, in place of ``factor`` and ``more``. Digests are given out of pairs for which ``keep`` holds.
 
-    Returns r, th, v, kind, differing (digests recovered), whole (nothing was left).
+    Returns r, th, v, kind, size, differing (digests given out), gone and new (those of a and of b alone), whole (nothing was left).
     """
     key = ["r", "th", "v", "kind"]
-    size = (F.floor((F.size("a") + F.size("b")) * factor / 3).cast("long") * 3 + more).alias("size")
+    size = F.col(size).alias("size") if size else (F.floor((F.size("a") + F.size("b")) * factor / 3).cast("long") * 3 + more).alias("size")
     side = lambda name, sign: F.transform(F.col(name), lambda d: F.struct(d.alias("d"), F.lit(sign).cast("long").alias("n")))
     entry = F.explode(F.concat(F.array(F.struct(F.lit(None).cast("long").alias("d"), F.lit(0).cast("long").alias("n"))), side("a", 1), side("b", -1)))
     rows = pairs.select(*key, size, entry.alias("e")).select(*key, "size", "e.d", "e.n")
     zero, none = F.lit(0).cast("long"), F.lit(-1).cast("long")
     cells = F.when(F.col("d").isNull(), F.array(none)).otherwise(F.array(*places(F.col("d"), F.col("size"), salt)))
-    # cell -1 counts what has been recovered
-    rows = rows.select(*key, "size", F.explode(cells).alias("cell"), "n", F.coalesce("d", zero).alias("d"), F.when(F.col("d").isNull(), zero).otherwise(check(F.col("d"))).alias("chk"))
+    # cell -1 keeps what has been recovered, each digest as got
+    rows = rows.select(*key, "size", F.explode(cells).alias("cell"), F.lit(None).cast("long").alias("got"), "n", F.coalesce("d", zero).alias("d"), F.when(F.col("d").isNull(), zero).otherwise(check(F.col("d"))).alias("chk"))
 
     def summed(rows: DataFrame) -> DataFrame:
-        out = rows.groupBy(*key, "cell").agg(F.max("size").alias("size"), F.sum("n").alias("n"), F.bit_xor("d").alias("d"), F.bit_xor("chk").alias("chk"))
+        out = rows.groupBy(*key, "cell", "got").agg(F.max("size").alias("size"), F.sum("n").alias("n"), F.bit_xor("d").alias("d"), F.bit_xor("chk").alias("chk"))
         return out.filter("cell = -1 or n != 0 or d != 0 or chk != 0")
 
     state = summed(rows)
@@ -73,12 +88,54 @@ def peeled(pairs: DataFrame, factor: float, more: int, salt: int, rounds: int =
         pure = (F.col("cell") >= 0) & (F.abs("n") == 1) & (F.col("chk") == check(F.col("d")))
         both = state.withColumn("out", F.explode(F.when(pure, F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))))
         tag = F.when(F.col("out"), F.col("d")).otherwise(F.col("cell")).alias("tag")
-        once = both.select(*key, "out", tag, "size", "n", "d", "chk").groupBy(*key, "out", "tag").agg(*[F.max(c).alias(c) for c in ("size", "n", "d", "chk")])
-        item = lambda cell, n, d, chk: F.struct(cell.alias("cell"), n.alias("n"), d.alias("d"), chk.alias("chk"))
-        taken = [item(p, -F.col("n"), F.col("d"), F.col("chk")) for p in places(F.col("d"), F.col("size"), salt)]
-        moves = F.when(F.col("out"), F.array(*taken, item(none, F.lit(1).cast("long"), zero, zero))).otherwise(F.array(item(F.col("tag"), F.col("n"), F.col("d"), F.col("chk"))))
-        state = summed(once.select(*key, "size", F.explode(moves).alias("m")).select(*key, "size", "m.cell", "m.n", "m.d", "m.chk"))
-    return state.groupBy(*key).agg(F.sum(F.when(F.col("cell") == -1, F.col("n")).otherwise(0)).alias("differing"), (F.max("cell") == -1).alias("whole"))
+        once = both.select(*key, "out", tag, "got", "size", "n", "d", "chk").groupBy(*key, "out", "tag", "got").agg(*[F.max(c).alias(c) for c in ("size", "n", "d", "chk")])
+        item = lambda cell, got, n, d, chk: F.struct(cell.alias("cell"), got.alias("got"), n.alias("n"), d.alias("d"), chk.alias("chk"))
+        taken = [item(p, F.col("got"), -F.col("n"), F.col("d"), F.col("chk")) for p in places(F.col("d"), F.col("size"), salt)]
+        moves = F.when(F.col("out"), F.array(*taken, item(none, F.when(F.expr(keep), F.col("d")), F.col("n"), zero, zero))).otherwise(F.array(item(F.col("tag"), F.col("got"), F.col("n"), F.col("d"), F.col("chk"))))
+        state = summed(once.select(*key, "size", F.explode(moves).alias("m")).select(*key, "size", "m.cell", "m.got", "m.n", "m.d", "m.chk"))
+    held = lambda sign: F.collect_list(F.when(F.col("n") * sign > 0, F.col("got")))
+    return state.groupBy(*key).agg(F.max("size").alias("size"), F.count("got").alias("differing"), held(1).alias("gone"), held(-1).alias("new"), (F.max("cell") == -1).alias("whole"))
+
+
+def parts_of(sets: DataFrame) -> int:
+    """Partitions for sketching, so that the cells of one stay in memory: a few hundred bytes a digest."""
+    digests = sets.agg(F.sum(F.size("own") + F.size("other") + F.size("next")).cast("long")).first()[0] or 0
+    return max(sets.sparkSession.sparkContext.defaultParallelism, digests // DEALT + 1)
+
+
+def subtracted(sets: DataFrame) -> DataFrame:
+    """What differs between own and other and between own and next (digest arrays of r, th, v), by their sketches.
+
+    A sketch is of a size that lists all its digests when peeled alone: sizes are doubled until
+    this is so. The size is decided by the digests, so a text has one sketch wherever it is met. Two sketches
+    are subtracted at the size of the larger; the smaller one is listed and sketched anew for that.
+
+    Returns r, th, v, s_own and s_other (cells of the sketches), whole0, gone0, new0 of own and other, whole1, gone1, new1 of own and next.
+    """
+    names = ("own", "other", "next")
+    state, done, k = sets.select("r", "th", "v", *names, *[cells_of(F.size(n)).alias(f"s_{n}") for n in names]), None, 0
+    dealt = parts_of(sets)
+    nothing = F.array().cast("array<long>")
+    part = lambda kind, a, b, size: F.struct(F.lit(kind).alias("kind"), F.col(a).alias("a"), b.alias("b"), size.alias("cells"))
+    while True:
+        parts = [part(i, "own", F.col(n), F.greatest("s_own", f"s_{n}")) for i, n in enumerate(names[1:])]
+        parts += [part(i + 2, n, nothing, F.col(f"s_{n}")) for i, n in enumerate(names)]
+        pairs = state.repartition(dealt, "r", "th").select("r", "th", "v", F.explode(F.array(*parts)).alias("p")).select("r", "th", "v", "p.*")
+        at = lambda kind, c: F.max(F.when(F.col("kind") == kind, F.col(c)))
+        found = peeled(pairs, 0, 0, SALT, size="cells", keep="kind < 2").groupBy("r", "th", "v").agg(
+            *[at(i, c).alias(f"{c}{i}") for i in (0, 1) for c in ("whole", "gone", "new")],
+            *[at(i + 2, "size").alias(f"s_{n}") for i, n in enumerate(names)], *[at(i + 2, "whole").alias(f"l_{n}") for i, n in enumerate(names)],
+        )
+        found = staged(found, f"fingerprint-subtracted{k}")
+        release(sets.sparkSession)
+        listed = F.col("l_own") & F.col("l_other") & F.col("l_next")
+        good = found.filter(listed).drop(*[f"l_{n}" for n in names], "s_next")
+        done, k = good if done is None else done.unionByName(good), k + 1
+        again = found.filter(~listed)
+        if again.isEmpty():
+            return done
+        sizes = again.select("r", "th", "v", *[F.when(F.col(f"l_{n}"), F.col(f"s_{n}")).otherwise(F.col(f"s_{n}") * 2).alias(f"s_{n}") for n in names])
+        state = sets.select("r", "th", "v", *names).join(sizes, ["r", "th", "v"])
 
 
 def followers(keys: DataFrame) -> DataFrame:
@@ -101,17 +158,16 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     The edited text is the text with its last floor(n_chars / 3) code points replaced by as many
     from the start of the next document (all of it if it is shorter), by descending identifier; the next of the
-    last is the first. A fingerprint is a small invertible Bloom lookup sketch of the digests of
-    the paragraph cells of a text. Likeness is the Jaccard similarity of two sets of digests: sketches large
-    enough for the difference expected are subtracted and peeled, which recovers the digests that
-    differ, and where peeling fails, larger ones are tried. Texts meet in joins by identifier, and
-    all sketching and peeling happens in the partition of the text.
+    last is the first. A fingerprint is an invertible Bloom lookup sketch of the digests of
+    the paragraph cells of a text, of a size that grows with their number and that lists all of them. Likeness
+    is the Jaccard similarity of two sets of digests: the fingerprints are subtracted and peeled, which recovers the digests that
+    differ. Texts meet in joins by identifier, and all sketching and peeling happens in the partition of the text.
 
     Null texts are empty (an empty fingerprint; like each other); null ids come last; rows with equal
-    id come in order of their text's hash, repeated rows one after the other; a single row is its own next. If even the largest
-    sketch can't be peeled, what it did recover counts as all that differs.
+    id come in order of their text's hash, repeated rows one after the other; a single row is its own next.
 
-    Returns id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
+    Returns id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, and the
+    recovered digests: edited_gone and edited_new (those that the text and the edited text have alone), next_gone and next_new.
     """
     spark = docs.sparkSession
     text = text_of(text_col)
@@ -137,39 +193,29 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     sets = staged(sets, "fingerprint-sets")
     release(spark)
 
-    pair = lambda kind, side: F.struct(F.lit(kind).alias("kind"), F.col("own").alias("a"), F.col(side).alias("b"))
-    pairs = sets.select("r", "th", "v", F.explode(F.array(pair(0, "other"), pair(1, "next"))).alias("p")).select("r", "th", "v", "p.*")
-    result, tried = None, None
-    for k, (factor, more) in enumerate(SIZES):
-        todo = pairs if tried is None else pairs.join(tried.filter("not whole").select("r", "th", "v", "kind"), ["r", "th", "v", "kind"])
-        tried = staged(peeled(todo.repartition("r", "th"), factor, more, k + 1), f"fingerprint-peeled{k}")
-        release(spark)
-        good = tried if k == len(SIZES) - 1 else tried.filter("whole")
-        result = good if result is None else result.unionByName(good)
-    d = result.groupBy("r", "th", "v").agg(F.max(F.when(F.col("kind") == 0, F.col("differing"))).alias("d0"), F.max(F.when(F.col("kind") == 1, F.col("differing"))).alias("d1"))
-    parted = sets.repartition("r", "th")
-    prints = written(parted.filter("v = 0"), "own", "fingerprint").join(d, ["r", "th"], "right")
-
-    def near(other: str, d: str) -> Column:
-        total = F.size("own") + F.size(other)
-        same = (total - F.col(d)) / 2
+    found = subtracted(sets)
+    # v joins as a filter again, so that no fingerprint is dealt out
+    dealt = parts_of(sets)
+    by_text = lambda df, *cols: df.select("r", "th", *cols).repartition(dealt, "r", "th")
+    sizes = by_text(found, F.col("v").alias("of"), "s_own", "s_other")
+    prints = written(by_text(sets, "v", "own", "other").join(sizes, ["r", "th"]).filter("v = of"))
+    counts = by_text(sets, "v", "times", "n_chars", "edited_sha256", *[F.size(c).alias(c) for c in ("own", "other", "next")])
+    differ = by_text(found, F.col("v").alias("of"), "gone0", "new0", "gone1", "new1")
+    rows = counts.join(differ, ["r", "th"]).filter("v = of").join(prints, ["r", "th"], "left").withColumn("edited_fingerprint", F.when(F.col("v") == 0, F.col("edited0")).otherwise(F.col("edited1")))
+
+    def near(other: str, k: int) -> Column:
+        total = F.col("own") + F.col(other)
+        same = (total - F.size(f"gone{k}") - F.size(f"new{k}")) / 2
         return F.when(total == 0, F.lit(1.0)).otherwise(F.least(F.greatest(same / (total - same), F.lit(0.0)), F.lit(1.0)))
 
-    edited = written_by_version(parted)
-    rows = sets.join(prints, ["r", "th", "v"]).join(edited, ["r", "th", "v"], "left")
     rows = rows.withColumn("time", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))))
     own_id = F.when(F.bitwise_not("r") != NULL_ID, F.bitwise_not("r"))
     return rows.select(
         own_id.alias(id_col), "n_chars", "edited_sha256", F.coalesce("fingerprint", F.lit("")).alias("fingerprint"), F.coalesce("edited_fingerprint", F.lit("")).alias("edited_fingerprint"),
-        near("other", "d0").alias("near_edited"), near("next", "d1").alias("near_next"),
+        near("other", 0).alias("near_edited"), near("next", 1).alias("near_next"),
+        F.col("gone0").alias("edited_gone"), F.col("new0").alias("edited_new"), F.col("gone1").alias("next_gone"), F.col("new1").alias("next_new"),
     )
 
 
-def written_by_version(rows: DataFrame) -> DataFrame:
-    """Edited fingerprints: the two followers of repeated rows make two of them for one text."""
-    one = written(rows.filter("v = 0"), "other", "edited_fingerprint").withColumn("v", F.lit(0))
-    return one.unionByName(written(rows.filter("v = 1"), "other", "edited_fingerprint").withColumn("v", F.lit(1)))
-
-
 def op9_fingerprints(spark, sf_dir):
     return fingerprints(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -279,6 +279,73 @@ def test_fingerprints(docs, rows, empty):
     assert fingerprints.fingerprints(empty).count() == 0
 
 
+def listed(cells, at):
+    """Peel a sketch (cell to count, digest sum, check sum): digests of count 1, of count -1, and whether nothing is left."""
+    cells, gone, new = dict(cells), set(), set()
+    while pure := [(n, d) for n, d, c in cells.values() if abs(n) == 1 and d in at and at[d][1] == c]:
+        for n, d in set(pure):
+            (gone if n > 0 else new).add(d)
+            for p in at[d][0]:
+                m, x, c = cells.get(p, (0, 0, 0))
+                cells[p] = (m - n, x ^ d, c ^ at[d][1])
+        cells = {p: x for p, x in cells.items() if x != (0, 0, 0)}
+    return gone, new, not cells
+
+
+def test_returned_fingerprints_give_the_likeness(spark, docs, rows):
+    """The written text alone, read and peeled here, lists the text and gives near_edited and near_next."""
+    from pyspark.sql import functions as F
+
+    one = {d: t or "" for d, t, _ in rows if d is not None and Counter(x for x, _, _ in rows)[d] == 1}
+    order = sorted([(d, t or "") for d, t, _ in rows if d is not None], reverse=True)
+    after = {d: order[k + 1] for k, (d, _) in enumerate(order[:-1]) if d in one and order[k + 1][0] in one}
+    texts = spark.createDataFrame([(d, t) for d, t in one.items()], "doc_id long, text string")
+    digests = {r["doc_id"]: set(r["a"]) for r in texts.select("doc_id", fingerprints.digests(F.col("text")).alias("a")).collect()}
+    edited = spark.createDataFrame([(d, one[d][: len(one[d]) - len(one[d]) // 3] + t[: len(one[d]) // 3]) for d, (_, t) in after.items()], "doc_id long, text string")
+    changed = {r["doc_id"]: set(r["a"]) for r in edited.select("doc_id", fingerprints.digests(F.col("text")).alias("a")).collect()}
+    got = {r["doc_id"]: r for r in fingerprints.fingerprints(docs).collect()}
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+
+    def read(text):
+        size, _, cells = text.partition(":")
+        parts = [[int(x, 16) for x in c.split(".")] for c in cells.split("-") if c]
+        return int(size or "0", 16), {p: (n, signed(d), signed(c)) for p, n, d, c in parts}
+
+    sizes = {read(got[d][c])[0] for d in after for c in ("fingerprint", "edited_fingerprint")} | {read(got[d]["fingerprint"])[0] for d, _ in after.values()}
+    known = spark.createDataFrame([(d, s) for d in set().union(*digests.values(), *changed.values()) for s in sizes - {0}], "d long, size long")
+    at = defaultdict(dict)
+    for r in known.select("d", "size", F.array(*fingerprints.places(F.col("d"), F.col("size"), fingerprints.SALT)).alias("p"), fingerprints.check(F.col("d")).alias("c")).collect():
+        at[r["size"]][r["d"]] = (r["p"], r["c"])
+
+    def sketch(digests, size):
+        out = {}
+        for d in digests:
+            for p in at[size][d][0]:
+                n, x, c = out.get(p, (0, 0, 0))
+                out[p] = (n + 1, x ^ d, c ^ at[size][d][1])
+        return out
+
+    def difference(a, b):
+        (s, x), (t, y) = read(a), read(b)
+        size = max(s, t)
+        if s < size:
+            x = sketch(listed(x, at[s])[0], size)
+        if t < size:
+            y = sketch(listed(y, at[t])[0], size)
+        minus = {p: (x.get(p, (0, 0, 0))[0] - y.get(p, (0, 0, 0))[0], x.get(p, (0, 0, 0))[1] ^ y.get(p, (0, 0, 0))[1], x.get(p, (0, 0, 0))[2] ^ y.get(p, (0, 0, 0))[2]) for p in x.keys() | y.keys()}
+        return listed({p: v for p, v in minus.items() if v != (0, 0, 0)}, at[size])
+
+    assert max(map(len, digests.values())) > 100
+    for d, (n, _) in after.items():
+        own = read(got[d]["fingerprint"])
+        assert listed(own[1], at[own[0]]) == (digests[d], set(), True)
+        for name, print_, other in (("edited", got[d]["edited_fingerprint"], changed[d]), ("next", got[n]["fingerprint"], digests[n])):
+            gone, new, whole = difference(got[d]["fingerprint"], print_)
+            assert whole and (gone, new) == (digests[d] - other, other - digests[d])
+            assert (set(got[d][f"{name}_gone"]), set(got[d][f"{name}_new"])) == (gone, new)
+            assert got[d][f"near_{name}"] == pytest.approx(len(digests[d] & other) / len(digests[d] | other) if digests[d] | other else 1.0)
+
+
 def test_sketches_peel_what_differs(spark):
     data = [(i, list(range(i * 100, i * 100 + 40)), list(range(i * 100 + k, i * 100 + 40 + k))) for i, k in enumerate((0, 1, 7, 20, 60))]
     pairs = spark.createDataFrame([(i, 0, 0, 0, a, b) for i, a, b in data], "r long, th long, v int, kind int, a array<long>, b array<long>").repartition("r", "th")
