@@ -108,33 +108,37 @@ def subtracted(sets: DataFrame) -> DataFrame:
 
     A sketch is of a size that lists all its digests when peeled alone: sizes are doubled until
     this is so. The size is decided by the digests, so a text has one sketch wherever it is met. Two sketches
-    are subtracted at the size of the larger; the smaller one is listed and sketched anew for that.
+    are subtracted at the size of the larger; the smaller one is listed and sketched anew for that. A pair that
+    can't be peeled at this size is listed and sketched anew at doubled sizes until it can, so nothing is left out.
 
-    Returns r, th, v, s_own and s_other (cells of the sketches), whole0, gone0, new0 of own and other, whole1, gone1, new1 of own and next.
+    Returns r, th, v, s_own and s_other (cells of the sketches), gone0, new0 of own and other, gone1, new1 of own and next.
     """
     names = ("own", "other", "next")
     state, done, k = sets.select("r", "th", "v", *names, *[cells_of(F.size(n)).alias(f"s_{n}") for n in names]), None, 0
+    # p: cells at which a pair is subtracted, if more than those of its sketches
+    state = state.withColumn("p0", F.lit(0).cast("long")).withColumn("p1", F.lit(0).cast("long"))
     dealt = parts_of(sets)
     nothing = F.array().cast("array<long>")
     part = lambda kind, a, b, size: F.struct(F.lit(kind).alias("kind"), F.col(a).alias("a"), b.alias("b"), size.alias("cells"))
     while True:
-        parts = [part(i, "own", F.col(n), F.greatest("s_own", f"s_{n}")) for i, n in enumerate(names[1:])]
+        parts = [part(i, "own", F.col(n), F.greatest("s_own", f"s_{n}", f"p{i}")) for i, n in enumerate(names[1:])]
         parts += [part(i + 2, n, nothing, F.col(f"s_{n}")) for i, n in enumerate(names)]
         pairs = state.repartition(dealt, "r", "th").select("r", "th", "v", F.explode(F.array(*parts)).alias("p")).select("r", "th", "v", "p.*")
         at = lambda kind, c: F.max(F.when(F.col("kind") == kind, F.col(c)))
         found = peeled(pairs, 0, 0, SALT, size="cells", keep="kind < 2").groupBy("r", "th", "v").agg(
-            *[at(i, c).alias(f"{c}{i}") for i in (0, 1) for c in ("whole", "gone", "new")],
+            *[at(i, c).alias(f"{c}{i}") for i in (0, 1) for c in ("size", "whole", "gone", "new")],
             *[at(i + 2, "size").alias(f"s_{n}") for i, n in enumerate(names)], *[at(i + 2, "whole").alias(f"l_{n}") for i, n in enumerate(names)],
         )
         found = staged(found, f"fingerprint-subtracted{k}")
         release(sets.sparkSession)
-        listed = F.col("l_own") & F.col("l_other") & F.col("l_next")
-        good = found.filter(listed).drop(*[f"l_{n}" for n in names], "s_next")
+        ready = F.col("l_own") & F.col("l_other") & F.col("l_next") & F.col("whole0") & F.col("whole1")
+        good = found.filter(ready).select("r", "th", "v", "s_own", "s_other", "gone0", "new0", "gone1", "new1")
         done, k = good if done is None else done.unionByName(good), k + 1
-        again = found.filter(~listed)
+        again = found.filter(~ready)
         if again.isEmpty():
             return done
-        sizes = again.select("r", "th", "v", *[F.when(F.col(f"l_{n}"), F.col(f"s_{n}")).otherwise(F.col(f"s_{n}") * 2).alias(f"s_{n}") for n in names])
+        grown = lambda peels, size: F.when(F.col(peels), F.col(size)).otherwise(F.col(size) * 2)
+        sizes = again.select("r", "th", "v", *[grown(f"l_{n}", f"s_{n}").alias(f"s_{n}") for n in names], *[grown(f"whole{i}", f"size{i}").alias(f"p{i}") for i in (0, 1)])
         state = sets.select("r", "th", "v", *names).join(sizes, ["r", "th", "v"])
 
 

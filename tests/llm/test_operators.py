@@ -346,6 +346,19 @@ def test_returned_fingerprints_give_the_likeness(spark, docs, rows):
             assert got[d][f"near_{name}"] == pytest.approx(len(digests[d] & other) / len(digests[d] | other) if digests[d] | other else 1.0)
 
 
+def test_sketches_grow_until_all_is_recovered(spark, monkeypatch):
+    """From sketches of three cells on, which hold one digest: nothing that differs is left out."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(fingerprints, "cells_of", lambda n: F.lit(3).cast("long"))
+    data = [(i, list(range(i * 1000, i * 1000 + n)), list(range(i * 1000 + k, i * 1000 + n + k)), list(range(i * 1000 + 500, i * 1000 + 500 + m))) for i, (n, k, m) in enumerate([(40, 40, 40), (40, 7, 3), (1, 0, 200), (0, 0, 9), (90, 90, 90), (2, 1, 0)])]
+    sets = spark.createDataFrame([(i, 0, 0, a, b, c) for i, a, b, c in data], "r long, th long, v int, own array<long>, other array<long>, next array<long>")
+    got = {r["r"]: r for r in fingerprints.subtracted(sets).collect()}
+    for i, a, b, c in data:
+        for k, x in ((0, b), (1, c)):
+            assert (sorted(got[i][f"gone{k}"]), sorted(got[i][f"new{k}"])) == (sorted(set(a) - set(x)), sorted(set(x) - set(a)))
+
+
 def test_sketches_peel_what_differs(spark):
     data = [(i, list(range(i * 100, i * 100 + 40)), list(range(i * 100 + k, i * 100 + 40 + k))) for i, k in enumerate((0, 1, 7, 20, 60))]
     pairs = spark.createDataFrame([(i, 0, 0, 0, a, b) for i, a, b in data], "r long, th long, v int, kind int, a array<long>, b array<long>").repartition("r", "th")
