@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from gridloom.sources.staging import staged
+
 BIN = ["tree", "idx"]
 
 
@@ -57,15 +59,9 @@ def similarity_upper(df: DataFrame, blocks: int = 8) -> DataFrame:
     return left.join(right, ["p", "q"]).filter("id <= other").select("id", "other", dot("data", "data2").alias("v"))
 
 
-def nearest(df: DataFrame, queries: DataFrame, k: int, most: int = 10_000) -> DataFrame:
-    """The k nearest points of each query, exact; ties by id.
-
-    A set of at most ``most`` queries is sent to all tasks; a task gives its k best for each, and the best of those
-    are the answer, so only k rows of each query and task are shuffled.
-    """
-    q = queries.select("id", "data").limit(most + 1).toPandas()
-    if len(q) > most:
-        raise ValueError(f"more than {most} queries; ask in parts")
+def block_nearest(df: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """For each query the k best of each batch of points."""
+    q = queries.select("id", "data").toPandas()
     ids, table = q["id"].to_numpy(), np.stack(q["data"].to_numpy()) if len(q) else np.zeros((0, 1))
 
     def best(frames):
@@ -78,7 +74,24 @@ def nearest(df: DataFrame, queries: DataFrame, k: int, most: int = 10_000) -> Da
                 at = np.lexsort((own, d))[:k]
                 yield pd.DataFrame({"query": i, "id": own[at], "d": d[at]})
 
-    found = df.select("id", "data").mapInPandas(best, "query long, id long, d double")
+    return df.select("id", "data").mapInPandas(best, "query long, id long, d double")
+
+
+def nearest(df: DataFrame, queries: DataFrame, k: int, most: int = 10_000) -> DataFrame:
+    """The k nearest points of each query, exact; ties by id.
+
+    A block of about ``most`` queries is sent to all tasks; a task gives its k best for each, and the best of those
+    are the answer, so only k rows of each query and task are shuffled. More queries go in several blocks, one
+    pass over the points each; the finds of a block are staged, so the driver holds one block at a time.
+    """
+    blocks = max(1, -(-queries.count() // most))
+    if blocks == 1:
+        found = block_nearest(df, queries, k)
+    else:
+        block, found = F.pmod(F.xxhash64("id"), F.lit(blocks)), None
+        for b in range(blocks):
+            part = staged(block_nearest(df, queries.filter(block == b), k), "nearest")
+            found = part if found is None else found.unionByName(part)
     place = F.row_number().over(W.partitionBy("query").orderBy("d", "id"))
     return found.withColumn("place", place).filter(F.col("place") <= k)
 

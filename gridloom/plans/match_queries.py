@@ -73,6 +73,16 @@ def j8(spark, sf):
     return rows.groupBy("label", "id").agg((F.round(F.sum(M.dot("data", "other")), 4) + 0.0).alias("v"))
 
 
+@query("J8_similarity_matrix_whole", f"SELECT a.label, b.id, round(sum({DOT}), 3) + 0.0 AS v FROM points a, points b GROUP BY ALL")
+def j8whole(spark, sf):
+    """All vectors against all in blocks, the upper triangle mirrored, summed by label."""
+    p = T.points(spark, sf)
+    upper = M.similarity_upper(p)
+    full = upper.unionByName(upper.filter("id != other").select(F.col("other").alias("id"), F.col("id").alias("other"), "v"))
+    label = p.select(F.col("id").alias("other"), "label")
+    return full.join(label, "other").groupBy("label", "id").agg((F.round(F.sum("v"), 3) + 0.0).alias("v"))
+
+
 @query("J9_symmetric_similarity", f"SELECT a.id, round(sum({DOT}), 3) + 0.0 AS total, count(*) AS n FROM points a JOIN points b ON a.label = b.label GROUP BY a.id")
 def j9(spark, sf):
     """The upper triangle, mirrored; here summed over the partners of the same label."""
@@ -121,6 +131,13 @@ def j11(spark, sf):
     return M.nearest(p, p.filter("id < 20"), 5).withColumn("d", F.round("d", 5))
 
 
+@query("J11_nearest_points_searches", f"WITH d AS (SELECT a.id AS query, b.id, {SQ} AS d FROM points a, points b WHERE a.id % 50 = 0), k AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY d, id) AS place FROM d) SELECT query, id, round(d, 5) AS d, place::INT AS place FROM k WHERE place <= 5")
+def j11searches(spark, sf):
+    """The searches of the contract: every point with an id divisible by 50, at any scale."""
+    p = T.points(spark, sf)
+    return M.nearest(p, p.filter("id % 50 = 0"), 5).withColumn("d", F.round("d", 5))
+
+
 @query("J12_nearest_centre", f"WITH a AS (SELECT label AS centre, list(v ORDER BY i) AS data FROM (SELECT label, i, avg(data[i]::DOUBLE) AS v FROM points, (SELECT unnest(range(1, 65)) AS i) GROUP BY ALL) GROUP BY label), d AS (SELECT b.id, a.centre, row_number() OVER (PARTITION BY b.id ORDER BY {SQ}, centre) AS k FROM points b, a) SELECT id, centre FROM d WHERE k = 1")
 def j12(spark, sf):
     p = T.points(spark, sf)

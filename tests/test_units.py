@@ -150,3 +150,9 @@ def test_stream_gives_the_batch_windows(spark, tmp_path):
 
 def test_gaussian_kernel_sums_to_one():
     assert math.isclose(sum(S.gaussian_kernel(1.3)), 1)
+
+
+def test_nearest_takes_more_queries_than_a_block_holds(spark):
+    p = spark.createDataFrame([(i, [float(i * i % 37), float(i % 5)]) for i in range(60)], "id long, data array<double>")
+    whole = sorted(tuple(r) for r in M.nearest(p, p, 4).collect())
+    assert len(whole) == 240 and sorted(tuple(r) for r in M.nearest(p, p, 4, most=7).collect()) == whole
