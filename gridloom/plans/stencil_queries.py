@@ -270,17 +270,27 @@ def w23(spark, sf):
 
 @query("W24_haar_values", f"WITH {HAAR}, f AS (SELECT * FROM haar WHERE h = 2 AND w = 2) SELECT kind, f.r, f.c, image_id, round(sum(CASE WHEN (((a.r - f.r) // f.h) + ((a.c - f.c) // f.w)) % 2 = 0 THEN v ELSE -v END), 6) AS v FROM f JOIN raster a ON a.r >= f.r AND a.r < f.r + f.h * down AND a.c >= f.c AND a.c < f.c + f.w * across GROUP BY kind, f.r, f.c, image_id")
 def w24(spark, sf):
-    """Alternating sums over the rectangles of each feature of height and width 2, by four lookups a rectangle."""
+    """The features of height and width 2."""
+    return haar_values(spark, sf, S.haar_dictionary(spark, 8).filter("h = 2 and w = 2")).drop("h", "w")
+
+
+@query("W24_haar_values_whole", f"WITH {HAAR} SELECT kind, f.r, f.c, f.h, f.w, image_id, round(sum(CASE WHEN (((a.r - f.r) // f.h) + ((a.c - f.c) // f.w)) % 2 = 0 THEN v ELSE -v END), 6) AS v FROM haar f JOIN raster a ON a.r >= f.r AND a.r < f.r + f.h * down AND a.c >= f.c AND a.c < f.c + f.w * across GROUP BY kind, f.r, f.c, f.h, f.w, image_id")
+def w24whole(spark, sf):
+    """The whole dictionary, all positions and sizes."""
+    return haar_values(spark, sf, S.haar_dictionary(spark, 8))
+
+
+def haar_values(spark, sf, f):
+    """Alternating sums over the rectangles of each feature, by four lookups a rectangle."""
     table = T.raster(spark, sf)
-    f = S.haar_dictionary(spark, 8).filter("h = 2 and w = 2")
     part = f.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("down") - 1))).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("across") - 1)))
     corner = lambda r, c, s: F.struct((F.col("r") + (F.col("i") + r) * F.col("h")).alias("r"), (F.col("c") + (F.col("j") + c) * F.col("w")).alias("c"), F.lit(s).alias("s"))
     corners = F.array(corner(1, 1, 1), corner(0, 1, -1), corner(1, 0, -1), corner(0, 0, 1))
     sign = F.when((F.col("i") + F.col("j")) % 2 == 0, 1).otherwise(-1)
-    lookup = part.withColumn("k", F.explode(corners)).select("kind", F.col("r").alias("fr"), F.col("c").alias("fc"), "k.r", "k.c", (F.col("k.s") * sign).alias("s"))
-    lookup = lookup.groupBy("kind", "fr", "fc", "r", "c").agg(F.sum("s").alias("s"))
+    lookup = part.withColumn("k", F.explode(corners)).select("kind", F.col("r").alias("fr"), F.col("c").alias("fc"), "h", "w", "k.r", "k.c", (F.col("k.s") * sign).alias("s"))
+    lookup = lookup.groupBy("kind", "fr", "fc", "h", "w", "r", "c").agg(F.sum("s").alias("s"))
     # the dictionary depends on the side of an image alone
-    return S.integral(table).join(F.broadcast(lookup), ["r", "c"]).groupBy("kind", F.col("fr").alias("r"), F.col("fc").alias("c"), "image_id").agg(F.round(F.sum(F.col("s") * F.col("v")), 6).alias("v"))
+    return S.integral(table).join(F.broadcast(lookup), ["r", "c"]).groupBy("kind", F.col("fr").alias("r"), F.col("fc").alias("c"), "h", "w", "image_id").agg(F.round(F.sum(F.col("s") * F.col("v")), 6).alias("v"))
 
 
 @query("W25_zero_mean_patch", "SELECT image_id, r, c, round((v - avg(v) OVER w) / stddev_pop(v) OVER w, 6) AS v FROM raster WHERE r < 5 AND c < 5 WINDOW w AS (PARTITION BY image_id)")
@@ -288,6 +298,12 @@ def w25(spark, sf):
     return rounded(S.zero_mean(T.raster(spark, sf).filter("r < 5 and c < 5")), "v")
 
 
+@query("W25_zero_mean_patch_whole", "SELECT image_id, r, c, round((v - avg(v) OVER w) / stddev_pop(v) OVER w, 6) AS v FROM raster WINDOW w AS (PARTITION BY image_id)")
+def w25whole(spark, sf):
+    """The patch is the whole image."""
+    return rounded(S.zero_mean(T.raster(spark, sf)), "v")
+
+
 @query("W26_contour_descriptor", f"""WITH {GRAD}, a AS (SELECT image_id, (r // 4) * 2 + c // 4 AS cell, sqrt(gx * gx + gy * gy) AS m, (CASE WHEN atan2(gy, gx) < 0 THEN atan2(gy, gx) + 2 * pi() ELSE atan2(gy, gx) END) / (2 * pi()) * 8 AS x FROM g),
 b AS (SELECT image_id, cell, floor(x)::INT % 8 AS bin, m * (1 - (x - floor(x))) AS w FROM a UNION ALL SELECT image_id, cell, (floor(x)::INT + 1) % 8, m * (x - floor(x)) FROM a) SELECT image_id, cell::INT AS cell, bin::INT AS bin, round(sum(w), 5) AS w FROM b GROUP BY ALL""")
 def w26(spark, sf):
