@@ -144,6 +144,39 @@ def tree(points: DataFrame, features: list[int], bins: int = 8, depth: int = 3,
         model |= {n: {"feature": s["feature"], "threshold": s["threshold"]} for n, s in grown.items()}
         if not grown:
             break
+    return with_distributions(points, model, labels)
+
+
+def breadth_first_tree(points: DataFrame, features: list[int], threshold: float = 0.01, bins: int = 8, depth: int = 3, minimum: int = 1, support: float = 2, tries: int = 5) -> dict[int, dict]:
+    """A tree whose open nodes are all offered the same features in each round, by one aggregation.
+
+    A node grows at its best split if the gain is above ``threshold`` or its level is under ``minimum``; nodes of a
+    single label, of less weight than ``support`` or at ``depth`` stay leaves. After a round without growth the
+    threshold falls by a part in ``tries`` of its first value; after so many such rounds the tree is done.
+    """
+    points = points if "weight" in points.columns else points.withColumn("weight", F.lit(1.0))
+    labels = sorted(r["label"] for r in points.select("label").distinct().collect())
+    cuts = quantiles(points, features, bins)
+    model: dict[int, dict] = {}
+    step, left, counts = threshold / tries, tries, None
+    while left:
+        if counts is None:
+            here = points.withColumn("node", route(model)).filter(F.col("node") < 2**depth)
+            counts = best_splits(split_counts(here, cuts).toPandas(), cuts, labels)  # at most nodes x features x bins x labels rows
+        open_ = {n: s for n, s in counts.items() if s["whole"].sum() >= support and (s["whole"] > 0).sum() > 1}
+        if not open_:
+            break
+        grown = {n: s for n, s in open_.items() if s["gain"] > 0 and (s["gain"] > threshold or n.bit_length() - 1 < minimum)}
+        if grown:
+            model |= {n: {"feature": s["feature"], "threshold": s["threshold"]} for n, s in grown.items()}
+            counts = None
+        else:
+            threshold, left = threshold - step, left - 1
+    return with_distributions(points, model, labels)
+
+
+def with_distributions(points: DataFrame, model: dict[int, dict], labels: list) -> dict[int, dict]:
+    """The model with the weights by label of all its nodes."""
     leaves = points.withColumn("node", route(model)).groupBy("node", "label").agg(F.sum("weight").alias("n")).collect()
     for r in leaves:
         node = r["node"]

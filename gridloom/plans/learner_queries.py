@@ -95,7 +95,8 @@ def m6(spark, sf):
 
 @query("M7_breadth_first_tree")
 def m7(spark, sf):
-    return tree_rows(spark, [L.tree(weighted(spark, sf), FEATURES, depth=3, least_gain=0.01)])
+    """All 64 features are offered to all open nodes of a round."""
+    return tree_rows(spark, [L.breadth_first_tree(weighted(spark, sf), list(range(64)), threshold=0.01, depth=3)])
 
 
 CUTS = {0: [-0.1, 0.0, 0.1], 5: [-0.05, 0.05]}

@@ -156,3 +156,12 @@ def test_nearest_takes_more_queries_than_a_block_holds(spark):
     p = spark.createDataFrame([(i, [float(i * i % 37), float(i % 5)]) for i in range(60)], "id long, data array<double>")
     whole = sorted(tuple(r) for r in M.nearest(p, p, 4).collect())
     assert len(whole) == 240 and sorted(tuple(r) for r in M.nearest(p, p, 4, most=7).collect()) == whole
+
+
+def test_breadth_first_tree_lowers_its_threshold_and_sees_all_features(spark):
+    p = spark.createDataFrame([(i, [0.0] * 63 + [float(i % 10)], int(i % 10 >= 5) if i >= 10 else i % 2) for i in range(100)], "id long, data array<double>, label int")
+    found = L.breadth_first_tree(p, list(range(64)), threshold=0.9, depth=2, minimum=0)
+    assert found[1]["feature"] == 63
+    # at 0.9 alone nothing grows
+    assert L.breadth_first_tree(p, list(range(64)), threshold=0.9, depth=2, minimum=0, tries=1)[1]["feature"] is None
+    assert L.breadth_first_tree(p, list(range(64)), threshold=0.9, depth=2, minimum=1, tries=1)[1]["feature"] == 63
