@@ -21,7 +21,7 @@ def suffix_dedup(docs: DataFrame, gram: int = GRAM, width: int = WIDTH, sizes: t
     position in about a hundred is an anchor, and each string contains one, at the
     same place in all its copies, so no string is missed; single positions come up only where a
     block of neighbouring ones has a mixed answer. Ranks are named by two independent 64-bit hashes, and
-    pairs are sorted, counted and joined by Spark.
+    pairs are grouped, counted and joined by Spark.
 
     Whole texts as UTF-8 bytes; null is empty; strings never cross rows; copies count, in the same
     text or another, and repeated rows are copies. Texts shorter than the string keep all bytes.
