@@ -61,7 +61,7 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: fl
 
     Returns the tables ``documents`` (id, th (a hash of the text), source, size, source_size, target, taken), ``slots`` (src,
     slot, shard, index, words) and ``pieces`` (id, src, index, first, last: the words of a block
-    that are the document's). The same input gives the same mix.
+    that are the document's), ``shards`` (src, shard, words). The same input gives the same mix.
     """
     sized = staged(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(text_col).alias("size"), F.xxhash64(text_of(text_col)).alias("th")), "sizes")
     targets = staged(source_targets(sized, weights, share, repeat), "targets")
@@ -95,18 +95,34 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: fl
     taken = pieces.join(used.hint("merge"), (F.col("src") == F.col("s_src")) & (F.col("index") == F.col("s_index")), "left").groupBy("id", "th", "source", "size", "source_size", "target", "stream_at").agg(F.coalesce(F.sum(got), F.lit(0)).cast("long").alias("taken"))
     keep = ["id", "th", "source", "size", "source_size", "target"]
     result = taken.select(*keep, "taken").unionByName(named.filter("size = 0").select(*keep, F.lit(0).cast("long").alias("taken")))
-    return {"documents": result, "slots": slots, "pieces": pieces}
+    shares = slots.groupBy("src", "shard").agg(F.sum("words").alias("words"))
+    return {"documents": result, "slots": slots, "pieces": pieces, "shards": shares}
+
+
+#: A document in the fixed point of running sums.
+ONE = 1 << 30
 
 
 def drawn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed: int = 1, **how) -> DataFrame:
     """The rows of ``docs`` as often as the mix takes them.
 
-    The mix cuts documents at blocks; here a document is drawn as a whole, taken / size times, a fraction
-    by a hash of the document, so that the words drawn come to those taken on average. Documents without words stay once.
+    The mix cuts documents at blocks; here a document is drawn as a whole, taken / size times. Fractions are
+    rounded by their running sum within the source, in order of size from an offset by hash, so the words of a
+    source differ from those taken by less than its longest document. Documents without words stay once.
     """
     mixed = mix_sources(docs, id_col=id_col, text_col=text_col, seed=seed, **how)["documents"]
-    times = F.when(F.col("size") == 0, 1).otherwise(F.floor(F.col("taken") / F.col("size") + fraction(F.lit(seed + 3), F.col("id"), F.col("th"))))
-    return kept_rows(docs, mixed.groupBy("id", F.col("th").alias("key")).agg(F.sum(times).cast("int").alias("times")), F.xxhash64(text_of(text_col)), id_col)
+    # fixed point, so that sums don't depend on their order
+    parts = F.round(F.col("taken") / F.col("size") * ONE).cast("long")
+    h = F.xxhash64(F.lit(seed + 3), F.col("id"), F.col("th"))
+    some = mixed.filter("size > 0").select("id", "th", "source", "size", parts.alias("parts"), h.alias("h"))
+    # equal sizes are dealt to 64 buckets; sizes ascend from bucket to bucket
+    some = some.withColumn("bucket", F.col("size") * 64 + F.shiftrightunsigned("h", 58))
+    some = running(some, ["source"], "bucket", [F.col("h"), F.col("id"), F.col("th"), F.col("parts")], F.col("parts"), "before")
+    offset = F.floor(fraction(F.lit(seed + 3), F.col("source")) * ONE).cast("long")
+    whole = lambda x: F.floor((x + offset) / ONE)
+    times = whole(F.col("before") + F.col("parts")) - whole(F.col("before"))
+    drawn_times = some.select("id", "th", times.alias("times")).unionByName(mixed.filter("size = 0").select("id", "th", F.lit(1).cast("long").alias("times")))
+    return kept_rows(docs, drawn_times.groupBy("id", F.col("th").alias("key")).agg(F.sum("times").cast("int").alias("times")), F.xxhash64(text_of(text_col)), id_col)
 
 
 def op1_mixing(spark, sf_dir):

@@ -346,6 +346,22 @@ def test_returned_fingerprints_give_the_likeness(spark, docs, rows):
             assert got[d][f"near_{name}"] == pytest.approx(len(digests[d] & other) / len(digests[d] | other) if digests[d] | other else 1.0)
 
 
+def test_drawn_words_are_within_one_document_of_the_mix(spark):
+    rng = random.Random(3)
+    data = [(i, " ".join(f"w{i}" for _ in range(rng.choice([1, 3, 20, 200]) if i else 4000)), f"s{i % 3}") for i in range(400)]
+    docs = table(spark, data)
+    size = {d: len(t.split()) for d, t, _ in data}
+    taken, longest, drawn = Counter(), Counter(), Counter()
+    mix = mixing.mix_sources(docs)
+    for r in mix["documents"].collect():
+        taken[r["source"]] += r["taken"]
+        longest[r["source"]] = max(longest[r["source"]], r["size"])
+    for r in mixing.drawn(docs).select("doc_id", "source").collect():
+        drawn[r["source"]] += size[r["doc_id"]]
+    assert all(abs(drawn[s] - taken[s]) <= longest[s] for s in taken)
+    assert sum(r["words"] for r in mix["shards"].collect()) == sum(taken.values())
+
+
 def test_sketches_grow_until_all_is_recovered(spark, monkeypatch):
     """From sketches of three cells on, which hold one digest: nothing that differs is left out."""
     from pyspark.sql import functions as F
