@@ -3,21 +3,25 @@
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import staged
+from gridloom.llm.common import staged, text_of
 
 WORD = re.compile(r"[^\W\d_]+")
 SENTENCE = re.compile(r"[.!?\n]+")
 #: Labelled documents to learn from, toxic and other; words and word beginnings that may get a weight.
 TOXIC_SAMPLE, OTHER_SAMPLE, FEATURES = 4000, 8000, 4000
+#: Characters of all texts to learn from.
+SAMPLE_CHARS = 60_000_000
+#: Features that a task counts before it hands its counts on.
+FLUSH = 200_000
 #: Lengths of the word beginnings, by which inflected forms share a weight.
 STEMS = (4, 5, 6)
 
@@ -29,7 +33,7 @@ def features_of(word: str) -> list[str]:
 class Weights(dict):
     """The summed weight of a word's features, worked out once for each distinct word."""
 
-    def __init__(self, model: dict[str, float], most: int = 500_000) -> None:
+    def __init__(self, model: dict[str, float], most: int = 200_000) -> None:
         super().__init__()
         self.model, self.most = model, most
 
@@ -46,63 +50,48 @@ def sentences(text: str) -> list[str]:
     return [s for s in SENTENCE.split(text.lower()) if s.strip()] or [""]
 
 
-def fit_noisy_or(texts: list[str], labels: np.ndarray, weights: np.ndarray, features: int = FEATURES, steps: int = 400, l1: float = 2e-5) -> dict[str, float]:
-    """Weights of words and word beginnings (and the bias, under the empty word) of a sentence model, from document labels.
+def split_features(text: str) -> list[set[str]]:
+    """The features of each sentence of a text."""
+    return [{f for w in set(WORD.findall(s)) for f in features_of(w)} for s in sentences(text)]
 
-    A sentence is toxic with probability sigmoid(bias + weights of its words); a document is if any
-    of its sentences is: P = 1 - prod(1 - p). Full-batch gradient steps on the weighted log
-    likelihood with soft thresholding, so words that tell nothing get no weight.
+
+def fit_noisy_or(ids: np.ndarray, sizes: np.ndarray, owner: np.ndarray, plain: np.ndarray, labels: np.ndarray, weights: np.ndarray, features: int, steps: int = 400, l1: float = 2e-5) -> tuple[np.ndarray, float]:
+    """Weights of features, and the bias, of a sentence model, from document labels.
+
+    Sentences come as one sparse matrix: ``ids`` holds the features of one sentence after the other,
+    ``sizes`` how many each has (at least one), ``owner`` its document; ``plain`` counts the sentences
+    of a document without any feature. A sentence is toxic with probability sigmoid(bias + weights of
+    its features); a document is if any of its sentences is: P = 1 - prod(1 - p). Full-batch gradient
+    steps on the weighted log likelihood with soft thresholding, so features that tell nothing get no weight.
     """
-    y, wt = labels.astype(float), weights / weights.sum()
-    seen: tuple[Counter, Counter] = (Counter(), Counter())
-    split = [[{f for w in set(WORD.findall(s)) for f in features_of(w)} for s in sentences(t)] for t in texts]
-    for doc, label in zip(split, labels, strict=True):
-        seen[int(label)].update(set().union(*doc))
-    n = [max(1, int((labels == k).sum())) for k in (0, 1)]
-    odds = {}
-    for word in seen[0].keys() | seen[1].keys():
-        a, b = seen[1][word], seen[0][word]
-        if a + b >= 3:
-            pa_, pb = (a + 0.5) / (n[1] + 1), (b + 0.5) / (n[0] + 1)
-            odds[word] = (np.log(pa_ / (1 - pa_)) - np.log(pb / (1 - pb))) / np.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))
-    vocabulary = sorted(odds, key=lambda w: (-abs(odds[w]), w))[:features]
-    at = {w: i for i, w in enumerate(vocabulary)}
-    rows, cols, owner, plain = [], [], [], np.zeros(len(split))
-    for d, doc in enumerate(split):
-        for s in doc:
-            ids = [at[w] for w in s if w in at]
-            if ids:
-                rows += [len(owner)] * len(ids)
-                cols += ids
-                owner.append(d)
-            else:
-                plain[d] += 1
-    rows_, cols_, owner_ = np.asarray(rows, int), np.asarray(cols, int), np.asarray(owner, int)
-    w, bias = np.zeros(len(vocabulary)), -6.0
-    mean, var = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
+    y, wt = labels.astype(float), weights / max(weights.sum(), 1e-300)
+    w, bias = np.zeros(features), -6.0
+    mean, var = np.zeros(features + 1), np.zeros(features + 1)
+    row_at = np.cumsum(sizes, dtype=np.int64) - sizes
+    by_feature = np.argsort(ids, kind="stable").astype(np.int32)
+    sentence = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)[by_feature]
+    present, col_at = np.unique(ids[by_feature], return_index=True)
+    del by_feature
     for step in range(1, steps + 1):
-        z = bias + np.bincount(rows_, w[cols_], len(owner))
-        p = 1 / (1 + np.exp(-z))
-        p0 = 1 / (1 + np.exp(-bias))
-        none = np.bincount(owner_, np.logaddexp(0, z), len(split)) + plain * np.logaddexp(0, bias)
+        z = bias + (np.add.reduceat(w[ids], row_at) if len(ids) else np.zeros(0))
+        none = np.bincount(owner, np.logaddexp(0, z), len(y)) + plain * np.logaddexp(0, bias)
         any_ = np.maximum(-np.expm1(-none), 1e-12)
         pull = wt * (y / any_ - 1)
-        slope = p * pull[owner_]
-        grad = np.append(np.bincount(cols_, slope[rows_], len(w)), slope.sum() + (pull * plain * p0).sum())
+        slope = pull[owner] / (1 + np.exp(-z))
+        grad = np.zeros(features + 1)
+        if len(ids):
+            grad[present] = np.add.reduceat(slope[sentence], col_at)
+        grad[-1] = slope.sum() + (pull * plain).sum() / (1 + np.exp(-bias))
         mean, var = 0.9 * mean + 0.1 * grad, 0.999 * var + 0.001 * grad**2
-        move = 0.1 * (mean / (1 - 0.9**step)) / (np.sqrt(var / (1 - 0.999**step)) + 1e-7)
+        pace = 0.1 / (np.sqrt(var / (1 - 0.999**step)) + 1e-7)
+        move = pace * mean / (1 - 0.9**step)
         w, bias = w + move[:-1], bias + move[-1]
-        w = np.sign(w) * np.maximum(np.abs(w) - 0.1 * l1 / (np.sqrt(var[:-1] / (1 - 0.999**step)) + 1e-7), 0)
-    return {"": float(bias)} | {v: float(x) for v, x in zip(vocabulary, w, strict=True) if abs(x) > 1e-3}
+        w = np.sign(w) * np.maximum(np.abs(w) - pace[:-1] * l1, 0)
+    return w, float(bias)
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", toxic_sample: int = TOXIC_SAMPLE, other_sample: int = OTHER_SAMPLE) -> dict[str, float]:
-    """Learn the model from labelled rows whose crc32(id as text) mod 5 is not 0.
-
-    At most ``toxic_sample`` and ``other_sample`` rows of each label are used, those with the
-    smallest hash of the identifier, so one task can hold them; each stands for as many labelled rows as its share.
-    Rows with a null label, or without a document, are left out. Without any labels the model is a small constant.
-    """
+def sampled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, toxic_sample: int, other_sample: int, most_chars: int) -> DataFrame:
+    """The labelled documents to learn from: (id, text, y, wt)."""
     known = labels.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & (F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 != 0))
     known = known.groupBy(F.col(id_col).alias("l_id")).agg(F.max(label_col).cast("int").alias("y"))
     share = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
@@ -111,17 +100,88 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         part = known.filter(F.col("y") == label).orderBy(F.xxhash64(F.lit(6), "l_id"), "l_id").limit(most)
         part = part.withColumn("wt", F.lit(share.get(label, 0) / max(1, min(most, share.get(label, 0)))))
         some = part if some is None else some.unionByName(part)
-    sample = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(some), F.col("id") == F.col("l_id"))
+    text = text_of(text_col)
+    found = docs.select(F.col(id_col).alias("id"), text.alias("text")).join(F.broadcast(some), F.col("id") == F.col("l_id"))
+    # of rows with one identifier, the text of the least hash
+    found = found.groupBy("id", "y", "wt").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t")).select("id", "y", "wt", "t.text")
+    order = W.orderBy(F.xxhash64(F.lit(7), "id"), "id")  # at most both samples' rows
+    chars = F.sum(F.char_length("text").cast("long")).over(order)
+    return found.withColumn("chars", chars).filter(F.col("chars") <= most_chars).select("id", "text", "y", "wt")
+
+
+def vocabulary_of(sample: DataFrame, features: int) -> list[str]:
+    """The features that tell most: greatest log odds ratio of the labels over its standard error, from counts of documents."""
 
-    def fit(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = pd.concat([f for f in frames], ignore_index=True).sort_values(["id", "text"])
-        model = fit_noisy_or(list(rows["text"].fillna("")), rows["y"].to_numpy(), rows["wt"].to_numpy()) if len(rows) else {"": -6.0}
-        yield pd.DataFrame({"word": list(model), "weight": list(model.values())})
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[str, list[int]] = {}
 
-    # one row more, so that the task has rows even where nothing is labelled
-    model = staged(sample.select("id", "text", "y", "wt").repartition(1).mapInPandas(fit, "word string, weight double"), "toxicity")
-    found = {r["word"]: r["weight"] for r in model.collect()}
-    return found or {"": -6.0}
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.string()), *[pa.array([v[k] for v in seen.values()], pa.int64()) for k in (0, 1)]], ["word", "n0", "n1"])
+
+        for b in batches:
+            for text, y in zip(b.column(0), b.column(1).to_pylist(), strict=True):
+                for f in set().union(*split_features(text.as_py())):
+                    seen.setdefault(f, [0, 0])[y] += 1
+                if len(seen) > FLUSH:
+                    yield out()
+                    seen.clear()
+        yield out()
+
+    n = {r["y"]: r["count"] for r in sample.groupBy("y").count().collect()}
+    counts = sample.select("text", "y").mapInArrow(counted, "word string, n0 long, n1 long").groupBy("word").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).filter("n0 + n1 >= 3")
+    odds = lambda k: F.log((F.col(f"n{k}") + 0.5) / (F.lit(max(1, n.get(k, 0)) + 0.5) - F.col(f"n{k}")))
+    tells = F.abs(odds(1) - odds(0)) / F.sqrt(1 / (F.col("n1") + 0.5) + 1 / (F.col("n0") + 0.5))
+    return [r["word"] for r in counts.orderBy(F.desc(tells), "word").limit(features).select("word").collect()]
+
+
+def encoded(sample: DataFrame, at: Broadcast) -> DataFrame:
+    """Each document as arrays: features of its sentences, their number in each sentence that has any, sentences without."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = at.value
+        for b in batches:
+            ids, sizes, plain = [], [], []
+            for text in b.column(1):
+                each = [sorted(known[f] for f in s if f in known) for s in split_features(text.as_py())]
+                full = [x for x in each if x]
+                ids.append(np.fromiter((i for x in full for i in x), np.int32))
+                sizes.append(np.fromiter(map(len, full), np.int32))
+                plain.append(len(each) - len(full))
+            ints = pa.list_(pa.int32())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), pa.array(ids, ints), pa.array(sizes, ints), pa.array(plain, pa.int32())], ["id", "y", "wt", "ids", "sizes", "plain"])
+
+    return sample.select("id", "text", "y", "wt").mapInArrow(run, f"id {sample.schema['id'].dataType.simpleString()}, y int, wt double, ids array<int>, sizes array<int>, plain int")
+
+
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", toxic_sample: int = TOXIC_SAMPLE, other_sample: int = OTHER_SAMPLE, most_chars: int = SAMPLE_CHARS, features: int = FEATURES) -> dict[str, float]:
+    """Learn the model from labelled rows whose crc32(id as text) mod 5 is not 0.
+
+    At most ``toxic_sample`` and ``other_sample`` rows of each label are used, those with the
+    smallest hash of the identifier, and of these as many, in another hash order, as come to
+    ``most_chars`` characters; each stands for as many labelled rows as its share. Spark counts the features, keeps
+    the ``features`` best and encodes the sentences as numbers; one task then fits on these numbers alone,
+    whose size the three bounds limit.
+
+    Rows with a null label or identifier, or without a document, are left out; a label that is given twice
+    counts as 1 if any is; of rows that share an identifier one is used; null texts are empty. Without any labels the model is a small constant.
+    """
+    sample = staged(sampled(docs, labels, id_col, text_col, label_col, toxic_sample, other_sample, most_chars).repartition(max(8, docs.sparkSession.sparkContext.defaultParallelism * 2)), "toxicity-sample")
+    words = vocabulary_of(sample, features)
+    at = docs.sparkSession.sparkContext.broadcast({w: i for i, w in enumerate(words)})  # ``features`` words at most
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [[c.to_numpy(zero_copy_only=False) for c in b.columns[1:3]] + [c.values.to_numpy() if c.type == pa.list_(pa.int32()) else c.to_numpy() for c in b.columns[3:]] + [c.value_lengths().to_numpy() for c in b.columns[4:5]] for b in batches if b.num_rows]
+        if not rows:
+            return
+        y, wt, ids, sizes, plain, sentences_ = (np.concatenate(x) for x in zip(*rows, strict=True))
+        owner = np.repeat(np.arange(len(y), dtype=np.int32), sentences_)
+        w, bias = fit_noisy_or(ids, sizes, owner, plain, y, wt, len(words))
+        told = np.flatnonzero(np.abs(w) > 1e-3)
+        yield pa.RecordBatch.from_arrays([pa.array(["", *(words[i] for i in told)], pa.string()), pa.array(np.concatenate([[bias], w[told]]))], ["word", "weight"])
+
+    numbers = staged(encoded(sample, at), "toxicity-numbers")
+    model = numbers.repartition(1).sortWithinPartitions("id").mapInArrow(fit, "word string, weight double")
+    return {r["word"]: r["weight"] for r in model.collect()} or {"": -6.0}
 
 
 def score_text(text: str, weights: Weights) -> tuple[float, list[tuple[int, float]]]:
@@ -136,7 +196,10 @@ def score_text(text: str, weights: Weights) -> tuple[float, list[tuple[int, floa
 
 
 def score(docs: DataFrame, model: dict[str, float], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Score every whole text. Null texts are empty; labels and other columns are not read.
+    """Score every whole text by noisy-or over its sentences: 1 - prod(1 - sigmoid(bias + weights)).
+
+    Null texts are empty and have one empty sentence; labels and other columns are not read; repeated rows and
+    rows with a null id (never held out) are scored one by one; an empty table gives none.
 
     Returns id, held_out, score, predicted, and ``offending``: (sentence, score) of sentences of 0.5 or more.
     """
@@ -167,7 +230,10 @@ def score(docs: DataFrame, model: dict[str, float], id_col: str = "doc_id", text
 
 
 def without_toxic(docs: DataFrame, model: dict[str, float], text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns as they are, whose text scores below 0.5."""
+    """The rows of ``docs``, all columns as they are (also null and repeated ones), whose whole text scores below 0.5.
+
+    A null text is empty. Columns keep their names, whatever these are; an empty table stays empty.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(model)  # FEATURES words at most
     at = docs.columns.index(text_col)
 
