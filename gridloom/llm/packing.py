@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm.common import BUCKETS, running, staged
-from gridloom.llm.tokens import ByteIds, tokenizer_path
+from gridloom.llm.tokens import byte_ids, tokenizer_path
 
 #: Texts tokenised at a time, so that a task's memory does not depend on its share of rows.
 BATCH = 64
@@ -29,7 +29,7 @@ def token_pieces(docs: DataFrame, path: str, length: int = 2048, end_id: int = 0
 
         from pyspark import TaskContext
 
-        encoder = ByteIds(path)
+        encoder = byte_ids(path)
         end = np.asarray([end_id], "<u4").tobytes()
         row = TaskContext.get().partitionId() << 40
         for b in batches:

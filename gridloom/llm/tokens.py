@@ -7,6 +7,7 @@ import re
 from collections import Counter
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -129,44 +130,73 @@ def token_counts(docs: DataFrame, path: str, limit: int = 2048, head: int = HEAD
     return heads.join(tails, "row", "left").select(F.col("id").alias(id_col), "n_bytes", n.alias("n_tokens"), (n > limit).alias("over_limit"))
 
 
+#: White space that may stand beside a single space, which then isn't the start of a pre-token.
+DOUBLED = ("  ", *(x for w in "\t\n\v\f\r" for x in (f" {w}", f"{w} ")))
+#: Stretches that are encoded as one text.
+TOGETHER = 2000
+
+
 class ByteIds:
     """Ids of whole texts under the byte-level vocabulary, as little-endian unsigned 32-bit bytes.
 
     A stretch from one single space before a word to the next is cut into pre-tokens the same way
-    wherever it stands, so its ids are remembered. ``tokenizers`` gives them; texts with doubled
+    wherever it stands, so its ids are remembered. ``tokenizers`` gives them, for many stretches in one
+    text: the ids of a stretch begin with the one token that begins with a space. Texts with doubled
     white space, special strings or characters beyond Latin script go through it as a whole.
     """
 
-    def __init__(self, path: str, most: int = 800_000) -> None:
+    def __init__(self, path: str, most: int = 600_000) -> None:
         self.tokenizer, self.known, self.most = load_tokenizer(path), {}, most
+        vocabulary = self.tokenizer.get_vocab()
+        self.spaced = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.spaced[[i for token, i in vocabulary.items() if token.startswith("\u0120")]] = True
 
-    def whole(self, text: str) -> bytes:
-        import numpy as np
+    def ids(self, texts: list[str]) -> Iterator[np.ndarray]:
+        return (np.asarray(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False))
 
-        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    def whole(self, text: str) -> bytes:
+        return next(self.ids([text])).tobytes()
+
+    def learn(self, stretches: list[str]) -> None:
+        known, firsts = self.known, [w for w in stretches if w[:1] != " "]
+        rest = [w for w in stretches if w[:1] == " "]
+        groups = [rest[at : at + TOGETHER] for at in range(0, len(rest), TOGETHER)]
+        for group, ids in zip(groups, self.ids(["".join(g) for g in groups]), strict=True):
+            at = np.append(np.flatnonzero(self.spaced[ids]), len(ids))
+            if len(at) != len(group) + 1:
+                firsts += group
+                continue
+            data, at = ids.tobytes(), (at * 4).tolist()
+            for w, a, b in zip(group, at, at[1:], strict=False):
+                known[w] = data[a:b]
+        for w, ids in zip(firsts, self.ids(firsts), strict=True):
+            known[w] = ids.tobytes()
 
     def batch(self, texts: list[str]) -> list[bytes]:
-        import numpy as np
-
-        known, cut = self.known, []
+        known, cut, missing = self.known, [], set()
         if len(known) > self.most:
             known.clear()
-        missing: dict[str, None] = {}
         for text in texts:
-            if not plain(text) or re.search(r"\s | \s|^ | $", text):
+            if not plain(text) or text[:1] == " " or text[-1:] == " " or any(x in text for x in DOUBLED):
                 cut.append(None)
                 continue
             words = text.replace(" ", "\x00 ").split("\x00")
             cut.append(words)
-            missing.update(dict.fromkeys(w for w in words if w not in known))
-        todo = list(missing)
-        for at in range(0, len(todo), 20_000):
-            part = todo[at : at + 20_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                known[w] = np.asarray(e.ids, "<u4").tobytes()
+            missing.update(w for w in words if w not in known)
+        self.learn(list(missing))
         return [self.whole(t) if c is None else b"".join(map(known.__getitem__, c)) for t, c in zip(texts, cut, strict=True)]
 
 
+_encoders: dict[str, ByteIds] = {}
+
+
+def byte_ids(path: str) -> ByteIds:
+    """The encoder of this worker process, with what it remembers from earlier tasks."""
+    if path not in _encoders:
+        _encoders[path] = ByteIds(path)
+    return _encoders[path]
+
+
 def tokenizer_path(name: str) -> str:
     import public_tokenizers
 
