@@ -104,9 +104,11 @@ def sampled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, labe
     found = docs.select(F.col(id_col).alias("id"), text.alias("text")).join(F.broadcast(some), F.col("id") == F.col("l_id"))
     # of rows with one identifier, the text of the least hash
     found = found.groupBy("id", "y", "wt").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t")).select("id", "y", "wt", "t.text")
-    order = W.orderBy(F.xxhash64(F.lit(7), "id"), "id")  # at most both samples' rows
-    chars = F.sum(F.char_length("text").cast("long")).over(order)
-    return found.withColumn("chars", chars).filter(F.col("chars") <= most_chars).select("id", "text", "y", "wt")
+    found = staged(found, "toxicity-labelled")
+    order = W.orderBy(F.xxhash64(F.lit(7), "id"), "id")  # at most both samples' rows, without their texts
+    sizes = found.select("id", F.char_length("text").cast("long").alias("chars"))
+    some = sizes.withColumn("chars", F.sum("chars").over(order)).filter(F.col("chars") <= most_chars).select("id")
+    return found.join(F.broadcast(some), "id", "left_semi").select("id", "text", "y", "wt")
 
 
 def vocabulary_of(sample: DataFrame, features: int) -> list[str]:
