@@ -67,15 +67,64 @@ class Hashes:
         return mixed((self.sums[end] - self.sums[start]) * inverse[start] + (end - start).astype(np.uint64) * np.uint64(0x2545F4914F6CDD1D))
 
 
+PRIME = np.uint64((1 << 61) - 1)
+
+
+def reduced(x: np.ndarray) -> np.ndarray:
+    """x modulo 2**61 - 1."""
+    x = (x & PRIME) + (x >> np.uint64(61))
+    return np.where(x >= PRIME, x - PRIME, x)
+
+
+def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a * b modulo 2**61 - 1, from halves of 31 and 30 bits."""
+    low, k30, k31 = np.uint64((1 << 31) - 1), np.uint64(30), np.uint64(31)
+    a1, a0, b1, b0 = a >> k31, a & low, b >> k31, b & low
+    mid = a1 * b0 + a0 * b1
+    return reduced(a1 * b1 * np.uint64(2) + (mid >> k30) + ((mid & np.uint64((1 << 30) - 1)) << k31) + a0 * b0)
+
+
+class PrimeHashes:
+    """As Hashes, modulo the prime 2**61 - 1, under which no family of unequal texts is known to agree."""
+
+    BASE = 0x1B0B5A3F2C9D7E11 % ((1 << 61) - 1)
+
+    def __init__(self, values: np.ndarray, upto: int) -> None:
+        """``upto``: the length of the longest text whose names are to be compared."""
+        n = upto + 1
+        have = np.ones(1, np.uint64)
+        while len(have) < n:
+            have = np.concatenate([have, product(have, np.uint64(pow(self.BASE, len(have), (1 << 61) - 1)))])
+        self.powers = have[:n]
+        terms = product(reduced(values), self.powers[: len(values)])
+        half = np.uint64(32)
+        low, high = (np.cumsum(x, dtype=np.uint64) for x in (terms & np.uint64(0xFFFFFFFF), terms >> half))
+        self.sums = np.concatenate([np.zeros(1, np.uint64), reduced(product(reduced(high), np.uint64(1 << 32)) + reduced(low))])
+
+    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """A name of the stretch, as if it stood at place ``upto``, so that names of all texts up to that length compare."""
+        return product(reduced(self.sums[end] + PRIME - self.sums[start]), self.powers[-1 - start])
+
+
+#: Bytes of a word from which its hash is taken by a cryptographic function.
+LONG_WORD = 200
+
+
 class Units:
     """A text as units with hashes; ``bounds``: where each unit starts and ends among the bytes."""
 
-    def __init__(self, data: bytes, words: bool) -> None:
+    def __init__(self, data: bytes, words: bool, families: int = 2) -> None:
         self.data = np.frombuffer(data, np.uint8)
         if words:
             edge = np.diff(np.concatenate([[1], SPACE[self.data].view(np.int8), [1]]))
             self.starts, self.ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-            self.hashes = [Hashes(Hashes(BYTE_VALUES[k][self.data], k).of(self.starts, self.ends), k) for k in (0, 1)]
+            names = [Hashes(BYTE_VALUES[k][self.data], k).of(self.starts, self.ends) for k in range(families)]
+            # polynomials modulo 2**64 agree on some pairs of words of 1024 bytes and more
+            for i in np.flatnonzero(self.ends - self.starts > LONG_WORD).tolist():
+                digest = hashlib.blake2b(data[self.starts[i] : self.ends[i]], digest_size=16).digest()
+                for k, name in enumerate(names):
+                    name[i] = int.from_bytes(digest[8 * k : 8 * k + 8], "little")
+            self.hashes = [Hashes(name, k) for k, name in enumerate(names)]
             self.n = len(self.starts)
         else:
             self.hashes = [Hashes(BYTE_VALUES[k][self.data], k) for k in (0, 1)]
