@@ -52,14 +52,16 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: fl
     words (the last may be shorter). A source's target is a number of slots. Slot k of the e-th pass
     takes the block to which that pass's pseudorandom permutation maps it, so no block is taken
     again before all have been, and none more than ``repeat`` times. The last slot takes only as
-    many words of its block as are left. Each slot draws its output shard, so the counts of a source
-    over the shards are a multinomial draw whose total is the source's quota: totals are exact, and
-    the shards vary as independent draws do. Slots meet blocks by (source, block index).
+    many words of its block as are left. First the number of slots that each output shard gets of each source is
+    drawn: a multinomial draw whose total is the source's quota, by counting independent draws, so totals are exact, and
+    the shards vary as such draws do. These counts then make the slots: a shard's slots of a source are
+    the numbers after those of the shards before it. Slots meet blocks by (source, block index).
 
     Null texts and texts without words have size 0 and are never taken; null sources are a source;
-    repeated rows are separate stretches of the stream; an empty table gives empty results.
+    repeated rows are separate stretches of the stream (rows that tie in hash, identifier and text are
+    interchangeable); an empty table gives empty results.
 
-    Returns the tables ``documents`` (id, th (a hash of the text), source, size, source_size, target, taken), ``slots`` (src,
+    Returns the tables ``documents`` (id, th (a hash of the text), source, size, source_size, target, taken, shards: those that its words go to), ``slots`` (src,
     slot, shard, index, words) and ``pieces`` (id, src, index, first, last: the words of a block
     that are the document's), ``shards`` (src, shard, words). The same input gives the same mix.
     """
@@ -71,15 +73,23 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: fl
     for e in range(repeat):  # where the short block comes in each pass
         t = t.withColumn(f"at{e}", permuted(F.col("n") - 1, F.col("n"), [F.lit(seed), F.col("src"), F.lit(e).cast("long")], inverse=True) + F.lit(e) * F.col("n"))
     most = F.least(F.col("n") * repeat, F.ceil(F.col("quota") / block) + repeat).cast("long")
-    chunk = t.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((most - 1) / CHUNK)))).repartition(F.col("src"), F.col("chunk"))
-    slots = chunk.withColumn("slot", F.explode(F.sequence(F.col("chunk") * CHUNK, F.least((F.col("chunk") + 1) * CHUNK, most) - 1)))
+    parts = max(8, docs.sparkSession.sparkContext.defaultParallelism)
+    chunk = t.withColumn("most", most).withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("most") - 1) / CHUNK)))).repartition(parts, F.col("src"), F.col("chunk"))
+    # the multinomial draw: how many of the source's slots each shard gets
+    draw = F.floor(fraction(F.lit(seed + 1), F.col("src"), F.col("slot")) * shards).cast("int")
+    drawn_slots = chunk.select("src", F.explode(F.sequence(F.col("chunk") * CHUNK, F.least((F.col("chunk") + 1) * CHUNK, F.col("most")) - 1)).alias("slot"))
+    counts = staged(drawn_slots.groupBy("src", draw.alias("shard")).agg(F.count("*").alias("slots")), "shard-counts")
+    # a shard's slots of a source follow those of the shards before it: at most ``shards`` rows a source
+    start = F.sum("slots").over(W.partitionBy("src").orderBy("shard").rowsBetween(W.unboundedPreceding, -1))
+    ranges = counts.withColumn("start", F.coalesce(start, F.lit(0))).join(t, "src")
+    ranges = ranges.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("slots") - 1) / CHUNK)))).repartition(parts, F.col("src"), F.col("shard"), F.col("chunk"))
+    slots = ranges.withColumn("slot", F.explode(F.sequence(F.col("start") + F.col("chunk") * CHUNK, F.col("start") + F.least((F.col("chunk") + 1) * CHUNK, F.col("slots")) - 1)))
     passed = F.floor(F.col("slot") / F.col("n")).cast("long")
     slots = slots.withColumn("index", permuted(F.col("slot") % F.col("n"), F.col("n"), [F.lit(seed), F.col("src"), passed]))
     shorts = sum(F.when(F.col("slot") > F.col(f"at{e}"), 1).otherwise(0) for e in range(repeat))
     before = F.col("slot") * block - shorts * (block - F.col("short"))
     length = F.when(F.col("index") == F.col("n") - 1, F.col("short")).otherwise(block)
-    shard = F.floor(fraction(F.lit(seed + 1), F.col("src"), F.col("slot")) * shards).cast("int")
-    slots = slots.withColumn("words", F.least(length, F.col("quota") - before).cast("long")).filter("words > 0").select("src", "slot", shard.alias("shard"), "index", "words")
+    slots = slots.withColumn("words", F.least(length, F.col("quota") - before).cast("long")).filter("words > 0").select("src", "slot", "shard", "index", "words")
 
     named = sized.join(targets.select(F.col("source").alias("of"), "src", "source_size", "target"), F.col("source").eqNullSafe(F.col("of"))).drop("of")
     h = F.xxhash64(F.lit(seed + 2), F.col("id"))
@@ -89,12 +99,12 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: fl
     lo = F.greatest(F.col("first") - F.col("index") * block, F.lit(0)).alias("from_word")
     hi = F.least(F.col("first") + F.col("size") - F.col("index") * block, F.lit(block)).alias("to_word")
     pieces = pieces.select("id", "th", "src", "source", "size", "source_size", "target", F.col("first").alias("stream_at"), "index", lo, hi)
-    used = slots.select(F.col("src").alias("s_src"), F.col("index").alias("s_index"), "words")
+    used = slots.select(F.col("src").alias("s_src"), F.col("index").alias("s_index"), "words", "shard")
     got = F.greatest(F.least("to_word", F.coalesce("words", F.lit(0))) - F.col("from_word"), F.lit(0))
     # slots come out of a few rows of targets, which hides their number from the planner: no broadcast
-    taken = pieces.join(used.hint("merge"), (F.col("src") == F.col("s_src")) & (F.col("index") == F.col("s_index")), "left").groupBy("id", "th", "source", "size", "source_size", "target", "stream_at").agg(F.coalesce(F.sum(got), F.lit(0)).cast("long").alias("taken"))
+    taken = pieces.join(used.hint("merge"), (F.col("src") == F.col("s_src")) & (F.col("index") == F.col("s_index")), "left").groupBy("id", "th", "source", "size", "source_size", "target", "stream_at").agg(F.coalesce(F.sum(got), F.lit(0)).cast("long").alias("taken"), F.array_sort(F.collect_set(F.when(got > 0, F.col("shard")))).alias("shards"))
     keep = ["id", "th", "source", "size", "source_size", "target"]
-    result = taken.select(*keep, "taken").unionByName(named.filter("size = 0").select(*keep, F.lit(0).cast("long").alias("taken")))
+    result = taken.select(*keep, "taken", "shards").unionByName(named.filter("size = 0").select(*keep, F.lit(0).cast("long").alias("taken"), F.array().cast("array<int>").alias("shards")))
     shares = slots.groupBy("src", "shard").agg(F.sum("words").alias("words"))
     return {"documents": result, "slots": slots, "pieces": pieces, "shards": shares}
 
@@ -108,7 +118,8 @@ def drawn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed:
 
     The mix cuts documents at blocks; here a document is drawn as a whole, taken / size times. Fractions are
     rounded by their running sum within the source, in order of size from an offset by hash, so the words of a
-    source differ from those taken by less than its longest document. Documents without words stay once.
+    source differ from those taken by less than its longest document. Documents without words (also null texts) stay once;
+    null ids and sources, repeated rows and columns of any name are kept as they are; ties in size go by hash; an empty table stays empty.
     """
     mixed = mix_sources(docs, id_col=id_col, text_col=text_col, seed=seed, **how)["documents"]
     # fixed point, so that sums don't depend on their order
@@ -127,4 +138,4 @@ def drawn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed:
 
 def op1_mixing(spark, sf_dir):
     mixed = mix_sources(spark.read.parquet(f"{sf_dir}/documents.parquet"))["documents"]
-    return mixed.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
+    return mixed.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", "shards")
