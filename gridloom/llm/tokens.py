@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import re
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,8 +22,8 @@ HEAD_CHARS = 32
 FLUSH = 400_000
 
 # The letters and numbers of Unicode below U+0250, and the pre-token pattern of the
-# lower-case vocabulary over them. A text with any other letter, number, mark or white space goes
-# through the library itself.
+# lower-case vocabulary over them. A text with any other letter, number, mark or white space gets its
+# pre-tokens from the library itself.
 LATIN_LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ɏ"
 LATIN_NUMBERS = "0-9²³¹¼-¾"
 OUTSIDE = re.compile("[^\t-\r -~¡-ɏ‐-‧]")
@@ -47,6 +47,11 @@ def word_pretokens(text: str) -> list[str]:
     return WORD_PRETOKEN.findall(text.lower())
 
 
+def library_pretokens(tokenizer, text: str) -> list[str]:
+    """The pre-tokens of any text, by the library's own normaliser and pre-tokeniser."""
+    return [w for w, _ in tokenizer.pre_tokenizer.pre_tokenize_str(tokenizer.normalizer.normalize_str(text))]
+
+
 def _columns(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[str]]]:
     for b in batches:
         yield b.column(0).to_pylist(), [t or "" for t in b.column(1).to_pylist()]
@@ -60,8 +65,8 @@ def token_counts(docs: DataFrame, path: str, limit: int = 2048, head: int = HEAD
     frequent pre-tokens are sent to all tasks (their number and length are bounded) and summed where the
     document is read; the frequencies of all others are joined to the dictionary by pre-token.
 
-    Texts with special strings or with characters beyond Latin script are counted by the library
-    as a whole. A null or empty text has 0 tokens; repeated rows and null ids give a row each;
+    Texts with characters beyond Latin script get their pre-tokens from the library and are counted the same way;
+    only texts with special strings are counted by the library as a whole. A null or empty text has 0 tokens; repeated rows and null ids give a row each;
     other columns are not read; an empty table gives an empty result.
 
     Returns id, n_bytes (UTF-8), n_tokens, over_limit (n_tokens > limit).
@@ -71,6 +76,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = 2048, head: int = HEAD
 
     def pretoken_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
+        tokenizer = load_tokenizer(path)
 
         def out() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.string()), pa.array(seen.values(), pa.int64())], ["pretoken", "freq"])
@@ -79,6 +85,8 @@ def token_counts(docs: DataFrame, path: str, limit: int = 2048, head: int = HEAD
             for text in chunk:
                 if plain(text):
                     seen.update(word_pretokens(text))
+                elif not any(x in text for x in SPECIALS):
+                    seen.update(library_pretokens(tokenizer, text))
             if len(seen) > FLUSH:
                 yield out()
                 seen.clear()
@@ -92,7 +100,15 @@ def token_counts(docs: DataFrame, path: str, limit: int = 2048, head: int = HEAD
 
     found = texts.mapInArrow(pretoken_counts, "pretoken string, freq long").groupBy("pretoken").agg(F.sum("freq").alias("freq"))
     dictionary = staged(found.mapInArrow(piece_counts, "pretoken string, freq long, pieces int"), "pieces")
-    common = dictionary.filter(F.length("pretoken") <= HEAD_CHARS).orderBy(F.desc("freq"), "pretoken").limit(head)
+    # the head: pre-tokens above the frequency that leaves at most ``head``, found from counts by steps of frequency
+    short = dictionary.filter(F.length("pretoken") <= HEAD_CHARS).withColumn("step", F.floor(F.log2("freq") * 8).cast("int"))
+    cut, held = 1 << 20, 0
+    for r in sorted(short.groupBy("step").count().collect(), key=lambda r: -r["step"]):
+        held += r["count"]
+        if held > head:
+            break
+        cut = r["step"]
+    common = short.filter(F.col("step") >= cut)
     known = spark.sparkContext.broadcast(dict(common.select("pretoken", "pieces").toPandas().itertuples(index=False, name=None)))
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -106,8 +122,8 @@ def token_counts(docs: DataFrame, path: str, limit: int = 2048, head: int = HEAD
             for i, text in zip(ids, chunk, strict=True):
                 row += 1
                 total, rest = 0, Counter()
-                if plain(text):
-                    for word, n in Counter(word_pretokens(text)).items():
+                if not any(x in text for x in SPECIALS):
+                    for word, n in Counter(word_pretokens(text) if plain(text) else library_pretokens(tokenizer, text)).items():
                         pieces = get(word)
                         if pieces is None:
                             rest[word] = n
@@ -205,6 +221,3 @@ def tokenizer_path(name: str) -> str:
 
 def op2_token_counts(spark, sf_dir):
     return token_counts(spark.read.parquet(f"{sf_dir}/documents.parquet"), tokenizer_path("word_bpe_49k.json"))
-
-
-Encoder = Callable[[list[str]], list[bytes]]
