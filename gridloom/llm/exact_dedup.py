@@ -12,38 +12,48 @@ from gridloom.llm.common import LOWER, UPPER, staged, text_of
 KEY = ["text_sha256", "n_bytes", "check"]
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", runs: int = 64, fan_in: int = 4) -> DataFrame:
-    """Groups of equal texts; of each group the row with the largest identifier stays.
+def merged(runs: DataFrame, retain: str) -> DataFrame:
+    """Runs merged by digest: each run's part of the digests is sorted, and a pass over it adds up equal digests."""
+    # ordered as structs, so that Spark aggregates the sorted rows in order, without a hash table
+    known = F.col("keep_id").isNull() if retain == "smallest" else F.col("keep_id").isNotNull()
+    best = (F.min if retain == "smallest" else F.max)(F.struct(known.alias("known"), "keep_id"))["keep_id"]
+    parts = max(8, runs.sparkSession.sparkContext.defaultParallelism * 2)
+    return runs.repartition(parts, "run", "part").sortWithinPartitions("run", "part", *KEY).groupBy("run", "part", *KEY).agg(best.alias("keep_id"), F.sum("group_size").alias("group_size"))
+
+
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", runs: int = 64, fan_in: int = 4, parts: int = 64, retain: str = "largest") -> DataFrame:
+    """Groups of equal texts; of each group the row with the largest identifier stays (or with ``retain`` "smallest").
 
     Texts are equal when identical after lower-casing A-Z only; a null text is empty.
 
-    Rows are dealt to ``runs`` runs by their identifier. A run holds each of its digests once, with
-    the identifier to retain and a count. In each round ``fan_in`` neighbouring runs merge (run r
-    goes to run r // fan_in), until one is left; each round is an aggregation by digest and run,
-    so a group of copies that holds most rows is spread over ``runs`` partial results, then a
-    quarter as many, and so on. Merges compare SHA-256, the byte length and a second digest, so
-    what is retained is verified at every level. The decision then walks the same tree downwards,
+    Rows are dealt to ``runs`` runs by their identifier. A run is sorted by digest, in ``parts`` ranges of
+    digests that merge apart from each other, and holds each of its digests once, with
+    the identifier to retain and a count. In each round ``fan_in`` neighbouring runs exchange and merge their
+    sorted digests (run r goes to run r // fan_in), until one is left. So a group of copies that holds most rows is
+    spread over ``runs`` partial results, then a quarter as many, and so on. Merges compare SHA-256, the byte length and a second
+    digest, so what is retained is verified at every level. The decision then walks the same tree downwards,
     keyed by digest and run again, so no join has a hot key.
 
     Returns one row per input row: id, keep_id, group_size, kept, text_sha256.
-    Repeated rows (equal id and text): exactly one is kept. Null ids count as smallest; a group of
+    Repeated rows (equal id and text): exactly one is kept. Null ids come after all others in the choice; a group of
     null ids has a null keep_id and keeps one row. An empty table gives an empty result. Other columns are not read.
     """
     norm = F.translate(text_of(text_col), UPPER, LOWER)
     leaves = docs.select(F.col(id_col).alias("id"), norm.alias("norm")).select(
         "id", F.sha2(F.col("norm").cast("binary"), 256).alias("text_sha256"), F.octet_length("norm").cast("long").alias("n_bytes"), F.xxhash64("norm").alias("check"), F.pmod(F.xxhash64(F.lit(8), "id"), F.lit(runs)).cast("int").alias("run")
     )
-    leaves = staged(leaves, "digests")
-    levels = [leaves.groupBy(*KEY, "run").agg(F.max("id").alias("keep_id"), F.count("*").alias("group_size"))]
+    # the range of a digest among all, by its first digits
+    leaves = staged(leaves.withColumn("part", F.floor(F.conv(F.substring("text_sha256", 1, 6), 16, 10).cast("long") * parts / (1 << 24)).cast("int")), "digests")
+    best = F.min if retain == "smallest" else F.max
+    levels = [leaves.groupBy(*KEY, "part", "run").agg(best("id").alias("keep_id"), F.count("*").alias("group_size"))]
     width = runs
     while width > 1:
         width = -(-width // fan_in)
-        up = F.floor(F.col("run") / fan_in).cast("int").alias("run")
-        levels.append(levels[-1].select(*KEY, up, "keep_id", "group_size").groupBy(*KEY, "run").agg(F.max("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size")))
+        levels.append(merged(levels[-1].withColumn("run", F.floor(F.col("run") / fan_in).cast("int")), retain))
     decided = levels.pop()
     while levels:
         below = levels.pop().select(*KEY, F.col("run").alias("own"), F.floor(F.col("run") / fan_in).cast("int").alias("run"))
-        decided = below.join(decided, [*KEY, "run"]).drop("run").withColumnRenamed("own", "run")
+        decided = below.join(decided.drop("part"), [*KEY, "run"]).drop("run").withColumnRenamed("own", "run")
     twin = W.partitionBy(*KEY, "id").orderBy("run")
     return leaves.join(decided, [*KEY, "run"]).select(
         F.col("id").alias(id_col), "keep_id", "group_size", (F.col("id").eqNullSafe(F.col("keep_id")) & (F.row_number().over(twin) == 1)).alias("kept"), "text_sha256"
