@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import BUCKETS, release, staged, text_of
+from gridloom.llm.common import release, staged, text_of
 from gridloom.llm.repeats import NULL_ID
 
 #: A paragraph cell: a line, cut after 160 characters; the first line of a text also after 12, 36 and
@@ -45,31 +45,31 @@ def cells_of(n: Column) -> Column:
 def written(rows: DataFrame) -> DataFrame:
     """Sketches as text, in hexadecimal digits: the number of cells, then count, digest sum and check sum of each cell that isn't empty.
 
-    Returns r, th, fingerprint, edited0 and edited1 (the edited text of v = 0 and of v = 1). ``rows`` (r, th, v, own, other, s_own, s_other) is partitioned by (r, th). Texts without digests have no row.
+    ``rows`` (rid, own, other) is partitioned by rid, so no row moves. Returns rid, fingerprint, edited_fingerprint. Texts without digests have none.
     """
-    side = lambda k, name: F.struct(F.lit(k).alias("side"), F.col(name).alias("a"), F.col(f"s_{name}").alias("size"))
-    sides = rows.select("r", "th", "v", F.explode(F.array(side(0, "own"), side(1, "other"))).alias("s")).select("r", "th", "v", "s.*")
-    entries = sides.select("r", "th", "v", "side", "size", F.explode("a").alias("d"))
-    cells = entries.select("r", "th", "v", "side", "size", "d", F.explode(F.array(*places(F.col("d"), F.col("size"), SALT))).alias("cell"))
-    cells = cells.groupBy("r", "th", "v", "side", "size", "cell").agg(F.count("*").alias("n"), F.bit_xor("d").alias("sum"), F.bit_xor(check(F.col("d"))).alias("chk"))
+    side = lambda k, name: F.struct(F.lit(k).alias("side"), F.col(name).alias("a"), cells_of(F.size(name)).alias("size"))
+    sides = rows.select("rid", F.explode(F.array(side(0, "own"), side(1, "other"))).alias("s")).select("rid", "s.*")
+    entries = sides.select("rid", "side", "size", F.explode("a").alias("d"))
+    cells = entries.select("rid", "side", "size", "d", F.explode(F.array(*places(F.col("d"), F.col("size"), SALT))).alias("cell"))
+    cells = cells.groupBy("rid", "side", "size", "cell").agg(F.count("*").alias("n"), F.bit_xor("d").alias("sum"), F.bit_xor(check(F.col("d"))).alias("chk"))
     text = F.concat_ws(".", F.hex("cell"), F.hex("n"), F.hex("sum"), F.hex("chk"))
-    prints = cells.groupBy("r", "th", "v", "side", "size").agg(F.array_sort(F.collect_list(F.struct("cell", text.alias("text")))).alias("cells"))
+    prints = cells.groupBy("rid", "side", "size").agg(F.array_sort(F.collect_list(F.struct("cell", text.alias("text")))).alias("cells"))
     whole = F.concat(F.hex("size"), F.lit(":"), F.array_join(F.transform("cells", lambda c: c["text"]), "-"))
-    of = lambda k, v: F.max(F.when((F.col("side") == k) & (F.col("v") == v), whole))
-    return prints.groupBy("r", "th").agg(of(0, 0).alias("fingerprint"), of(1, 0).alias("edited0"), of(1, 1).alias("edited1"))
+    of = lambda k: F.max(F.when(F.col("side") == k, whole))
+    return prints.groupBy("rid").agg(of(0).alias("fingerprint"), of(1).alias("edited_fingerprint"))
 
 
-def peeled(pairs: DataFrame, factor: float, more: int, salt: int, rounds: int = ROUNDS, size: str | None = None, keep: str = "true") -> DataFrame:
+def peeled(pairs: DataFrame, factor: float, more: int, salt: int, rounds: int = ROUNDS, size: str | None = None, by: tuple[str, ...] = ("r", "th", "v")) -> DataFrame:
     """Subtract the sketches of both sides of each pair and peel what is left.
 
-    ``pairs`` (r, th, v, kind, a, b) is partitioned by (r, th), so all of this stays in a task. In a
+    ``pairs`` (the columns ``by``, kind, a, b) is partitioned by some of ``by``, so all of this stays in a task. In a
     round, each cell that holds a single digest gives it up, once for all its cells, and the digest is
     taken out of its three cells. Cells that have become empty drop out of the table. ``size`` names a
-    column with the number of cells, in place of ``factor`` and ``more``. Digests are given out of pairs for which ``keep`` holds.
+    column with the number of cells, in place of ``factor`` and ``more``.
 
-    Returns r, th, v, kind, size, differing (digests given out), gone and new (those of a and of b alone), whole (nothing was left).
+    Returns ``by``, kind, size, differing (digests given out), gone and new (those of a and of b alone), whole (nothing was left).
     """
-    key = ["r", "th", "v", "kind"]
+    key = [*by, "kind"]
     size = F.col(size).alias("size") if size else (F.floor((F.size("a") + F.size("b")) * factor / 3).cast("long") * 3 + more).alias("size")
     side = lambda name, sign: F.transform(F.col(name), lambda d: F.struct(d.alias("d"), F.lit(sign).cast("long").alias("n")))
     entry = F.explode(F.concat(F.array(F.struct(F.lit(None).cast("long").alias("d"), F.lit(0).cast("long").alias("n"))), side("a", 1), side("b", -1)))
@@ -91,70 +91,76 @@ def peeled(pairs: DataFrame, factor: float, more: int, salt: int, rounds: int =
         once = both.select(*key, "out", tag, "got", "size", "n", "d", "chk").groupBy(*key, "out", "tag", "got").agg(*[F.max(c).alias(c) for c in ("size", "n", "d", "chk")])
         item = lambda cell, got, n, d, chk: F.struct(cell.alias("cell"), got.alias("got"), n.alias("n"), d.alias("d"), chk.alias("chk"))
         taken = [item(p, F.col("got"), -F.col("n"), F.col("d"), F.col("chk")) for p in places(F.col("d"), F.col("size"), salt)]
-        moves = F.when(F.col("out"), F.array(*taken, item(none, F.when(F.expr(keep), F.col("d")), F.col("n"), zero, zero))).otherwise(F.array(item(F.col("tag"), F.col("got"), F.col("n"), F.col("d"), F.col("chk"))))
+        moves = F.when(F.col("out"), F.array(*taken, item(none, F.col("d"), F.col("n"), zero, zero))).otherwise(F.array(item(F.col("tag"), F.col("got"), F.col("n"), F.col("d"), F.col("chk"))))
         state = summed(once.select(*key, "size", F.explode(moves).alias("m")).select(*key, "size", "m.cell", "m.got", "m.n", "m.d", "m.chk"))
     held = lambda sign: F.collect_list(F.when(F.col("n") * sign > 0, F.col("got")))
     return state.groupBy(*key).agg(F.max("size").alias("size"), F.count("got").alias("differing"), held(1).alias("gone"), held(-1).alias("new"), (F.max("cell") == -1).alias("whole"))
 
 
-def parts_of(sets: DataFrame) -> int:
-    """Partitions for sketching, so that the cells of one stay in memory: a few hundred bytes a digest."""
-    digests = sets.agg(F.sum(F.size("own") + F.size("other") + F.size("next")).cast("long")).first()[0] or 0
-    return max(sets.sparkSession.sparkContext.defaultParallelism, digests // DEALT + 1)
+def subtracted(sets: DataFrame, dealt: int = 8, by: tuple[str, ...] = ("r", "th", "v")) -> DataFrame:
+    """What differs between own and other and between own and next (digest arrays of the rows ``by``), by their sketches.
 
+    Two sketches are subtracted at the size of the larger, the text of the smaller one being sketched anew for
+    that. The size is decided by the digests, so a text has one sketch wherever it is met. A pair that
+    can't be peeled at this size is sketched anew at doubled sizes until it can, so nothing is left out.
 
-def subtracted(sets: DataFrame) -> DataFrame:
-    """What differs between own and other and between own and next (digest arrays of r, th, v), by their sketches.
-
-    A sketch is of a size that lists all its digests when peeled alone: sizes are doubled until
-    this is so. The size is decided by the digests, so a text has one sketch wherever it is met. Two sketches
-    are subtracted at the size of the larger; the smaller one is listed and sketched anew for that. A pair that
-    can't be peeled at this size is listed and sketched anew at doubled sizes until it can, so nothing is left out.
-
-    Returns r, th, v, s_own and s_other (cells of the sketches), gone0, new0 of own and other, gone1, new1 of own and next.
+    Returns ``by``, gone0, new0 of own and other, gone1, new1 of own and next.
     """
     names = ("own", "other", "next")
-    state, done, k = sets.select("r", "th", "v", *names, *[cells_of(F.size(n)).alias(f"s_{n}") for n in names]), None, 0
-    # p: cells at which a pair is subtracted, if more than those of its sketches
-    state = state.withColumn("p0", F.lit(0).cast("long")).withColumn("p1", F.lit(0).cast("long"))
-    dealt = parts_of(sets)
-    nothing = F.array().cast("array<long>")
-    part = lambda kind, a, b, size: F.struct(F.lit(kind).alias("kind"), F.col(a).alias("a"), b.alias("b"), size.alias("cells"))
+    state = sets.select(*by, *names, *[F.greatest(cells_of(F.size("own")), cells_of(F.size(n))).alias(f"p{i}") for i, n in enumerate(names[1:])])
+    done, k = None, 0
     while True:
-        parts = [part(i, "own", F.col(n), F.greatest("s_own", f"s_{n}", f"p{i}")) for i, n in enumerate(names[1:])]
-        parts += [part(i + 2, n, nothing, F.col(f"s_{n}")) for i, n in enumerate(names)]
-        pairs = state.repartition(dealt, "r", "th").select("r", "th", "v", F.explode(F.array(*parts)).alias("p")).select("r", "th", "v", "p.*")
+        parts = [F.struct(F.lit(i).alias("kind"), F.col("own").alias("a"), F.col(n).alias("b"), F.col(f"p{i}").alias("cells")) for i, n in enumerate(names[1:])]
+        pairs = state.repartition(dealt, by[0]).select(*by, F.explode(F.array(*parts)).alias("p")).select(*by, "p.*")
         at = lambda kind, c: F.max(F.when(F.col("kind") == kind, F.col(c)))
-        found = peeled(pairs, 0, 0, SALT, size="cells", keep="kind < 2").groupBy("r", "th", "v").agg(
-            *[at(i, c).alias(f"{c}{i}") for i in (0, 1) for c in ("size", "whole", "gone", "new")],
-            *[at(i + 2, "size").alias(f"s_{n}") for i, n in enumerate(names)], *[at(i + 2, "whole").alias(f"l_{n}") for i, n in enumerate(names)],
-        )
+        found = peeled(pairs, 0, 0, SALT, size="cells", by=by).groupBy(*by).agg(*[at(i, c).alias(f"{c}{i}") for i in (0, 1) for c in ("size", "whole", "gone", "new")])
         found = staged(found, f"fingerprint-subtracted{k}")
-        release(sets.sparkSession)
-        ready = F.col("l_own") & F.col("l_other") & F.col("l_next") & F.col("whole0") & F.col("whole1")
-        good = found.filter(ready).select("r", "th", "v", "s_own", "s_other", "gone0", "new0", "gone1", "new1")
+        ready = F.col("whole0") & F.col("whole1")
+        good = found.filter(ready).select(*by, "gone0", "new0", "gone1", "new1")
         done, k = good if done is None else done.unionByName(good), k + 1
         again = found.filter(~ready)
         if again.isEmpty():
             return done
-        grown = lambda peels, size: F.when(F.col(peels), F.col(size)).otherwise(F.col(size) * 2)
-        sizes = again.select("r", "th", "v", *[grown(f"l_{n}", f"s_{n}").alias(f"s_{n}") for n in names], *[grown(f"whole{i}", f"size{i}").alias(f"p{i}") for i in (0, 1)])
-        state = sets.select("r", "th", "v", *names).join(sizes, ["r", "th", "v"])
-
-
-def followers(keys: DataFrame) -> DataFrame:
-    """For each (r, th) the next one in order, after the last the first, without a window over all rows."""
-    ends = keys.agg(F.min("r").alias("lo"), F.max("r").alias("hi")).first()
-    lo, hi = (ends["lo"] or 0), (ends["hi"] or 0)
-    width = max(1.0, float(hi) - float(lo))
-    bucket = F.floor((F.col("r").cast("double") - F.lit(float(lo))) / width * (BUCKETS - 1)).cast("int")
-    keys = keys.withColumn("bucket", bucket)
-    me = F.struct("r", "th")
-    firsts = keys.groupBy("bucket").agg(F.min(me).alias("first"))
-    over = W.orderBy("bucket")
-    firsts = firsts.select("bucket", F.coalesce(F.lead("first").over(over), F.min("first").over(over)).alias("beyond"))
-    after = F.lead(me).over(W.partitionBy("bucket").orderBy("r", "th"))
-    return keys.withColumn("after", after).join(firsts, "bucket").select("r", "th", "copies", "n", F.coalesce("after", "beyond").alias("next"))
+        sizes = again.select(*by, *[F.when(F.col(f"whole{i}"), F.col(f"size{i}")).otherwise(F.col(f"size{i}") * 2).alias(f"p{i}") for i in (0, 1)])
+        state = sets.select(*by, *names).join(sizes, list(by))
+
+
+#: Ranges of identifiers, by quantiles, that documents are dealt to; each is cut further from so many documents on.
+RANGES, LARGE = 1024, 2_000_000
+
+
+def ranged(rows: DataFrame) -> tuple[DataFrame, list[str]]:
+    """Deal rows (r, th, ...) to buckets that follow each other in the order of r; returns the rows and the bucket's columns.
+
+    Ranges of r come from quantiles, so far-off values don't matter. A value of r that itself has more rows than
+    a range is cut by the hash of the text, and a row repeated that often (equal r and th) at random, so that no
+    identifier, and no repeated row, is one task.
+    """
+    keys = staged(rows.groupBy("r", "th").agg(F.count("*").alias("copies")), "fingerprint-keys")
+    total = keys.agg(F.sum("copies")).first()[0] or 0
+    k = max(1, min(RANGES, total // 250))
+    many = total / k
+    # twice a range's rows, so that a cut falls on such a value and its rows begin a range
+    heavy = keys.groupBy("r").agg(F.sum("copies").alias("copies")).filter(F.col("copies") > 2 * many).select(F.col("r").alias("r_many"))
+    repeated = keys.filter(F.col("copies") > 2 * many).select(F.col("r").alias("r_same"), F.col("th").alias("th_same"))
+    found = keys.agg(F.percentile_approx("r", F.lit([i / k for i in range(1, k)]), F.lit(10 * RANGES))).first()[0] if k > 1 and total else []
+    cuts = sorted(set(found or []))
+    step = 32
+    coarse = cuts[step - 1 :: step]
+    below = lambda values: F.size(F.filter(values, lambda x: x <= F.col("r")))
+    longs = lambda values: F.lit(values) if values else F.array().cast("array<bigint>")
+    rows = rows.withColumn("q0", below(longs(coarse)) * step)
+    rows = rows.withColumn("q", F.col("q0") + below(F.slice(longs(cuts), F.col("q0") + 1, F.lit(step)))).drop("q0")
+    # ranges are cut evenly where they have many rows
+    fine = max(1, total // k // LARGE)
+    lo, hi = (F.get(longs(cuts), F.col("q") - i).cast("double") for i in (1, 0))
+    rows = rows.withColumn("s", F.coalesce(F.floor((F.col("r").cast("double") - lo) / (hi - lo) * fine), F.lit(0)).cast("long") if fine > 1 else F.lit(0).cast("long"))
+    # both tables have fewer rows than there are ranges
+    rows = rows.join(F.broadcast(heavy), F.col("r") == F.col("r_many"), "left").join(F.broadcast(repeated), (F.col("r") == F.col("r_same")) & (F.col("th") == F.col("th_same")), "left")
+    part = F.when(F.col("th_same").isNotNull(), F.col("th")).when(F.col("r_many").isNotNull(), F.shiftleft(F.shiftright("th", 56), 56)).otherwise(F.lit(0).cast("long"))
+    salt = F.when(F.col("th_same").isNotNull(), F.floor(F.rand(5) * 256)).otherwise(F.lit(0)).cast("int")
+    rows = rows.withColumn("rest", F.col("r_many").isNull()).withColumn("part", part).withColumn("salt", salt)
+    return rows.drop("r_many", "r_same", "th_same"), ["q", "s", "rest", "part", "salt"]
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -163,12 +169,14 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     The edited text is the text with its last floor(n_chars / 3) code points replaced by as many
     from the start of the next document (all of it if it is shorter), by descending identifier; the next of the
     last is the first. A fingerprint is an invertible Bloom lookup sketch of the digests of
-    the paragraph cells of a text, of a size that grows with their number and that lists all of them. Likeness
+    the paragraph cells of a text, of a size that grows with their number. Likeness
     is the Jaccard similarity of two sets of digests: the fingerprints are subtracted and peeled, which recovers the digests that
-    differ. Texts meet in joins by identifier, and all sketching and peeling happens in the partition of the text.
+    differ, at larger sizes where the first isn't enough. Texts move once, to ranges of identifiers in which each meets the next;
+    sketching and peeling happen in the partition of the row.
 
     Null texts are empty (an empty fingerprint; like each other); null ids come last; rows with equal
-    id come in order of their text's hash, repeated rows one after the other; a single row is its own next.
+    id come in an order decided by their texts' hashes, repeated rows one after the other; a single row is its own next.
+    An empty table gives no rows; other columns are not read; ids are whole numbers.
 
     Returns id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, and the
     recovered digests: edited_gone and edited_new (those that the text and the edited text have alone), next_gone and next_new.
@@ -176,50 +184,46 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     spark = docs.sparkSession
     text = text_of(text_col)
     # r: the identifier's complement, in whose ascending order the next document follows
-    texts = docs.select(F.bitwise_not(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID))).alias("r"), F.xxhash64(text).alias("th"), text.alias("text"))
-    keys = staged(texts.groupBy("r", "th").agg(F.count("*").alias("copies"), F.max(F.char_length("text")).alias("n")), "fingerprint-keys")
-    after = followers(keys)
-    # the last of repeated rows is followed by the next document, the others by their like
-    own = after.withColumn("v", F.explode(F.when(F.col("copies") > 1, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
-    order = staged(own.select("r", "th", "v", F.floor(F.col("n") / 3).cast("int").alias("q"), F.when(F.col("v") == 0, 1).otherwise(F.col("copies") - 1).cast("long").alias("times"), F.when(F.col("v") == 0, F.col("next")).otherwise(F.struct("r", "th")).alias("next")), "fingerprint-order")
-    once = F.row_number().over(W.partitionBy("r", "th").orderBy("r", "th"))
-    single = texts.repartition("r", "th").withColumn("nth", once).filter("nth = 1").drop("nth")
-    # the next document gives the start of its text and its digests; v joins as a filter, so both sides stay where their texts are
-    to = order.select(F.col("next.r").alias("r"), F.col("next.th").alias("th"), F.col("r").alias("to_r"), F.col("th").alias("to_th"), F.col("v").alias("to_v"), "q")
-    given = single.join(to, ["r", "th"]).select(F.col("to_r").alias("r"), F.col("to_th").alias("th"), "to_v", F.substring("text", F.lit(1), F.col("q")).alias("start"), digests(F.col("text")).alias("next"))
-    met = single.join(order.select("r", "th", "v", "q", "times"), ["r", "th"]).join(given, ["r", "th"]).filter("v = to_v")
+    rows = docs.select(F.bitwise_not(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID))).alias("r"), F.xxhash64(text).alias("th"), text.alias("text"))
+    rows, bucket = ranged(rows)
+    me = F.struct("r", "th")
+    firsts = rows.groupBy(*bucket).agg(F.min(me).alias("first"))
+    over = W.orderBy(*bucket)  # a row for each bucket
+    firsts = staged(firsts.select(*bucket, F.coalesce(F.lead("first").over(over), F.first("first").over(over)).alias("key")), "fingerprint-ranges")
+    # what follows the last row of each bucket: the first of the next one
+    starts = rows.withColumn("key", me).join(firsts.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.first("text").alias("beyond"))
+    starts = firsts.join(starts, "key").drop("key")
+    within = W.partitionBy(*bucket).orderBy("r", "th")
     n = F.char_length("text")
-    met = met.withColumn("edited", F.concat(F.substring("text", F.lit(1), n - F.col("q")), F.col("start")))
+    met = rows.withColumn("own", digests(F.col("text"))).withColumn("after", F.lead("text").over(within)).withColumn("next", F.lead("own").over(within)).join(starts, bucket)
+    met = met.withColumn("edited", F.concat(F.substring("text", F.lit(1), n - F.floor(n / 3).cast("int")), F.substring(F.coalesce("after", "beyond"), F.lit(1), F.floor(n / 3).cast("int"))))
     sets = met.select(
-        "r", "th", "v", "times", n.cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
-        digests(F.col("text")).alias("own"), digests(F.col("edited")).alias("other"), "next",
+        F.monotonically_increasing_id().alias("rid"), F.when(F.bitwise_not("r") != NULL_ID, F.bitwise_not("r")).alias("id"), n.cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+        "own", digests(F.col("edited")).alias("other"), F.coalesce("next", digests(F.col("beyond"))).alias("next"),
     )
     sets = staged(sets, "fingerprint-sets")
     release(spark)
 
-    found = subtracted(sets)
-    # v joins as a filter again, so that no fingerprint is dealt out
-    dealt = parts_of(sets)
-    by_text = lambda df, *cols: df.select("r", "th", *cols).repartition(dealt, "r", "th")
-    sizes = by_text(found, F.col("v").alias("of"), "s_own", "s_other")
-    prints = written(by_text(sets, "v", "own", "other").join(sizes, ["r", "th"]).filter("v = of"))
-    counts = by_text(sets, "v", "times", "n_chars", "edited_sha256", *[F.size(c).alias(c) for c in ("own", "other", "next")])
-    differ = by_text(found, F.col("v").alias("of"), "gone0", "new0", "gone1", "new1")
-    rows = counts.join(differ, ["r", "th"]).filter("v = of").join(prints, ["r", "th"], "left").withColumn("edited_fingerprint", F.when(F.col("v") == 0, F.col("edited0")).otherwise(F.col("edited1")))
+    held = sets.agg(F.sum(F.size("own") + F.size("other") + F.size("next")).cast("long")).first()[0] or 0
+    dealt = max(spark.sparkContext.defaultParallelism, held // DEALT + 1)
+    found = subtracted(sets, dealt, ("rid",))
+    by_row = lambda df: df.repartition(dealt, "rid")
+    prints = written(by_row(sets.select("rid", "own", "other")))
+    counts = by_row(sets.select("rid", "id", "n_chars", "edited_sha256", *[F.size(c).alias(c) for c in ("own", "other", "next")]))
+    out = counts.join(by_row(found), "rid").join(prints, "rid", "left")
 
     def near(other: str, k: int) -> Column:
         total = F.col("own") + F.col(other)
         same = (total - F.size(f"gone{k}") - F.size(f"new{k}")) / 2
         return F.when(total == 0, F.lit(1.0)).otherwise(F.least(F.greatest(same / (total - same), F.lit(0.0)), F.lit(1.0)))
 
-    rows = rows.withColumn("time", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))))
-    own_id = F.when(F.bitwise_not("r") != NULL_ID, F.bitwise_not("r"))
-    return rows.select(
-        own_id.alias(id_col), "n_chars", "edited_sha256", F.coalesce("fingerprint", F.lit("")).alias("fingerprint"), F.coalesce("edited_fingerprint", F.lit("")).alias("edited_fingerprint"),
+    return out.select(
+        F.col("id").alias(id_col), "n_chars", "edited_sha256", F.coalesce("fingerprint", F.lit("")).alias("fingerprint"), F.coalesce("edited_fingerprint", F.lit("")).alias("edited_fingerprint"),
         near("other", 0).alias("near_edited"), near("next", 1).alias("near_next"),
         F.col("gone0").alias("edited_gone"), F.col("new0").alias("edited_new"), F.col("gone1").alias("next_gone"), F.col("new1").alias("next_new"),
     )
 
 
 def op9_fingerprints(spark, sf_dir):
+    """All documents' fingerprints with their likeness; see ``fingerprints``."""
     return fingerprints(spark.read.parquet(f"{sf_dir}/documents.parquet"))
