@@ -12,7 +12,8 @@ from gridloom.llm.repeats import NULL_ID
 #: A paragraph cell: a line, cut after 160 characters; the first line of a text also after 12, 36 and
 #: 84, so that short texts have some cells too.
 CELL = r"\A[^\n]{1,12}|(?<=\A[^\n]{12})[^\n]{1,24}|(?<=\A[^\n]{36})[^\n]{1,48}|[^\n]{1,160}"
-ROUNDS = 8
+#: Rounds of peeling; a few are enough for wide sketches, and what is left over is retried at a larger size.
+ROUNDS, FEW = 8, 4
 #: Digests of a partition in which sketches are made and peeled.
 DEALT = 100_000
 #: Of the hash functions of all sketches that are written and subtracted.
@@ -35,11 +36,12 @@ def places(digest: Column, size: Column, salt: int) -> list[Column]:
 
 
 def cells_of(n: Column) -> Column:
-    """Cells of the first sketch tried of ``n`` digests: three times a power of two, more than 4 n + 9.
+    """Cells of the sketch of ``n`` digests: three times a power of two, more than 16 n + 150.
 
-    What differs between two texts is at most half of the cells of the larger sketch.
+    Only cells that aren't empty are kept and written, at most three a digest, so a wide sketch is no longer
+    than a narrow one, peels in few rounds, and two digests share all their cells once in 10**5 texts.
     """
-    return (F.pow(F.lit(2.0), F.length(F.bin(F.floor((n * 4 + 9) / 3)))) * 3).cast("long")
+    return (F.pow(F.lit(2.0), F.length(F.bin(F.floor((n * 16 + 150) / 3)))) * 3).cast("long")
 
 
 def written(rows: DataFrame) -> DataFrame:
@@ -113,7 +115,7 @@ def subtracted(sets: DataFrame, dealt: int = 8, by: tuple[str, ...] = ("r", "th"
         parts = [F.struct(F.lit(i).alias("kind"), F.col("own").alias("a"), F.col(n).alias("b"), F.col(f"p{i}").alias("cells")) for i, n in enumerate(names[1:])]
         pairs = state.repartition(dealt, by[0]).select(*by, F.explode(F.array(*parts)).alias("p")).select(*by, "p.*")
         at = lambda kind, c: F.max(F.when(F.col("kind") == kind, F.col(c)))
-        found = peeled(pairs, 0, 0, SALT, size="cells", by=by).groupBy(*by).agg(*[at(i, c).alias(f"{c}{i}") for i in (0, 1) for c in ("size", "whole", "gone", "new")])
+        found = peeled(pairs, 0, 0, SALT, rounds=FEW, size="cells", by=by).groupBy(*by).agg(*[at(i, c).alias(f"{c}{i}") for i in (0, 1) for c in ("size", "whole", "gone", "new")])
         found = staged(found, f"fingerprint-subtracted{k}")
         ready = F.col("whole0") & F.col("whole1")
         good = found.filter(ready).select(*by, "gone0", "new0", "gone1", "new1")
@@ -140,11 +142,10 @@ def ranged(rows: DataFrame) -> tuple[DataFrame, list[str]]:
     total = keys.agg(F.sum("copies")).first()[0] or 0
     k = max(1, min(RANGES, total // 250))
     many = total / k
-    # twice a range's rows, so that a cut falls on such a value and its rows begin a range
-    heavy = keys.groupBy("r").agg(F.sum("copies").alias("copies")).filter(F.col("copies") > 2 * many).select(F.col("r").alias("r_many"))
-    repeated = keys.filter(F.col("copies") > 2 * many).select(F.col("r").alias("r_same"), F.col("th").alias("th_same"))
+    heavy = staged(keys.groupBy("r").agg(F.sum("copies").alias("copies")).filter(F.col("copies") > many).select(F.col("r").alias("r_many")), "fingerprint-heavy")
+    repeated = keys.filter(F.col("copies") > many).select(F.col("r").alias("r_same"), F.col("th").alias("th_same"))
     found = keys.agg(F.percentile_approx("r", F.lit([i / k for i in range(1, k)]), F.lit(10 * RANGES))).first()[0] if k > 1 and total else []
-    cuts = sorted(set(found or []))
+    cuts = sorted({*(found or []), *(r["r_many"] for r in heavy.collect())})  # a heavy value's rows begin a range
     step = 32
     coarse = cuts[step - 1 :: step]
     below = lambda values: F.size(F.filter(values, lambda x: x <= F.col("r")))

@@ -439,3 +439,112 @@ def test_queries_run_on_whole_tables(spark):
         out = f(spark, SF)
         got = out.filter("piece = 0").count() if "piece" in out.columns else out.count()
         assert got == n, name
+
+
+def test_scores_are_the_noisy_or_of_sentences(spark):
+    """Every score worked out anew from the weights alone."""
+    import math
+    import re
+
+    model = {"": -3.0, "bad": 2.5, "badl*": 1.0, "good": -2.0, "mean": 4.0}
+    texts = ["Bad day. Good day! mean\nbadly done", "good", "", None, "bad bad bad", " . ! ", "MEAN good bad badl", "x " * 5000 + "mean."]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)] + [(None, "mean", "en"), (3, "mean", "en")], "doc_id long, text string, score string")
+    got = {(r["doc_id"], r["held_out"]): r for r in toxicity.score(docs.filter("doc_id is null or text is null or text != 'mean'"), model).collect()}
+    for i, t in enumerate(texts):
+        none = 1.0
+        for s in [s for s in re.split(r"[.!?\n]+", (t or "").lower()) if s.strip()] or [""]:
+            z = model[""]
+            for w in set(re.findall(r"[^\W\d_]+", s)):
+                z += model.get(w, 0) + sum(model.get(w[:k] + "*", 0) for k in (4, 5, 6) if len(w) >= k)
+            none *= 1 - 1 / (1 + math.exp(-z))
+        row = next(r for (d, _), r in got.items() if d == i)
+        assert row["score"] == pytest.approx(1 - none) and row["predicted"] == int(1 - none >= 0.5)
+        assert row["held_out"] == (zlib.crc32(str(i).encode()) % 5 == 0)
+    assert not next(r for (d, _), r in got.items() if d is None)["held_out"]
+    assert toxicity.score(docs, model).filter("doc_id = 3").count() == 2
+
+
+def test_noisy_or_gradient_separates():
+    """The fit on sparse arrays: a document is toxic by one sentence alone."""
+    rng = np.random.default_rng(2)
+    ids, sizes, owner, y = [], [], [], []
+    for d in range(300):
+        y.append(d % 3 == 0)
+        for k in range(4):
+            words = rng.choice(np.arange(1, 40), 5, replace=False).tolist() + [0] * (d % 3 == 0 and k == d % 4)
+            ids += words
+            sizes.append(len(words))
+            owner.append(d)
+    w, bias = toxicity.fit_noisy_or(np.array(ids, np.int32), np.array(sizes, np.int32), np.array(owner), np.zeros(300), np.array(y), np.ones(300), 40)
+    assert bias < -2 and w[0] > 3 and w[0] > 3 * np.abs(w[1:]).max()
+    assert np.isfinite(toxicity.fit_noisy_or(np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, int), np.ones(2), np.array([0, 1]), np.ones(2), 3)[1])
+
+
+def test_equal_texts_share_a_shard(spark):
+    rng = random.Random(5)
+    data = [(i, f"text {i}", f"s{i % 4}") for i in range(600)]
+    data += [(1000 + 10 * g + j, f"copy {g}", f"s{rng.randint(0, 4)}" if j else None) for g in range(60) for j in range(rng.randint(2, 5))]
+    data += [(5000 + i, "hot", "s1") for i in range(400)] + [(7, "text 7", "s3")] * 3
+    got = sharding.stratified_shards(table(spark, data), shards=12).join(spark.createDataFrame(sorted({(d, t) for d, t, _ in data}), "doc_id long, text string"), "doc_id").collect()
+    where, slots = defaultdict(set), defaultdict(list)
+    for r in got:
+        where[r["text"]].add(r["shard"])
+        slots[r["shard"]].append(r["slot"])
+    assert all(len(s) == 1 for t, s in where.items() if t != "hot") and len(where["hot"]) > 1
+    assert all(sorted(x) == list(range(len(x))) for x in slots.values()) and len(slots) == 12
+    assert max(map(len, slots.values())) - min(map(len, slots.values())) <= 1
+
+
+def test_exact_dedup_can_retain_the_smallest(spark):
+    got = exact_dedup.exact_dedup(table(spark, [(3, "A", "s"), (2, "a", "s"), (None, "a", "s"), (9, "b", "s")]), retain="smallest").collect()
+    assert {(r["doc_id"], r["keep_id"], r["kept"]) for r in got} == {(3, 2, False), (2, 2, True), (None, 2, False), (9, 9, True)}
+
+
+def test_words_on_which_polynomials_agree_differ():
+    bits = [0]
+    while len(bits) < 1024:
+        bits += [1 - b for b in bits]
+    a, b = ("".join(x[k] for k in bits).encode() for x in ("ab", "ba"))
+    assert minhash.shingles(a) != minhash.shingles(b)
+    x = np.array(bits, np.uint64)
+    assert minhash.aligned(x, np.uint64(1) - x, 1) is None
+
+
+def test_wide_bands_are_aligned_by_matches(monkeypatch):
+    monkeypatch.setattr(minhash, "WIDE", 0)
+    test_alignment_is_the_longest_common_subsequence()
+
+
+def test_slots_follow_the_drawn_counts(docs):
+    tables = mixing.mix_sources(docs, block=8, shards=5)
+    slots = tables["slots"].collect()
+    by = defaultdict(list)
+    for r in sorted(slots, key=lambda r: (r["src"], r["slot"])):
+        by[r["src"]].append(r["shard"])
+    assert all(x == sorted(x) for x in by.values()) and max(len(set(x)) for x in by.values()) == 5
+    for r in tables["documents"].collect():
+        assert bool(r["shards"]) == (r["taken"] > 0) and set(r["shards"]) <= set(range(5))
+
+
+def test_fingerprints_of_hot_ids_and_far_off_ones(spark):
+    """Null ids, an id with most rows, a row repeated often, and the two ends of long: order and likeness against brute force."""
+    data = [(i, f"line {i}\n" * (i % 5) + "common\n" * 3) for i in range(700)]
+    data += [(None, f"null {i}\nx") for i in range(900)] + [(50, f"hot {i}\ny") for i in range(800)] + [(60, "same\nsame again")] * 900
+    data += [(2**63 - 1, "last"), (-(2**63) + 1, "first\nof all")]
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    got = fingerprints.fingerprints(docs).collect()
+    assert Counter((r["doc_id"], r["n_chars"]) for r in got) == Counter((d, len(t)) for d, t in data)
+    assert all(r["near_edited"] is not None and 0 <= r["near_next"] <= 1 for r in got)
+    same = [r["near_next"] for r in got if r["doc_id"] == 60 and r["n_chars"] == 15]
+    assert sorted(same)[1:] == [1.0] * 899
+    single = {d: t for d, t in data if d is not None and d not in (50, 60)}
+    order = sorted(single, reverse=True)
+    found = {r["doc_id"]: r for r in got if r["doc_id"] in single}
+    for d, n in zip(order, order[1:], strict=False):
+        if {d, n} & {49, 51, 59, 61} or d == order[-1]:
+            continue
+        q = len(single[d]) // 3
+        assert found[d]["edited_sha256"] == hashlib.sha256((single[d][: len(single[d]) - q] + single[n][:q]).encode()).hexdigest(), d
+    # the last in order are the null ids, and after them comes the first document again
+    starts = {hashlib.sha256((t[: len(t) - len(t) // 3] + "last"[: len(t) // 3]).encode()).hexdigest() for d, t in data if d is None}
+    assert sum(r["edited_sha256"] in starts for r in got if r["doc_id"] is None) >= 1
