@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -48,15 +50,16 @@ def squared_distance(a: str, b: str) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda acc, x: acc + x)
 
 
-def similarity_upper(df: DataFrame, blocks: int = 8) -> DataFrame:
-    """Dot products of all pairs id <= other, block against block: each row goes to the blocks that it meets, an equi-join.
+def similarity_upper(df: DataFrame, blocks: int = 8, within: str | None = None, metric: Callable[[str, str], Column] = dot) -> DataFrame:
+    """A metric (the dot product) of all pairs id <= other, block against block: each row goes to the blocks that it meets, an equi-join.
 
-    The result has a row for each pair; its size is what is asked for.
+    With ``within`` only pairs that agree in that column are formed. The result has a row for each pair; its size is what is asked for.
     """
     own = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
-    left = df.select(F.col("id"), F.col("data"), own.alias("p")).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    right = df.select(F.col("id").alias("other"), F.col("data").alias("data2"), own.alias("q")).withColumn("p", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    return left.join(right, ["p", "q"]).filter("id <= other").select("id", "other", dot("data", "data2").alias("v"))
+    group = [within] if within else []
+    left = df.select(F.col("id"), F.col("data"), *group, own.alias("p")).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    right = df.select(F.col("id").alias("other"), F.col("data").alias("data2"), *group, own.alias("q")).withColumn("p", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    return left.join(right, ["p", "q", *group]).filter("id <= other").select("id", "other", metric("data", "data2").alias("v"))
 
 
 def block_nearest(df: DataFrame, queries: DataFrame, k: int) -> DataFrame:

@@ -141,7 +141,7 @@ def neighbours8(df: DataFrame, *cols: str) -> DataFrame:
     return df.withColumn("o", F.explode(around)).select("image_id", (F.col("r") + F.col("o.dr")).alias("r"), (F.col("c") + F.col("o.dc")).alias("c"), *cols)
 
 
-def connected(cells: DataFrame, columns: int, steps: int = 1000, save=None) -> DataFrame:
+def connected(cells: DataFrame, columns: int, save=None) -> DataFrame:
     """8-connected components of ``cells`` (image_id, r, c): each cell with its component's least cell number.
 
     Labels spread to neighbours and jump to their label's label each round, until none changes; each round's table is
@@ -149,7 +149,7 @@ def connected(cells: DataFrame, columns: int, steps: int = 1000, save=None) -> D
     """
     save = save or (lambda df: df)
     labels = save(cells.select("image_id", "r", "c", (F.col("r") * columns + F.col("c")).alias("label")))
-    for _ in range(steps):
+    while True:
         near = neighbours8(labels, "label").groupBy("image_id", "r", "c").agg(F.min("label").alias("near"))
         spread = labels.join(near, ["image_id", "r", "c"]).select("image_id", "r", "c", "label", "near")
         jump = spread.select("image_id", (F.col("r") * columns + F.col("c")).alias("near"), F.col("near").alias("beyond"))
@@ -157,8 +157,7 @@ def connected(cells: DataFrame, columns: int, steps: int = 1000, save=None) -> D
         changed = not new.filter("old != label").isEmpty()
         labels = new.drop("old")
         if not changed:
-            break
-    return labels
+            return labels
 
 
 def distance_transform(cells: DataFrame, size: DataFrame, rows: int, columns: int) -> DataFrame:

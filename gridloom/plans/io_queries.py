@@ -37,6 +37,40 @@ def io4(spark, sf):
     return numbered(back).select("image_id", "r", "c", F.round(F.col("v") * 255).cast("long").alias("v"))
 
 
+def one_file_each(df, path):
+    """Rows (image_id, value) as files of their own. Values hold bytes below 128 alone, which text files keep as they are."""
+    df.select("image_id", "value").write.partitionBy("image_id").text(path)
+
+
+HALF = "floor(least(abs(v), 1.0) * 127)::BIGINT"
+
+
+@query("IO4_pgm_files", f"SELECT image_id, r, c, {HALF} AS v FROM raster")
+def io4files(spark, sf):
+    """Files written to a folder, listed and read by Spark's scan of whole files, and parsed where they are read."""
+    path = folder(spark, "pgm")
+    codes = F.transform("data", lambda v: F.char(F.floor(F.least(F.abs(v), F.lit(1.0)) * 127)))
+    one_file_each(T.table(spark, sf, "embeddings").select(F.col("vec_id").alias("image_id"), F.col("embedding").cast("array<double>").alias("data")).select("image_id", F.concat(F.lit("P5\n8 8\n255\n"), F.array_join(codes, "")).alias("value")), path)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(path).select(F.concat(F.lit("image"), F.col("image_id")).alias("path"), "content")
+    return numbered(formats.parsed(files, formats.parse_pgm)).select("image_id", "r", "c", F.round(F.col("v") * 255).cast("long").alias("v"))
+
+
+@query("IO3_image_files", f"SELECT image_id, r, c, {HALF} AS red, (100 - r)::BIGINT AS green, c::BIGINT AS blue, ({HALF} + 100 - r + c)::BIGINT AS total FROM raster WHERE r < 4 AND c < 4")
+def io3(spark, sf):
+    """Colour bitmaps (the upper left 4 x 4 cells) written as files and loaded by Spark's image source, blue first."""
+    path = folder(spark, "bmp")
+    # fixed values: the header of a bitmap of 4 x 4 cells of 24 bits, rows from the bottom up
+    header = bytes([66, 77, 102, 0, 0, 0, 0, 0, 0, 0, 54, 0, 0, 0, 40, 0, 0, 0, 4, 0, 0, 0, 4, 0, 0, 0, 1, 0, 24, 0, 0, 0, 0, 0, 48, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0])
+    order = F.array(*[F.struct(F.lit(r).alias("r"), F.lit(c).alias("c")) for r in (3, 2, 1, 0) for c in range(4)])
+    red = lambda p: F.floor(F.least(F.abs(F.get("data", p["r"] * 8 + p["c"])), F.lit(1.0)) * 127)
+    cells = F.transform(order, lambda p: F.concat(F.char(p["c"]), F.char(100 - p["r"]), F.char(red(p))))
+    one_file_each(T.table(spark, sf, "embeddings").select(F.col("vec_id").alias("image_id"), F.col("embedding").cast("array<double>").alias("data")).select("image_id", F.concat(F.lit(header.decode("latin-1")), F.array_join(cells, "")).alias("value")), path)
+    images = spark.read.format("image").option("pathGlobFilter", "*.txt").load(path).select(F.regexp_extract("image.origin", r"image_id=(\d+)", 1).cast("long").alias("image_id"), "image.width", F.regexp_extract_all(F.hex("image.data"), F.lit("(..)"), F.lit(1)).alias("bytes"))
+    byte = lambda k: F.conv(F.get("bytes", F.col("i") * 3 + k), 16, 10).cast("long")
+    out = images.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(15)))).select("image_id", F.floor(F.col("i") / F.col("width")).cast("int").alias("r"), (F.col("i") % F.col("width")).cast("int").alias("c"), byte(2).alias("red"), byte(1).alias("green"), byte(0).alias("blue"))
+    return out.withColumn("total", F.col("red") + F.col("green") + F.col("blue"))
+
+
 @query("IO5_ppm", GREY)
 def io5(spark, sf):
     """Deep files, high byte first: a value times 257 comes back as the value."""

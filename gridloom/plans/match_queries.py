@@ -87,9 +87,7 @@ def j8whole(spark, sf):
 def j9(spark, sf):
     """The upper triangle, mirrored; here summed over the partners of the same label."""
     p = T.points(spark, sf)
-    upper = M.similarity_upper(p)
-    label = p.select("id", "label")
-    upper = upper.join(label, "id").join(label.select(F.col("id").alias("other"), F.col("label").alias("l2")), "other").filter("label = l2")
+    upper = M.similarity_upper(p, within="label")
     full = upper.select("id", "v").unionAll(upper.filter("id != other").select(F.col("other").alias("id"), "v"))
     return full.groupBy("id").agg((F.round(F.sum("v"), 3) + 0.0).alias("total"), F.count("*").alias("n"))
 

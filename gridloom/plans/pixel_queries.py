@@ -289,12 +289,25 @@ def p30(spark, sf):
     return found.select("image_id", "label", F.size("points").cast("long").alias("cells"), (F.col("points")[0]["r"] * 8 + F.col("points")[0]["c"]).alias("first"))
 
 
-@query("P31_data_points", "SELECT a.image_id, a.r, a.c, a.v, l.label FROM raster a JOIN labels_r l USING (image_id, r, c) WHERE l.label > 0 AND a.r > 0")
+@query("P31_data_points", "SELECT image_id, r, c, v, floor(abs(v) * 10)::INT AS label FROM raster WHERE floor(abs(v) * 10) > 0 AND r > 0")
 def p31(spark, sf):
     """Labelled points without background; cells of the first row are not valid."""
     return T.raster(spark, sf).filter("r > 0").join(T.labels(spark, sf).filter("label > 0"), list(CELL))
 
 
+@query("P31_background_full", "SELECT image_id, r, c, v, floor(abs(v) * 10)::INT AS label FROM raster WHERE r > 0")
+def p31full(spark, sf):
+    """Background cells (label 0) stay as points of their own."""
+    return T.raster(spark, sf).filter("r > 0").join(T.labels(spark, sf), list(CELL))
+
+
+@query("P31_background_half", "SELECT image_id, r, c, v, floor(abs(v) * 10)::INT AS label FROM raster WHERE r > 0 AND (floor(abs(v) * 10) > 0 OR ((image_id * 64 + r * 8 + c) * 2654435761) % 1000003 < 500001)")
+def p31half(spark, sf):
+    """Of the background about half stays, chosen by an arithmetic hash of the cell."""
+    some = ((F.col("image_id") * 64 + F.col("r") * 8 + F.col("c")) * 2654435761) % 1000003 < 500001
+    return T.raster(spark, sf).filter("r > 0").join(T.labels(spark, sf), list(CELL)).filter((F.col("label") > 0) | some)
+
+
 @query("P32_random_subset", "SELECT id FROM points ORDER BY (id * 2654435761) % 1000003, id LIMIT 50")
 def p32(spark, sf):
     """A sampling operator: the 50 points with the least arithmetic hash."""
