@@ -162,7 +162,7 @@ def blocks_of(u: Units, length: int, width: int, size: int, cid: np.ndarray, cls
     """Runs of windows cut at multiples of ``size``: (code of context and first window, n, class key, inner hash, last window, outer hash).
 
     ``inner`` is what all windows of the whole block have in common, ``outer`` all that the windows
-    of the run within it cover. With ``size`` 1 both are the window.
+    of the run within it cover.
     """
     first, last = low // size, high // size
     count = last - first + 1
@@ -173,7 +173,7 @@ def blocks_of(u: Units, length: int, width: int, size: int, cid: np.ndarray, cls
     p = pos[own]
     key = mixed(cls[own].view(np.uint64) ^ mixed((block + 1).astype(np.uint64)))
     inner = u.hashes[1].of(p - a, p + length - b)
-    outer = inner if size == 1 else u.hashes[1].of(p - hi, p + length - lo) ^ mixed((lo * 65536 + hi + 1).astype(np.uint64))
+    outer = u.hashes[1].of(p - hi, p + length - lo) ^ mixed((lo * 65536 + hi + 1).astype(np.uint64))
     return cid[own] * CODES + lo, n[own], key.view(np.int64), inner.view(np.int64), hi, outer.view(np.int64)
 
 
@@ -229,44 +229,52 @@ def scan(texts: DataFrame, words: bool, gram: int, width: int) -> DataFrame:
     return texts.mapInArrow(run, "uid long, pos int, span int, cls long, ctx long, id long, th long, n long, sha string")
 
 
+def digests(data: bytes, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A cryptographic digest of 64 bits of each stretch of bytes."""
+    found = b"".join(hashlib.blake2b(data[i:j], digest_size=8).digest() for i, j in zip(start.tolist(), end.tolist(), strict=True))
+    return np.frombuffer(found, np.int64)
+
+
+def run_columns(runs: pa.ListScalar) -> list[np.ndarray]:
+    """cid, cls, pos, low, high, n of a text's runs."""
+    return [c.to_numpy(zero_copy_only=False).astype(np.int64) for c in runs.values.flatten()]
+
+
 def level(held: DataFrame, words: bool, length: int, width: int, size: int) -> DataFrame:
-    """The blocks of ``size`` of the runs in ``runs`` (cid, cls, pos, low, high, n) of each text."""
+    """The blocks of ``size`` of the runs in ``runs`` (cid, cls, pos, low, high, n) of each text (uid, text, runs)."""
     names = ["code", "n", "key", "inner", "hi", "outer"]
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
-    kept = 4 if size == 1 else 6
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for text, runs in zip(b.column(0), b.column(1), strict=True):
-                r = runs.values.flatten()
-                cols = [c.to_numpy(zero_copy_only=False) for c in r]
-                cid, cls, n = cols[0], cols[1], cols[5]
-                pos, low, high = (c.astype(np.int64) for c in cols[2:5])
+            for text, runs in zip(b.column(1), b.column(2), strict=True):
+                cid, cls, pos, low, high, n = run_columns(runs)
                 found = blocks_of(Units(text.as_py().encode(), words), length, width, size, cid, cls, pos, low, high, n)
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(found[:kept], kinds, strict=False)], names[:kept])
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(found, kinds, strict=True)], names)
 
-    return held.mapInArrow(run, "code long, n long, key long, inner long" + ", hi int, outer long" * (size > 1))
+    return held.mapInArrow(run, "code long, n long, key long, inner long, hi int, outer long")
 
 
 def decide(rows: DataFrame) -> DataFrame:
-    """Blocks whose common part is not unique, with the sum of their counts, the first such block (``source``), and
-    whether all of them have the same windows (``alike``).
+    """Blocks whose common part is not unique, with the sum of their counts and whether all of them have the same windows (``alike``).
 
     Counts are aggregated before they are shuffled and are joined back, so a window shared by
     many contexts is split by the skew join.
     """
     by = ["key", "inner"]
-    alike = F.min("outer") == F.max("outer") if "outer" in rows.columns else F.lit(True)
-    stats = rows.groupBy(*by).agg(F.sum("n").alias("total"), F.min("code").alias("source"), alike.alias("alike")).filter("total > 1")
+    alike = F.min("outer") == F.max("outer")
+    stats = rows.groupBy(*by).agg(F.sum("n").alias("total"), alike.alias("alike")).filter("total > 1")
     return rows.drop("n", "outer").join(stats, by).drop(*by).withColumn("cid", F.shiftright("code", 8)).withColumn("lo", (F.col("code") % CODES).cast("int"))
 
 
-def repeated_runs(docs: DataFrame, words: bool, gram: int, width: int, sizes: tuple[int, ...], name: str, id_col: str, text_col: str, compact: Callable[[DataFrame], DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
+def repeated_runs(docs: DataFrame, words: bool, gram: int, width: int, sizes: tuple[int, ...], name: str, id_col: str, text_col: str, last: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
     """Per text: a summary, and for texts with repeats the text and its runs of repeated windows.
 
-    Anchors whose gram is unique drop out first. The others grow by levels: in each, runs are cut
-    into shorter blocks, whose common part is longer, until it is the whole window. A block whose
+    Anchors whose gram is unique drop out first. For each of ``sizes`` runs are cut
+    into shorter blocks, whose common part is longer. A block whose
     common part is unique drops out, and one whose windows are the same wherever they occur is done.
+    ``last`` gets the runs left open, by text (uid, text, runs of cid, cls, pos, low, high, n), and returns the
+    repeated windows among them as runs (cid, lo, hi). A run stands for ``n`` places with the same units.
     """
     spark = docs.sparkSession
     length = gram + width - 1
@@ -294,18 +302,14 @@ def repeated_runs(docs: DataFrame, words: bool, gram: int, width: int, sizes: tu
     release(spark)
 
     done = contexts.filter("kinds = 1").select("cid", F.col("low").alias("lo"), F.col("high").alias("hi"))
-    at = held.filter("runs is not null").select("text", "runs")
+    at = held.filter("runs is not null").select("uid", "text", "runs")
     for size in sizes:
-        blocks = decide(level(at, words, length, width, size))
-        if size == 1:
-            blocks = blocks.repartition("cid")  # a context has at most ``width`` rows
-            done = done.unionByName(compact(blocks) if compact else blocks.select("cid", "lo", F.col("lo").alias("hi")))
-            break
-        blocks = staged(blocks, f"{name}-blocks")
+        blocks = staged(decide(level(at, words, length, width, size)), f"{name}-blocks")
         done = done.unionByName(blocks.filter("alike").select("cid", "lo", "hi"))
         more = blocks.filter("not alike").select("cid", "lo", "hi").join(contexts.select("cid", "cls", "n", "at"), "cid")
         more = more.select(F.col("at.uid").alias("uid"), F.struct("cid", "cls", "at.pos", F.col("lo").alias("low"), F.col("hi").alias("high"), "n").alias("run"))
-        at = held.select("uid", "text").join(more.groupBy("uid").agg(F.collect_list("run").alias("runs")), "uid").select("text", "runs")
+        at = held.select("uid", "text").join(more.groupBy("uid").agg(F.collect_list("run").alias("runs")), "uid").select("uid", "text", "runs")
+    done = done.unionByName(last(at))
     spans = staged(done.groupBy("cid").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")), f"{name}-spans")
     release(spark)
     found = held.select("uid", F.explode("hits").alias("hit")).select("uid", "hit.pos", "hit.cid").join(spans, "cid")
@@ -345,8 +349,8 @@ def removed(hit: DataFrame, words: bool, length: int) -> DataFrame:
     return hit.mapInArrow(run, "uid long, n_removed long, n_spans long, kept string")
 
 
-def removal(docs: DataFrame, words: bool, gram: int, width: int, sizes: tuple[int, ...], name: str, id_col: str, text_col: str, compact: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    summary, hit = repeated_runs(docs, words, gram, width, sizes, name, id_col, text_col, compact)
+def removal(docs: DataFrame, words: bool, gram: int, width: int, sizes: tuple[int, ...], name: str, id_col: str, text_col: str, last: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    summary, hit = repeated_runs(docs, words, gram, width, sizes, name, id_col, text_col, last)
     gone = removed(hit, words, gram + width - 1)
     own = F.when(F.col("id") != NULL_ID, F.col("id"))
     return summary.join(gone, "uid", "left").select(

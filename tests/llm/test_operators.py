@@ -223,6 +223,33 @@ def test_suffix_dedup(docs, rows, empty):
     assert suffix_dedup.suffix_dedup(empty).count() == 0
 
 
+def test_paths_compact_and_rings_stay_single(spark):
+    # 1-2-3-4 branches into 5 and 6; 7-8-9 is a ring, 10 a loop, 11 alone
+    edges = [(1, 101, 102), (2, 102, 103), (3, 103, 104), (4, 104, 105), (5, 105, 106), (6, 105, 107), (7, 201, 202), (8, 202, 203), (9, 203, 201), (10, 300, 300), (11, 400, 401)]
+    got = {r[0]: tuple(r[1:]) for r in substring_dedup.placed(spark.createDataFrame(edges, "e long, tail long, head long")).collect()}
+    assert got == {1: (1, 0), 2: (1, 1), 3: (1, 2), 4: (1, 3), 5: (5, 0), 6: (6, 0), 7: (7, 0), 8: (8, 0), 9: (9, 0), 10: (10, 0), 11: (11, 0)}
+
+
+def test_repeats_of_every_phase_and_period(spark):
+    rng = random.Random(5)
+    base = [word(rng) for _ in range(300)]
+    texts = [" ".join(base), *(" ".join([word(rng), *base[i : i + 120 + 7 * i], word(rng)]) for i in range(0, 60, 9))]
+    texts += [" ".join((base[:p] * 200)[:200]) for p in (1, 2, 3, 7, 36)] + [" ".join([*base[100:160], *base[90:150], *base[100:140]])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = Counter((d, *x) for d, x in enumerate(brute.words_removed(texts)))
+    assert by_id(substring_dedup.substring_dedup(docs), "n_words", "n_removed", "kept_sha256") == want
+    want = Counter((d, *x) for d, x in enumerate(brute.bytes_removed(texts)))
+    assert by_id(suffix_dedup.suffix_dedup(docs), "n_bytes", "n_removed", "n_spans", "kept_sha256") == want
+
+
+def test_ranks_keep_the_order_of_pairs(spark):
+    pairs = [(3, 1), (1, 9), (3, 1), (1, 9), (1, 2), (2, 5), (2, 5), (2, 4), (2, 4)]
+    rows = spark.createDataFrame([(i, a, b, 1) for i, (a, b) in enumerate(pairs)], "uid long, a long, b long, n long")
+    ranks = {pairs[r["uid"]]: r["rank"] for r in suffix_dedup.reranked(rows).collect()}
+    assert set(ranks) == {p for p in pairs if pairs.count(p) > 1}
+    assert sorted(ranks, key=ranks.get) == sorted(ranks)
+
+
 def test_near_dedup(docs, rows, empty):
     real = [(d if d is not None else -(2**63), t) for d, t, _ in rows]
     brute_classes = brute.near_classes(real)
