@@ -52,22 +52,22 @@ def placed(edges: DataFrame) -> DataFrame:
     """
     out = edges.groupBy(F.col("tail").alias("node")).agg(F.count("*").alias("outs"), F.min("e").alias("e")).filter("outs = 1").drop("outs")
     into = edges.groupBy(F.col("head").alias("node")).agg(F.count("*").alias("ins"), F.min("e").alias("path")).filter("ins = 1").drop("ins")
-    links = out.join(into, "node").select("e", "path", F.lit(1).alias("place"))
+    links = out.join(into, "node").select("e", "path", F.lit(1).cast("long").alias("place"))
     links = edges.select("e").join(links, "e", "left")
-    links = links.select("e", F.coalesce("path", "e").alias("path"), F.coalesce("place", F.lit(0)).alias("place"), F.col("path").isNull().alias("home"))
+    links = links.select("e", F.coalesce("path", "e").alias("path"), F.coalesce("place", F.lit(0).cast("long")).alias("place"), F.col("path").isNull().alias("home"))
     links = staged(links, "paths-links")
-    arrived, away = links.filter("home"), links.filter("not home")
-    left = away.count()
+    left = links.filter("not home").count()
     while left:
-        on = arrived.unionByName(away).select(F.col("e").alias("path"), F.col("path").alias("further"), F.col("place").alias("more"), F.col("home").alias("there"))
-        step = staged(away.drop("home").join(on, "path").select("e", F.col("further").alias("path"), (F.col("place") + F.col("more")).alias("place"), F.col("there").alias("home")), "paths-links")
+        on = links.select(F.col("e").alias("path"), F.col("path").alias("further"), F.col("place").alias("more"), F.col("home").alias("there"))
+        away = links.filter("not home").drop("home").join(on, "path")
+        away = away.select("e", F.col("further").alias("path"), (F.col("place") + F.col("more")).alias("place"), F.col("there").alias("home"))
+        links = staged(links.filter("home").unionByName(away), "paths-links")
         release(edges.sparkSession)
-        before, left = left, step.filter("not home").count()
-        arrived, away = arrived.unionByName(step.filter("home")), step.filter("not home")
+        before, left = left, links.filter("not home").count()
         if left == before:
-            arrived = arrived.unionByName(away.withColumn("path", F.col("e")).withColumn("place", F.lit(0)))
             break
-    return arrived.select("e", "path", "place")
+    ring = ~F.col("home")
+    return links.select("e", F.when(ring, F.col("e")).otherwise(F.col("path")).alias("path"), F.when(ring, 0).otherwise(F.col("place")).alias("place"))
 
 
 def compacted(held: DataFrame, length: int) -> DataFrame:
