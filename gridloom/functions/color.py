@@ -60,31 +60,41 @@ def yuv_to_rgb(y: Column, u: Column, v: Column) -> tuple[Column, Column, Column]
     return y + v * 1.13983, y + u * -0.39465 + v * -0.5806, y + u * 2.03211
 
 
-# sRGB to XYZ at the D65 white point, and the CIE L*a*b* constants.
-WHITE = (0.95047, 1.0, 1.08883)
-TO_XYZ = ((0.4124564, 0.3575761, 0.1804375), (0.2126729, 0.7151522, 0.0721750), (0.0193339, 0.1191920, 0.9503041))
-FROM_XYZ = ((3.2404542, -1.5371385, -0.4985314), (-0.9692660, 1.8760108, 0.0415560), (0.0556434, -0.2040259, 1.0572252))
-EPSILON, KAPPA = 0.008856, 903.3
+# Rec. 709 RGB to XYZ at the D65 white point and back, and the CIE L*a*b* constants.
+WHITE = (0.950456, 1.0, 1.088754)
+TO_XYZ = ((0.412453, 0.357580, 0.180423), (0.212671, 0.715160, 0.072169), (0.019334, 0.119193, 0.950227))
+FROM_XYZ = ((3.240479, -1.537150, -0.498535), (-0.969256, 1.875992, 0.041556), (0.055648, -0.204043, 1.057311))
+EPSILON, EDGE, KAPPA, SLOPE = 0.008856, 0.206893, 903.3, 7.787
+# The lightness below which a and b fade and that takes its place, and the greatest b.
+DARK, YELLOW = 20.0, 70.0
 
 
 def rgb_to_lab(r: Column, g: Column, b: Column) -> tuple[Column, Column, Column]:
-    def f(k: int) -> Column:
-        t = (r * TO_XYZ[k][0] + g * TO_XYZ[k][1] + b * TO_XYZ[k][2]) / WHITE[k]
-        return F.when(t > EPSILON, F.pow(F.greatest(t, F.lit(0.0)), F.lit(1 / 3))).otherwise((t * KAPPA + 16) / 116)
+    """Dark colours fade: below DARK, a and b shrink by e for each quarter of DARK and the lightness is DARK."""
 
-    x, y, z = f(0), f(1), f(2)
-    return y * 116 - 16, (x - y) * 500, (y - z) * 200
+    def share(k: int) -> Column:
+        return (r * TO_XYZ[k][0] + g * TO_XYZ[k][1] + b * TO_XYZ[k][2]) / WHITE[k]
+
+    def f(t: Column) -> Column:
+        return F.when(t > EPSILON, F.pow(t, F.lit(1 / 3))).otherwise(t * SLOPE + 16 / 116)
+
+    x, y, z = (f(share(k)) for k in range(3))
+    light = F.when(share(1) > EPSILON, y * 116 - 16).otherwise(share(1) * KAPPA)
+    fade = F.when(light < DARK, F.exp((light - DARK) / (DARK / 4))).otherwise(F.lit(1.0))
+    return F.greatest(light, F.lit(DARK)), (x - y) * 500 * fade, F.least((y - z) * 200 * fade, F.lit(YELLOW))
 
 
 def lab_to_rgb(lightness: Column, a: Column, b: Column) -> tuple[Column, Column, Column]:
-    y = (lightness + 16) / 116
+    """Channels are held to 0..1. Faded colours don't come back as they were."""
+    cube = F.pow((lightness + 16) / 116, F.lit(3.0))
+    y = F.when(cube < EPSILON, lightness / KAPPA).otherwise(cube)
+    fy = F.when(y > EPSILON, F.pow(y, F.lit(1 / 3))).otherwise(y * SLOPE + 16 / 116)
 
-    def back(t: Column, k: int) -> Column:
-        cube = t * t * t
-        return F.when(cube > EPSILON, cube).otherwise((t * 116 - 16) / KAPPA) * WHITE[k]
+    def back(t: Column) -> Column:
+        return F.when(t > EDGE, t * t * t).otherwise((t - 16 / 116) / SLOPE)
 
-    xyz = back(a / 500 + y, 0), back(y, 1), back(y - b / 200, 2)
-    return tuple(xyz[0] * m[0] + xyz[1] * m[1] + xyz[2] * m[2] for m in FROM_XYZ)
+    xyz = back(a / 500 + fy) * WHITE[0], y, back(fy - b / 200) * WHITE[2]
+    return tuple(F.least(F.greatest(xyz[0] * m[0] + xyz[1] * m[1] + xyz[2] * m[2], F.lit(0.0)), F.lit(1.0)) for m in FROM_XYZ)
 
 
 def rgb_to_chromaticity(r: Column, g: Column, b: Column) -> tuple[Column, Column, Column]:

@@ -27,41 +27,38 @@ def _g(x: float, s: float, order: int) -> float:
     return e if order == 0 else -x / (s * s) * e if order == 1 else (x * x / s**4 - 1 / (s * s)) * e
 
 
-def oriented(radius: int, scale: float, angle: float, order: int) -> list[list[float]]:
-    """An edge (order 1) or bar (order 2) filter, three times as long as wide."""
+def oriented(scale: float, angle: float, order: int, radius: int | None = None) -> list[list[float]]:
+    """An edge (order 1) or bar (order 2) filter across the turned rows, three times as long as wide; it reaches 7 scales."""
     c, s = math.cos(angle), math.sin(angle)
-    return normalised([[_g(c * x + s * y, 3 * scale, 0) * _g(-s * x + c * y, scale, order) for x, y in row] for row in _grid(radius)])
+    grid = _grid(math.ceil(7 * scale) if radius is None else radius)
+    return normalised([[_g(c * x - s * y, 3 * scale, 0) * _g(s * x + c * y, scale, order) for x, y in row] for row in grid])
 
 
-def gaussian(radius: int, scale: float) -> list[list[float]]:
-    return normalised([[_g(x, scale, 0) * _g(y, scale, 0) for x, y in row] for row in _grid(radius)])
-
-
-def laplacian(radius: int, scale: float) -> list[list[float]]:
-    return normalised([[_g(x, scale, 2) * _g(y, scale, 0) + _g(x, scale, 0) * _g(y, scale, 2) for x, y in row] for row in _grid(radius)])
+def radial(scale: float, order: int, radius: int | None = None) -> list[list[float]]:
+    """A Gaussian (order 0), or its second derivative along the distance (order 2), of the distance from the centre; it reaches 3 scales."""
+    grid = _grid(math.ceil(3 * scale) if radius is None else radius)
+    return normalised([[_g(math.hypot(x, y), scale, order) for x, y in row] for row in grid])
 
 
 def point(radius: int, dr: int, dc: int) -> list[list[float]]:
     return [[1.0 if (x, y) == (dc, dr) else 0.0 for x, y in row] for row in _grid(radius)]
 
 
-def leung_malik(radius: int = 3) -> dict[str, list[list[float]]]:
-    """48 filters: edges and bars at 3 scales and 6 orientations, 4 Gaussians, 8 Laplacians."""
-    scales = [math.sqrt(2) ** k for k in range(1, 4)]
-    bank = {f"{name}_{i}_{o}": oriented(radius, s, math.pi * o / 6, order) for order, name in ((1, "edge"), (2, "bar")) for i, s in enumerate(scales) for o in range(6)}
-    wide = [math.sqrt(2) ** k for k in range(1, 5)]
-    bank |= {f"gaussian_{i}": gaussian(radius, s) for i, s in enumerate(wide)}
-    bank |= {f"laplacian_{i}": laplacian(radius, s) for i, s in enumerate([*wide, *(3 * s for s in wide)])}
-    return bank
-
-
-def mr8(radius: int = 3) -> dict[str, tuple[int, list[list[float]]]]:
-    """38 filters in 8 groups; a group's response is the greatest over its orientations."""
-    bank, group = {}, 0
-    for order, name in ((1, "edge"), (2, "bar")):
-        for s in (1.0, 2.0, 4.0):
-            bank |= {f"{name}_{s:g}_{o}": (group, oriented(radius, s, math.pi * o / 6, order)) for o in range(6)}
-            group += 1
-    bank["gaussian"] = (6, gaussian(radius, 2.0))
-    bank["laplacian"] = (7, laplacian(radius, 2.0))
-    return bank
+def leung_malik(start: float = 1.0) -> dict[str, tuple[str, float, float]]:
+    """48 filters (kind, scale, angle), with scales in steps of sqrt(2): edges and bars at 3 scales and 6 angles, 4 Gaussians, 8 Laplacians."""
+    step = lambda k: start * math.sqrt(2) ** k
+    bank = {f"{kind}_{i}_{o}": (kind, step(i), math.pi * o / 6) for kind in ("edge", "bar") for i in range(3) for o in range(1, 7)}
+    return bank | {f"gaussian_{i}": ("gaussian", step(i), 0.0) for i in range(4)} | {f"laplacian_{i}": ("laplacian", step(i), 0.0) for i in range(8)}
+
+
+def mr8() -> dict[str, tuple[int, str, float, float]]:
+    """38 filters (group, kind, scale, angle) in 8 groups; a group's response is the greatest over its angles."""
+    sized = [(kind, float(2**i)) for kind in ("edge", "bar") for i in range(3)]
+    bank = {f"{kind}_{s:g}_{o}": (g, kind, s, math.pi * o / 6) for g, (kind, s) in enumerate(sized) for o in range(1, 7)}
+    return bank | {"gaussian": (6, "gaussian", 10.0, 0.0), "laplacian": (7, "laplacian", 10.0, 0.0)}
+
+
+def kernel(kind: str, scale: float, angle: float, radius: int | None = None) -> list[list[float]]:
+    if kind in ("edge", "bar"):
+        return oriented(scale, angle, 1 if kind == "edge" else 2, radius)
+    return radial(scale, 0 if kind == "gaussian" else 2, radius)

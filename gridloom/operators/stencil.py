@@ -8,6 +8,7 @@ value to the cells that it reaches and add up there, so partial sums are made be
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -80,6 +81,24 @@ def gaussian_kernel(sigma: float, width: int | None = None) -> list[float]:
     return [x / sum(raw) for x in raw]
 
 
+def scale_space(df: DataFrame, side: int, levels: int, least: int = 64, sigma: float = 1.6) -> DataFrame:
+    """(octave, level, image_id, r, c, v). The first level of the first octave is the source blurred by ``sigma``.
+
+    The next octave's is that blurred by 2 sigma and halved, while both sides are at least ``least``. Each further level
+    blurs the one before it, by sigma * m, sigma * m ** 2, ..., m = sqrt(2 ** (2 / levels) - 1).
+    """
+    base, octave, parts = separable(df, gaussian_kernel(sigma)), 0, []
+    m = math.sqrt(2 ** (2 / levels) - 1)
+    while side >= least:
+        at = base
+        for k in range(levels):
+            at = at if k == 0 else separable(at, gaussian_kernel(sigma * m**k))
+            parts.append(at.select(F.lit(octave).alias("octave"), F.lit(k).alias("level"), "image_id", "r", "c", "v"))
+        base = separable(base, gaussian_kernel(2 * sigma), clamped, 2)
+        side, octave = (side + 1) // 2, octave + 1
+    return reduce(DataFrame.unionByName, parts)
+
+
 def stencil2d(df: DataFrame, kernel: list[list[float]]) -> DataFrame:
     """A two-dimensional kernel, for the cells where all of it is inside the image."""
     h, w = len(kernel), len(kernel[0])

@@ -94,23 +94,26 @@ def p9_yuv_back(spark, sf):
     return _colors(T.rgb(spark, sf), color.rgb_to_yuv, ("red", "green", "blue"), color.yuv_to_rgb)
 
 
-LAB = """WITH q AS (SELECT *, red / 255.0 AS lr, green / 255.0 AS lg, blue / 255.0 AS lb FROM rgb),
-t AS (SELECT *, (lr * 0.4124564 + lg * 0.3575761 + lb * 0.1804375) / 0.95047 AS tx, (lr * 0.2126729 + lg * 0.7151522 + lb * 0.0721750) / 1.0 AS ty, (lr * 0.0193339 + lg * 0.1191920 + lb * 0.9503041) / 1.08883 AS tz FROM q),
-f AS (SELECT *, CASE WHEN tx > 0.008856 THEN pow(tx, 1 / 3.0) ELSE (tx * 903.3 + 16) / 116 END AS fx, CASE WHEN ty > 0.008856 THEN pow(ty, 1 / 3.0) ELSE (ty * 903.3 + 16) / 116 END AS fy, CASE WHEN tz > 0.008856 THEN pow(tz, 1 / 3.0) ELSE (tz * 903.3 + 16) / 116 END AS fz FROM t)
+LAB = """WITH t AS (SELECT *, (red * 0.412453 + green * 0.357580 + blue * 0.180423) / 255.0 / 0.950456 AS tx, (red * 0.212671 + green * 0.715160 + blue * 0.072169) / 255.0 AS ty, (red * 0.019334 + green * 0.119193 + blue * 0.950227) / 255.0 / 1.088754 AS tz FROM rgb),
+f AS (SELECT *, CASE WHEN tx > 0.008856 THEN pow(tx, 1 / 3.0) ELSE tx * 7.787 + 16 / 116.0 END AS fx, CASE WHEN ty > 0.008856 THEN pow(ty, 1 / 3.0) ELSE ty * 7.787 + 16 / 116.0 END AS fy, CASE WHEN tz > 0.008856 THEN pow(tz, 1 / 3.0) ELSE tz * 7.787 + 16 / 116.0 END AS fz FROM t),
+l AS (SELECT *, CASE WHEN ty > 0.008856 THEN fy * 116 - 16 ELSE ty * 903.3 END AS light FROM f), d AS (SELECT *, CASE WHEN light < 20 THEN exp((light - 20) / 5) ELSE 1 END AS fade FROM l)
 """
 
 
-@query("P9_rgb_lab", LAB + "SELECT image_id, r, c, round(fy * 116 - 16, 5) AS l, round((fx - fy) * 500, 5) AS a, round((fy - fz) * 200, 5) AS b FROM f")
+@query("P9_rgb_lab", LAB + "SELECT image_id, r, c, round(greatest(light, 20), 5) AS l, round((fx - fy) * 500 * fade, 5) AS a, round(least((fy - fz) * 200 * fade, 70), 5) AS b FROM d")
 def p9_lab(spark, sf):
     ch = [F.col(x) / 255.0 for x in ("red", "green", "blue")]
     return T.rgb(spark, sf).select(*CELL, *[F.round(x, 5).alias(n) for x, n in zip(color.rgb_to_lab(*ch), "lab", strict=True)])
 
 
-@query("P9_lab_rgb", "SELECT image_id, r, c, round(red / 255.0, 3) AS red, round(green / 255.0, 3) AS green, round(blue / 255.0, 3) AS blue FROM rgb")
+@query("P9_lab_rgb", """WITH q AS (SELECT image_id, r, c, red / 2.55 AS l, green / 2.0 - 64 AS a, blue / 2.0 - 64 AS b FROM rgb), y AS (SELECT *, CASE WHEN l < 903.3 * 0.008856 THEN l / 903.3 ELSE pow((l + 16) / 116, 3) END AS y FROM q),
+f AS (SELECT *, CASE WHEN y > 0.008856 THEN (l + 16) / 116 ELSE y * 7.787 + 16 / 116.0 END AS fy FROM y), x AS (SELECT *, fy + a / 500 AS fx, fy - b / 200 AS fz FROM f),
+w AS (SELECT *, 0.950456 * CASE WHEN fx > 0.206893 THEN fx ** 3 ELSE (fx - 16 / 116.0) / 7.787 END AS x, 1.088754 * CASE WHEN fz > 0.206893 THEN fz ** 3 ELSE (fz - 16 / 116.0) / 7.787 END AS z FROM x)
+SELECT image_id, r, c, round(greatest(least(x * 3.240479 - y * 1.537150 - z * 0.498535, 1), 0), 5) AS red, round(greatest(least(y * 1.875992 + z * 0.041556 - x * 0.969256, 1), 0), 5) AS green, round(greatest(least(x * 0.055648 - y * 0.204043 + z * 1.057311, 1), 0), 5) AS blue FROM w""")
 def p9_lab_back(spark, sf):
-    ch = [F.col(x) / 255.0 for x in ("red", "green", "blue")]
-    out = color.lab_to_rgb(*color.rgb_to_lab(*ch))
-    return T.rgb(spark, sf).select(*CELL, *[F.round(F.round(x, 5), 3).alias(n) for x, n in zip(out, ("red", "green", "blue"), strict=True)])
+    """From lightness 0..100 and a, b of -64..64, made of the raster's channels."""
+    out = color.lab_to_rgb(F.col("red") / 2.55, F.col("green") / 2.0 - 64, F.col("blue") / 2.0 - 64)
+    return T.rgb(spark, sf).select(*CELL, *[(F.round(x, 5) + 0.0).alias(n) for x, n in zip(out, ("red", "green", "blue"), strict=True)])
 
 
 @query("P9_hsv_rgb", """SELECT image_id, r, c, round(red / 255.0, 5) AS red, round(green / 255.0, 5) AS green, round(blue / 255.0, 5) AS blue FROM rgb""")

@@ -231,17 +231,8 @@ def w19(spark, sf):
 
 
 @query("W20_scale_space_pyramid")
-def w20(spark, sf, levels: int = 2, least: int = 4):
-    """Octaves halve while both sides are at least ``least``; a level is blurred by sigma * m ** level, m = sqrt(2 ** (2 / levels) - 1)."""
-    base, side, octave, out = T.raster(spark, sf), 8, 0, None
-    m = math.sqrt(2 ** (2 / levels) - 1)
-    while side >= least:
-        for k in range(levels):
-            part = S.separable(base, S.gaussian_kernel(1.6 * m**k), S.clamped).withColumn("octave", F.lit(octave)).withColumn("level", F.lit(k))
-            out = part if out is None else out.unionByName(part)
-        base = S.separable(base, S.gaussian_kernel(3.2), S.clamped, 2)
-        side, octave = side // 2, octave + 1
-    return out.select("octave", "level", *CELL, "v")
+def w20(spark, sf, levels: int = 3, least: int = 4, sigma: float = 1.6):
+    return S.scale_space(T.raster(spark, sf), 8, levels, least, sigma)
 
 
 @query("W21_scale_space_samples")
@@ -334,53 +325,73 @@ def responses(df, bank, where=None):
     return cells.select("image_id", "r", "c", "k.filter", value.alias("v"))
 
 
-BANK = {"bar": filters.oriented(2, 1.0, 0.4, 2), "edge": filters.oriented(2, 1.0, 0.4, 1), "gaussian": filters.gaussian(2, 1.0), "laplacian": filters.laplacian(2, 1.0), "point": filters.point(2, 1, -1)}
+BANK = {"bar": ("bar", 1.0, 0.4), "edge": ("edge", 1.0, 0.4), "gaussian": ("gaussian", 1.0, 0.0), "laplacian": ("laplacian", 1.0, 0.0)}
+KERNELS = {n: filters.kernel(*spec, radius=2) for n, spec in BANK.items()} | {"point": filters.point(2, 1, -1)}
 
 
-def bank_sql(bank):
-    return "f(filter, dr, dc, w) AS (VALUES " + ", ".join(f"('{n}', {i - len(k) // 2}, {j - len(k) // 2}, {x!r}::DOUBLE)" for n, k in bank.items() for i, row in enumerate(k) for j, x in enumerate(row)) + ")"
+def bank_sql(bank, radius=None, more=""):
+    """The kernels by their formulas, numbered in the order of ``bank``: f (id, dr, dc, w). ``more``: further rows of f."""
+    long, wide = (radius, radius) if radius else ("ceil(7 * s)", "ceil(3 * s)")
+    g = lambda x, s: f"exp(({x}) ** 2 / (-2 * {s} ** 2))"
+    across, code = "(sin(o) * dc + cos(o) * dr)", ["edge", "bar", "gaussian", "laplacian"].index
+    return f"""k(id, kind, s, o) AS (VALUES {', '.join(f"({i}, {code(kind)}, {s!r}::DOUBLE, {o!r}::DOUBLE)" for i, (kind, s, o) in enumerate(bank.values()))}), z AS (SELECT *, (CASE WHEN kind < 2 THEN {long} ELSE {wide} END)::INT AS reach FROM k),
+y AS (SELECT id, kind, s, o, reach, unnest(range(-reach, reach + 1))::INT AS dr FROM z), t AS (SELECT id, kind, s, o, dr, unnest(range(-reach, reach + 1))::INT AS dc FROM y),
+raw AS (SELECT id, dr, dc, CASE kind WHEN 0 THEN {g('cos(o) * dc - sin(o) * dr', '(3 * s)')} * -{across} * {g(across, 's')} WHEN 1 THEN {g('cos(o) * dc - sin(o) * dr', '(3 * s)')} * ({across} ** 2 - s * s) * {g(across, 's')}
+WHEN 2 THEN exp(-(dr * dr + dc * dc) / (2 * s * s)) ELSE (dr * dr + dc * dc - s * s) * exp(-(dr * dr + dc * dc) / (2 * s * s)) END AS w FROM t),
+low AS (SELECT id, dr, dc, w - CASE WHEN min(w) OVER b < 0 THEN avg(w) OVER b ELSE 0 END AS w FROM raw WINDOW b AS (PARTITION BY id)), f AS (SELECT id, dr, dc, w / sum(abs(w)) OVER (PARTITION BY id) AS w FROM low{more})"""
 
 
-@query("W27_filter_kernels", f"WITH {bank_sql(BANK)} SELECT filter, dr, dc, round(w, 6) AS w FROM f")
-def w27(spark, sf):
-    return rounded(bank_table(spark, BANK), "w")
+def name_sql(bank):
+    return f"list_extract([{', '.join(repr(n) for n in bank)}], id + 1) AS filter"
+
+
+def taps_sql(bank):
+    return "f(id, dr, dc, w) AS (VALUES " + ", ".join(f"({n}, {i - len(k) // 2}, {j - len(k) // 2}, {x!r}::DOUBLE)" for n, k in enumerate(bank.values()) for i, row in enumerate(k) for j, x in enumerate(row)) + ")"
 
 
 ONE_JOIN = "JOIN raster a ON a.image_id = p.image_id AND a.r = greatest(least(p.r + f.dr, 7), 0) AND a.c = greatest(least(p.c + f.dc, 7), 0)"
+POINT = " UNION ALL SELECT 4, y.dr::INT, x.dc::INT, CASE WHEN y.dr = 1 AND x.dc = -1 THEN 1.0 ELSE 0.0 END FROM (SELECT unnest(range(-2, 3)) AS dr) y, (SELECT unnest(range(-2, 3)) AS dc) x"
+SMALL, SMALL_NAME = bank_sql(BANK, 2, POINT), name_sql(KERNELS)
+
+
+@query("W27_filter_kernels", f"WITH {SMALL} SELECT {SMALL_NAME}, dr, dc, round(w, 6) AS w FROM f")
+def w27(spark, sf):
+    return rounded(bank_table(spark, KERNELS), "w")
 
 
-@query("W28_filter_response", f"WITH {bank_sql(BANK)} SELECT p.image_id, filter, round(sum(f.w * a.v), 5) + 0.0 AS v FROM raster p, f {ONE_JOIN} WHERE p.r = 3 AND p.c = 3 GROUP BY ALL")
+@query("W28_filter_response", f"WITH {taps_sql(KERNELS)}, x AS (SELECT p.image_id, id, sum(f.w * a.v) AS v FROM raster p, f {ONE_JOIN} WHERE p.r = 3 AND p.c = 3 GROUP BY ALL) SELECT image_id, {SMALL_NAME}, round(v, 5) + 0.0 AS v FROM x")
 def w28(spark, sf):
-    df = responses(T.raster(spark, sf), BANK, (F.col("r") == 3) & (F.col("c") == 3))
+    df = responses(T.raster(spark, sf), KERNELS, (F.col("r") == 3) & (F.col("c") == 3))
     return df.select("image_id", "filter", (F.round("v", 5) + 0.0).alias("v"))
 
 
-@query("W29_leung_malik", f"WITH {bank_sql(filters.leung_malik())} SELECT p.image_id, filter, round(sum(f.w * a.v), 5) + 0.0 AS v FROM raster p, f {ONE_JOIN} WHERE p.r = 4 AND p.c = 4 GROUP BY ALL")
+@query("W29_leung_malik", f"WITH {taps_sql({n: filters.kernel(*spec, radius=3) for n, spec in filters.leung_malik().items()})}, x AS (SELECT p.image_id, id, sum(f.w * a.v) AS v FROM raster p, f {ONE_JOIN} WHERE p.r = 4 AND p.c = 4 GROUP BY ALL) SELECT image_id, {name_sql(filters.leung_malik())}, round(v, 5) + 0.0 AS v FROM x")
 def w29(spark, sf):
-    df = responses(T.raster(spark, sf), filters.leung_malik(), (F.col("r") == 4) & (F.col("c") == 4))
+    """Kernels cut at 3 cells from the centre, as images have 8 x 8."""
+    df = responses(T.raster(spark, sf), {n: filters.kernel(*spec, radius=3) for n, spec in filters.leung_malik().items()}, (F.col("r") == 4) & (F.col("c") == 4))
     return df.select("image_id", "filter", (F.round("v", 5) + 0.0).alias("v"))
 
 
 MR = filters.mr8()
 
 
-@query("W29_mr8", f"WITH {bank_sql({n: k for n, (_, k) in MR.items()})}, g(filter, band) AS (VALUES {', '.join(f"('{n}', {g})" for n, (g, _) in MR.items())}), s AS (SELECT p.image_id, filter, sum(f.w * a.v) AS v FROM raster p, f {ONE_JOIN} WHERE p.r = 4 AND p.c = 4 GROUP BY ALL) SELECT image_id, band, round(max(v), 5) + 0.0 AS v FROM s JOIN g USING (filter) GROUP BY ALL")
+@query("W29_mr8", f"WITH {taps_sql({n: filters.kernel(*spec, radius=3) for n, (_, *spec) in MR.items()})}, s AS (SELECT p.image_id, id, sum(f.w * a.v) AS v FROM raster p, f {ONE_JOIN} WHERE p.r = 4 AND p.c = 4 GROUP BY ALL) SELECT image_id, (CASE WHEN id < 36 THEN id // 6 ELSE id - 30 END)::INT AS band, round(max(v), 5) + 0.0 AS v FROM s GROUP BY ALL")
 def w29m(spark, sf):
     """38 filters, 8 responses: the greatest over each group's orientations."""
-    df = responses(T.raster(spark, sf), {n: k for n, (_, k) in MR.items()}, (F.col("r") == 4) & (F.col("c") == 4))
-    groups = spark.createDataFrame([(n, g) for n, (g, _) in MR.items()], "filter string, band int")
+    df = responses(T.raster(spark, sf), {n: filters.kernel(*spec, radius=3) for n, (_, *spec) in MR.items()}, (F.col("r") == 4) & (F.col("c") == 4))
+    groups = spark.createDataFrame([(n, g) for n, (g, *_) in MR.items()], "filter string, band int")
     return df.join(F.broadcast(groups), "filter").groupBy("image_id", "band").agg((F.round(F.max("v"), 5) + 0.0).alias("v"))
 
 
-@query("W30_filter_bank_image", f"WITH {bank_sql(BANK)} SELECT p.image_id, p.r, p.c, filter, round(sum(f.w * a.v), 5) + 0.0 AS v FROM raster p, f {ONE_JOIN} GROUP BY ALL")
+@query("W30_filter_bank_image", f"WITH {taps_sql(KERNELS)}, x AS (SELECT p.image_id, p.r, p.c, id, sum(f.w * a.v) AS v FROM raster p, f {ONE_JOIN} GROUP BY ALL) SELECT image_id, r, c, {SMALL_NAME}, round(v, 5) + 0.0 AS v FROM x")
 def w30(spark, sf):
-    return responses(T.raster(spark, sf), BANK).withColumn("v", F.round("v", 5) + 0.0)
+    return responses(T.raster(spark, sf), KERNELS).withColumn("v", F.round("v", 5) + 0.0)
 
 
 @query("W31_random_filters")
 def w31(spark, sf, count: int = 6):
     """A seeded pick from the bank."""
-    return bank_table(spark, filters.leung_malik()).select("filter").distinct().orderBy(F.xxhash64(F.lit(31), "filter")).limit(count)
+    return spark.createDataFrame([(n,) for n in filters.leung_malik()], "filter string").orderBy(F.xxhash64(F.lit(31), "filter")).limit(count)
 
 
 @query("W32_interior_point", """WITH s AS (SELECT image_id, label, r, c, row_number() OVER (PARTITION BY image_id, label ORDER BY c, r) AS k, count(*) OVER (PARTITION BY image_id, label) AS n FROM labels_r), m AS (SELECT image_id, label, c FROM s WHERE k = (n + 1) // 2),

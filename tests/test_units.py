@@ -4,7 +4,9 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from gridloom.functions import color
 from gridloom.operators import evaluation as E
 from gridloom.operators import learners as L
 from gridloom.operators import matching as M
@@ -165,3 +167,33 @@ def test_breadth_first_tree_lowers_its_threshold_and_sees_all_features(spark):
     # at 0.9 alone nothing grows
     assert L.breadth_first_tree(p, list(range(64)), threshold=0.9, depth=2, minimum=0, tries=1)[1]["feature"] is None
     assert L.breadth_first_tree(p, list(range(64)), threshold=0.9, depth=2, minimum=1, tries=1)[1]["feature"] == 63
+
+
+def test_scale_space_levels_are_cumulative(spark):
+    """Against one image blurred in numpy: each level from the one before it, octaves from the first level."""
+    rng = np.random.default_rng(20)
+    image = rng.random((8, 8))
+
+    def blurred(x, sigma, step=1):
+        n = math.ceil(3 * sigma)
+        k = np.exp(-(np.arange(-n, n + 1) ** 2) / (2 * sigma**2))
+        at = (np.arange(0, len(x), step)[:, None] + np.arange(-n, n + 1)).clip(0, len(x) - 1)
+        one = lambda y: np.einsum("ikc,k->ic", y[at], k / k.sum())
+        return one(one(x).T).T
+
+    cells = spark.createDataFrame([(1, r, c, float(image[r, c])) for r in range(8) for c in range(8)], "image_id long, r int, c int, v double")
+    got = {(x["octave"], x["level"], x["r"], x["c"]): x["v"] for x in S.scale_space(cells, 8, 3, 4).collect()}
+    base, m, want = blurred(image, 1.6), math.sqrt(2 ** (2 / 3) - 1), {}
+    for octave in range(2):
+        at = base
+        for level in range(3):
+            at = at if level == 0 else blurred(at, 1.6 * m**level)
+            want |= {(octave, level, r, c): at[r, c] for r in range(len(at)) for c in range(len(at))}
+        base = blurred(base, 3.2, 2)
+    assert got.keys() == want.keys()
+    assert max(abs(got[k] - want[k]) for k in want) < 1e-9
+
+
+def test_lab_of_dark_and_yellow(spark):
+    r = spark.range(1).select(*color.rgb_to_lab(F.lit(0.02), F.lit(0.0), F.lit(0.0)), *color.rgb_to_lab(F.lit(1.0), F.lit(1.0), F.lit(0.0))).first()
+    assert r[0] == 20.0 and 0 < r[1] < 1 and r[5] == 70.0 and 97 < r[3] < 97.3
