@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gridloom.llm import exact_dedup, fingerprints, minhash, mixing, packing, sharding, substring_dedup, suffix_dedup, tokens, toxicity
+from gridloom.llm import codes, collocations, exact_dedup, fingerprints, minhash, mixing, packing, quality, sharding, substring_dedup, suffix_dedup, tokens, toxicity
 
 
 def queries() -> dict:
@@ -17,8 +17,11 @@ def queries() -> dict:
         "op8_exact_dedup": exact_dedup.op8_exact_dedup,
         "op9_fingerprints": fingerprints.op9_fingerprints,
         "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
+        "op11_quality": quality.op11_quality,
+        "op12_vector_codes": codes.op12_vector_codes,
+        "op13_collocations": collocations.op13_collocations,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_exact_dedup": exact_dedup.SQL}
+    return {"op8_exact_dedup": exact_dedup.SQL, "op12_vector_codes": codes.SQL, "op13_collocations": collocations.SQL}
