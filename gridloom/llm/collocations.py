@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from gridloom.llm.common import LOWER, UPPER, staged, text_of
 
 #: Bytes of text whose n-grams are made and counted together, inside a task.
-CHUNK = 4 << 20
+CHUNK = 2 << 20
 #: Lower case for A-Z, a newline for whatever ends a piece, a space between words.
 PLAIN = bytes.maketrans(UPPER.encode() + b".,;:!?\x0b\x0c\r\t", LOWER.encode() + b"\n" * 9 + b" ")
 #: Bits of a filter of frequent phrases, and of a slice of it that one task makes. A full filter lets everything through.
