@@ -247,54 +247,6 @@ def vine(points: DataFrame, features: list[int], width: int = 4, depth: int = 3,
     return levels
 
 
-def density_tree(points: DataFrame, features: list[int], bins: int = 10, depth: int = 2, least: int = 20) -> list[dict]:
-    """Regions of a density tree: each node is cut where points stand out most from as many virtual uniform ones.
-
-    One histogram per node and feature tells the gain of all cuts. Returns regions as bounds by feature, with their points and relative density.
-    """
-    ends = points.agg(*[f(F.col("data")[x]).alias(f"{n}{x}") for x in features for n, f in (("lo", F.min), ("hi", F.max))]).first()
-    box = {x: (float(ends[f"lo{x}"]), float(ends[f"hi{x}"])) for x in features}
-    total = points.count()
-    open_, done = [(box, total)], []
-    for _ in range(depth):
-        bounds = [F.lit(k).alias("k") for k in range(len(open_))]
-        inside = [[(F.col("data")[x] >= b[x][0]) & (F.col("data")[x] <= b[x][1]) for x in features] for b, _ in open_]
-        node = F.lit(None).cast("int")
-        for k, conds in reversed(list(enumerate(inside))):
-            both = conds[0]
-            for c in conds[1:]:
-                both = both & c
-            node = F.when(both, F.lit(k)).otherwise(node)
-        del bounds
-        rows = points.withColumn("k", node).filter("k is not null")
-        cells = [F.when(F.col("k") == k, F.array(*[F.struct(F.lit(x).alias("f"), F.least(F.floor((F.col("data")[x] - b[x][0]) / max(b[x][1] - b[x][0], 1e-12) * bins), F.lit(bins - 1)).cast("int").alias("bin")) for x in features])) for k, (b, _) in enumerate(open_)]
-        counts = rows.select("k", F.explode(F.coalesce(*cells)).alias("s")).groupBy("k", "s.f", "s.bin").count().toPandas()  # nodes x features x bins rows
-        following = []
-        for k, (b, n) in enumerate(open_):
-            best = None
-            for x in features:
-                part = counts[(counts["k"] == k) & (counts["f"] == x)]
-                h = np.zeros(bins)
-                h[part["bin"]] = part["count"]
-                uniform = n / bins * np.arange(1, bins)
-                left = np.stack([h.cumsum()[:-1], uniform], 1)
-                right = np.stack([h.sum() - left[:, 0], n - uniform], 1)
-                gain = 2 * n - entropy_sum(left) - entropy_sum(right)
-                c = int(gain.argmax())
-                if best is None or gain[c] > best[0]:
-                    best = (gain[c], x, b[x][0] + (c + 1) / bins * (b[x][1] - b[x][0]), left[c, 0], right[c, 0])
-            if best and n >= 2 * least and min(best[3], best[4]) > 0:
-                _, x, cut, nl, nr = best
-                following += [({**b, x: (b[x][0], cut)}, int(nl)), ({**b, x: (np.nextafter(cut, np.inf), b[x][1])}, int(nr))]
-            else:
-                done.append((b, n))
-        open_ = following
-        if not open_:
-            break
-    volume = lambda b: math.prod(max(hi - lo, 1e-12) / max(box[x][1] - box[x][0], 1e-12) for x, (lo, hi) in b.items())
-    return [{"bounds": b, "points": n, "density": n / total / max(volume(b), 1e-12)} for b, n in [*done, *open_] if n >= least]
-
-
 # --- model fitting --------------------------------------------------------------------------
 
 

@@ -61,12 +61,6 @@ def m3searches(spark, sf):
     return v.groupBy("query").agg((-F.max(F.struct("count", (-F.col("label")).alias("k")))["k"]).alias("label"))
 
 
-@query("M4_density_tree")
-def m4(spark, sf):
-    found = L.density_tree(T.points(spark, sf), FEATURES[:4])
-    return spark.createDataFrame([(i, x, float(lo), float(hi), r["points"], float(r["density"])) for i, r in enumerate(found) for x, (lo, hi) in r["bounds"].items()] or [], "region int, feature int, lo double, hi double, points long, density double")
-
-
 @query("M4_density_predict", "SELECT id, CASE WHEN data[1] < 0 THEN CASE WHEN data[2] < 0.05 THEN 0 ELSE 1 END ELSE CASE WHEN data[3] < -0.05 THEN 2 ELSE 3 END END::INT AS region FROM points")
 def m4p(spark, sf):
     """Points under a fixed tree, as one nested CASE."""
@@ -74,14 +68,6 @@ def m4p(spark, sf):
     return T.points(spark, sf).select("id", (L.route(model) - 4).alias("region"))
 
 
-@query("M5_random_cluster_tree")
-def m5(spark, sf):
-    """As M4 over features drawn by a seed."""
-    rng = np.random.default_rng(5)
-    found = L.density_tree(T.points(spark, sf), sorted(int(x) for x in rng.choice(64, 3, replace=False)), depth=3)
-    return spark.createDataFrame([(i, r["points"], float(r["density"])) for i, r in enumerate(found)] or [], "region int, points long, density double")
-
-
 def tree_rows(spark, models):
     return L.as_table(spark, models)
 
