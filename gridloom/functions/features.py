@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -54,3 +55,31 @@ def two_rectangles(dr: int, dc: int, height: int, width: int, **names: str) -> C
 def combined(features: list[Column], weights: list[float]) -> Column:
     """A linear combination of features."""
     return sum((f * w for f, w in zip(features, weights, strict=True)), F.lit(0.0))
+
+
+def drawn(count: int, reach: int = 3, seed: int = 1) -> list[tuple[str, Column]]:
+    """``count`` named features of an image cell, of kinds, offsets up to ``reach`` and sizes drawn by the seed.
+
+    The kinds are single cells, pairs of cells, rectangles, rectangles against the one below, weighted parts, and combinations of two others.
+    """
+    rng = np.random.default_rng(seed)
+    offset = lambda: (int(rng.integers(-reach, reach + 1)), int(rng.integers(-reach, reach + 1)))
+    out: list[tuple[str, Column]] = []
+    while len(out) < count:
+        kind = ("unary", "binary", "rectangle", "two rectangles", "parts", "combination")[rng.integers(6 if len(out) > 1 else 5)]
+        a, b, size = offset(), offset(), (int(rng.integers(1, reach + 1)), int(rng.integers(1, reach + 1)))
+        if kind == "unary":
+            log, absolute = (bool(x) for x in rng.integers(2, size=2))
+            out.append((f"{kind} {a} log={log} abs={absolute}", unary(shifted(*a), log, absolute)))
+        elif kind == "binary":
+            how = ("subtract", "add", "multiply", "divide", "log")[rng.integers(5)]
+            out.append((f"{kind} {a} {how} {b}", binary(shifted(*a), shifted(*b), how)))
+        elif kind in ("rectangle", "two rectangles"):
+            out.append((f"{kind} {a} {size}", (rectangle if kind == "rectangle" else two_rectangles)(*a, *size)))
+        elif kind == "parts":
+            weights = [round(float(x), 3) for x in rng.normal(size=2)]
+            out.append((f"{kind} {a} {b} {weights}", parts([(*a, weights[0]), (*b, weights[1])])))
+        else:
+            i, j = (int(x) for x in rng.choice(len(out), 2, replace=False))
+            out.append((f"{kind} of {i} and {j}", combined([out[i][1], out[j][1]], [0.5, -0.5])))
+    return out

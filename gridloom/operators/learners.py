@@ -240,10 +240,10 @@ def vine(points: DataFrame, features: list[int], width: int = 4, depth: int = 3,
             child = min(options, key=cost)
         level = {node: (s["feature"], s["threshold"], int(child[names.index((node, 0))]), int(child[names.index((node, 1))])) for node, s in sorted(found.items())}
         levels.append(level)
-        step = F.col("node")
+        step = F.lit(None).cast("int")
         for node, (f, t, a, b) in level.items():
-            step = F.when(F.col("node") == node, F.when(F.col("data")[f] < t, a).otherwise(b)).otherwise(step) if node == next(iter(level)) else F.when(F.col("node") == node, F.when(F.col("data")[f] < t, a).otherwise(b)).otherwise(step)
-        here = here.withColumn("node", step)
+            step = F.when(F.col("node") == node, F.when(F.col("data")[f] < t, a).otherwise(b)).otherwise(step)
+        here = here.withColumn("node", step).filter("node is not null")  # points of nodes that aren't parted stay there
     return levels
 
 

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from gridloom.functions import features as X
 from gridloom.operators import density, spatial
-from gridloom.plans.learner_queries import SQ
+from gridloom.operators import learners as L
+from gridloom.operators import prediction as R
+from gridloom.plans.feature_queries import cells
+from gridloom.plans.learner_queries import FIXED, NODES, SQ
 from gridloom.registry import query
 from gridloom.sources import tables as T
 
@@ -96,3 +102,159 @@ def m5leaves(spark, sf):
     """The leaf of every point."""
     p = T.points(spark, sf)
     return p.select("id", density.routed(density.random_cluster_tree(p, 64, 8, 20, 0.05, 0.9, 4)).alias("leaf"))
+
+
+# --- what trees and forests tell ----------------------------------------------------------------
+
+#: The paths of the two fixed trees: at each leaf the values tested on the way, from the leaf up.
+PATHS = "path AS (SELECT id, label, 0 AS tree, CASE WHEN data[1] < 0 THEN [data[4], data[1]] ELSE [data[5], data[1]] END AS x FROM points UNION ALL SELECT id, label, 1, CASE WHEN data[10] < 0.01 THEN [data[8], data[10]] ELSE [data[9], data[10]] END FROM points)"
+
+
+@query("M10_responses", f"WITH {PATHS} SELECT id, round(x[1]::DOUBLE + x[2]::DOUBLE, 6) + 0.0 AS total, round(greatest(x[1], x[2])::DOUBLE, 6) + 0.0 AS largest, round(0.5 * (0.5 * 1 + x[1]::DOUBLE) + x[2]::DOUBLE, 6) + 0.0 AS faded FROM path WHERE tree = 0")
+def m10responses(spark, sf):
+    """Folds of the tested values along a point's path, from the leaf up: their sum, the largest, and one that halves what came before."""
+    fold = lambda reduce, start: F.round(R.path_fold(FIXED[0], reduce, F.lit(start)), 6) + 0.0
+    return T.points(spark, sf).select("id", fold(lambda a, x: a + x, 0.0).alias("total"), fold(F.greatest, float("-inf")).alias("largest"), fold(lambda a, x: 0.5 * a + x, 1.0).alias("faded"))
+
+
+@query("M11_sparse_codes", f"WITH {NODES} SELECT id, list(((node - 4) // 2) * 4 + (node - 4) % 2 ORDER BY tree)::BIGINT[]::VARCHAR AS codes FROM leaf GROUP BY id")
+def m11codes(spark, sf):
+    """A code a tree: a right turn at the root adds 4, one below adds 1."""
+    return R.sparse_codes(T.points(spark, sf), FIXED, 3).select("id", F.concat(F.lit("["), F.array_join("codes", ", "), F.lit("]")).alias("codes"))
+
+
+@query("M11_sub_forest")
+def m11sub(spark, sf):
+    """Label distributions by half of a forest, drawn by a seed."""
+    p = T.points(spark, sf).withColumn("weight", F.lit(1.0))
+    models = [L.tree(p, [int(f) for f in np.random.default_rng(t).choice(64, 6, replace=False)], depth=2) for t in range(4)]
+    return L.soft(p, R.sub_forest(models, 2, 11))
+
+
+@query("M11_refilled_forest", f"WITH {NODES}, n AS (SELECT tree, node >> k AS node, label, sum(CASE WHEN id % 2 = 0 THEN 1.0 ELSE 2.5 END) AS n FROM leaf, (SELECT unnest([0, 1, 2]) AS k) GROUP BY ALL) SELECT tree, node::INT AS node, label, n::DOUBLE AS n FROM n")
+def m11refill(spark, sf):
+    """Trees filled with points of even identifiers, then with the others at a weight of 2.5: weights by label at all nodes."""
+    p = T.points(spark, sf)
+    models = R.refilled(p.filter("id % 2 = 0"), FIXED)
+    models = R.refilled(p.filter("id % 2 = 1").withColumn("weight", F.lit(2.5)), models)
+    return spark.createDataFrame([(t, n, k, w) for t, m in enumerate(models) for n, v in m.items() for k, w in v["dist"].items() if w], "tree int, node int, label int, n double")
+
+
+@query("M6_candidate_tree")
+def m6candidates(spark, sf):
+    """A tree whose nodes draw features, and thresholds around the mean of their own values."""
+    model, _ = R.candidate_tree(T.points(spark, sf), 64, depth=3)
+    return L.as_table(spark, [model])
+
+
+def emitted(spark, sf):
+    p = T.points(spark, sf).withColumn("weight", F.lit(1.0))
+    return p, L.tree(p, [0, 5, 9], bins=4, depth=2)
+
+
+@query("U10_tree_as_sql", f"WITH {NODES} SELECT id, node::INT AS node FROM leaf WHERE tree = 1")
+def u10(spark, sf):
+    """The leaf that generated SQL text gives."""
+    return T.points(spark, sf).select("id", F.expr(R.tree_sql(FIXED[1], lambda f: f"data[{f}]")).alias("node"))
+
+
+@query("U10_learned_tree_as_sql")
+def u10learned(spark, sf):
+    """Labels by SQL text generated from a tree that was learned just before."""
+    p, model = emitted(spark, sf)
+    return p.select("id", F.expr(R.label_sql(model, lambda f: f"data[{f}]")).alias("predicted"))
+
+
+# --- vines ----------------------------------------------------------------------------------------
+
+#: Three levels of at most three nodes; node 1 of the second level isn't parted further.
+VINE = [{0: (0, 0.0, 0, 1)}, {0: (3, 0.02, 0, 1)}, {0: (4, -0.03, 0, 1), 1: (7, 0.0, 1, 2)}]
+VINE_SQL = "v0 AS (SELECT id, label, data, CASE WHEN data[1] < 0 THEN 0 ELSE 1 END AS n1 FROM points), v1 AS (SELECT *, CASE WHEN n1 = 0 THEN CASE WHEN data[4] < 0.02 THEN 0 ELSE 1 END END AS n2 FROM v0), v2 AS (SELECT *, CASE n2 WHEN 0 THEN CASE WHEN data[5] < -0.03 THEN 0 ELSE 1 END WHEN 1 THEN CASE WHEN data[8] < 0 THEN 1 ELSE 2 END END AS n3 FROM v1), vine AS (SELECT id, label, CASE WHEN n1 = 1 THEN 1 ELSE 3 END AS level, CASE WHEN n1 = 1 THEN 1 ELSE n3 END AS node FROM v2)"
+
+
+@query("M15_vine_nodes", f"WITH {VINE_SQL} SELECT id, level::INT AS level, node::INT AS node FROM vine")
+def m15nodes(spark, sf):
+    """Where each point ends in a graph whose nodes share children."""
+    return R.vine_steps(T.points(spark, sf), VINE).select("id", "level", "node")
+
+
+@query("M15_vine_soft", f"WITH {VINE_SQL}, d AS (SELECT level, node, label, count(*) / sum(count(*)) OVER (PARTITION BY level, node) AS p FROM vine GROUP BY level, node, label) SELECT id, d.label AS predicted, round(p, 6) AS p FROM vine JOIN d USING (level, node)")
+def m15soft(spark, sf):
+    """Label distributions of the nodes where points end."""
+    p = T.points(spark, sf)
+    return R.vine_soft(p, VINE, R.vine_distributions(p, VINE)).withColumn("p", F.round("p", 6))
+
+
+@query("M15_vine_responses", """WITH r0 AS (SELECT id, data::DOUBLE[] AS d FROM points),
+r1 AS (SELECT id, d, d[1] AS a FROM r0),
+r2 AS (SELECT id, d, a + 2 * d[4] AS x, greatest(a + 2 * d[4], a + 2 * d[10]) AS y FROM r1),
+r3 AS (SELECT id, x + 3 * d[5] AS first, greatest(x + 3 * d[5], y + 3 * d[8]) AS second FROM r2)
+SELECT id, round(first / 6, 6) + 0.0 AS first, round(second / 6, 6) + 0.0 AS second FROM r3""")
+def m15responses(spark, sf):
+    """Responses along all paths of a vine of two leaves, folded by the largest where paths meet."""
+    levels = [{0: (0, 0.0, 0, 1)}, {0: (3, 0.02, 0, 1), 1: (9, 0.01, 1, 1)}, {0: (4, 0.0, 0, 1), 1: (7, 0.0, 1, 1)}]
+    out = R.vine_responses(T.points(spark, sf), levels, F.greatest, float("-inf"))
+    return out.select("id", (F.round(F.col("responses")[0], 6) + 0.0).alias("first"), (F.round(F.col("responses")[1], 6) + 0.0).alias("second"))
+
+
+@query("M15_vine_classify")
+def m15classify(spark, sf):
+    """Labels by a vine that was trained just before."""
+    p = T.points(spark, sf)
+    levels = L.vine(p, list(range(8)))
+    soft = R.vine_soft(p, levels, R.vine_distributions(p, levels))
+    return soft.groupBy("id").agg((-F.max(F.struct("p", (-F.col("predicted")).alias("k")))["k"]).alias("predicted"))
+
+
+# --- images ---------------------------------------------------------------------------------------
+
+#: Two trees over a cell's value and place.
+IMAGE_TREES = [
+    {1: {"feature": 0, "threshold": 0.0}, 2: {"feature": 1, "threshold": 4.0}, 3: {"feature": 2, "threshold": 3.0}},
+    {1: {"feature": 2, "threshold": 5.0}, 3: {"feature": 0, "threshold": 0.1}},
+]
+IMAGE_LEAVES = "leafed AS (SELECT image_id, r, c, 0 AS tree, CASE WHEN v < 0 THEN CASE WHEN r < 4 THEN 4 ELSE 5 END ELSE CASE WHEN c < 3 THEN 6 ELSE 7 END END AS leaf FROM raster UNION ALL SELECT image_id, r, c, 1, CASE WHEN c < 5 THEN 2 WHEN v < 0.1 THEN 6 ELSE 7 END FROM raster)"
+
+
+def leaf_image(spark, sf):
+    cells = T.raster(spark, sf).withColumn("data", F.array("v", F.col("r").cast("double"), F.col("c").cast("double")))
+    each = F.array(*[F.struct(F.lit(t).alias("tree"), L.route(m).alias("leaf")) for t, m in enumerate(IMAGE_TREES)])
+    return cells.select("image_id", "r", "c", F.explode(each).alias("e")).select("image_id", "r", "c", "e.*")
+
+
+@query("M14_leaf_image", f"WITH {IMAGE_LEAVES} SELECT image_id, r, c, tree, leaf FROM leafed")
+def m14leaves(spark, sf):
+    return leaf_image(spark, sf)
+
+
+@query("A24_leaf_image_histograms", f"WITH {IMAGE_LEAVES}, q AS (SELECT vec_id AS image_id, (vec_id % 5)::INT AS r0, (vec_id % 3)::INT AS c0, (vec_id % 3)::INT + 1 AS height, (vec_id % 4)::INT + 2 AS width FROM embeddings), inside AS (SELECT q.image_id, height * width AS area, tree, leaf FROM q JOIN leafed USING (image_id) WHERE r >= r0 AND r < r0 + height AND c >= c0 AND c < c0 + width) SELECT image_id, tree, (leaf >> k)::INT AS node, round(count(*) / area, 9) AS value FROM inside, (SELECT unnest([0, 1, 2]) AS k) WHERE leaf >> k > 0 GROUP BY image_id, tree, leaf >> k, area")
+def a24leaves(spark, sf):
+    """A rectangle of each image, of its own place and size: shares of its cells at all nodes of both trees."""
+    i = F.col("vec_id")
+    boxes = T.table(spark, sf, "embeddings").select(i.alias("key"), i.alias("image_id"), (i % 5).cast("int").alias("r0"), (i % 3).cast("int").alias("c0"), (i % 3 + 1).cast("int").alias("height"), (i % 4 + 2).cast("int").alias("width"))
+    out = R.leaf_histograms(R.leaf_integrals(leaf_image(spark, sf)), boxes, 2)
+    return out.select("image_id", "tree", "node", F.round("value", 9).alias("value"))
+
+
+@query("M14_filled_image", f"WITH {IMAGE_LEAVES}, n AS (SELECT tree, leaf, label, count(*) AS n FROM leafed JOIN labels_r USING (image_id, r, c) GROUP BY ALL), d AS (SELECT tree, leaf, label, n / sum(n) OVER (PARTITION BY tree, leaf) AS p FROM n) SELECT image_id, r, c, d.label, round(sum(p) / 2, 9) AS p FROM leafed JOIN d USING (tree, leaf) GROUP BY image_id, r, c, d.label")
+def m14filled(spark, sf):
+    """Trees filled from labelled images, then the label distribution of every cell."""
+    leaves = leaf_image(spark, sf)
+    counts = leaves.join(T.labels(spark, sf), ["image_id", "r", "c"]).groupBy("tree", "leaf", "label").agg(F.count("*").alias("n"))
+    filled = counts.select("tree", "leaf", "label", (F.col("n") / F.sum("n").over(W.partitionBy("tree", "leaf"))).alias("p"))
+    return R.leaf_distributions(leaves, filled, 2).withColumn("p", F.round("p", 9))
+
+
+def image_points(spark, sf, features):
+    """Every cell with its values of the features, and its label."""
+    labels = T.labels(spark, sf).withColumn("label", F.least("label", F.lit(2)))
+    shown = cells(spark, sf).select("image_id", "r", "c", F.array(*features).alias("data"))
+    return shown.join(labels, ["image_id", "r", "c"]).withColumn("id", F.col("image_id") * 64 + F.col("r") * 8 + F.col("c"))
+
+
+@query("U6_image_tree")
+def u6tree(spark, sf):
+    """A tree over features of image cells that were drawn by a seed, trained on labelled cells and applied to all."""
+    p = image_points(spark, sf, [f for _, f in X.drawn(12, seed=6)])
+    model, _ = R.candidate_tree(p, 12, tries=4, depth=3)
+    return p.select("image_id", "r", "c", F.expr(R.label_sql(model, lambda f: f"data[{f}]")).alias("predicted"))
