@@ -5,6 +5,7 @@ from __future__ import annotations
 import gzip
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from gridloom.operators import evaluation as E
@@ -37,38 +38,39 @@ def io4(spark, sf):
     return numbered(back).select("image_id", "r", "c", F.round(F.col("v") * 255).cast("long").alias("v"))
 
 
-def one_file_each(df, path):
-    """Rows (image_id, value) as files of their own. Values hold bytes below 128 alone, which text files keep as they are."""
-    df.select("image_id", "value").write.partitionBy("image_id").text(path)
+def through_files(spark, images, name, write):
+    """Images written as files of a folder and scanned by Spark's source of whole files."""
+    path = folder(spark, name)
+    formats.save_files(formats.written(images, write).withColumnRenamed("path", "name"), path)
+    return formats.scan_files(spark, path)
 
 
-HALF = "floor(least(abs(v), 1.0) * 127)::BIGINT"
+BYTE = "floor(least(abs(v), 1.0) * 255)::BIGINT"
 
 
-@query("IO4_pgm_files", f"SELECT image_id, r, c, {HALF} AS v FROM raster")
+@query("IO4_pgm_files", f"SELECT image_id, r, c, {BYTE} AS v FROM raster")
 def io4files(spark, sf):
     """Files written to a folder, listed and read by Spark's scan of whole files, and parsed where they are read."""
-    path = folder(spark, "pgm")
-    codes = F.transform("data", lambda v: F.char(F.floor(F.least(F.abs(v), F.lit(1.0)) * 127)))
-    one_file_each(T.table(spark, sf, "embeddings").select(F.col("vec_id").alias("image_id"), F.col("embedding").cast("array<double>").alias("data")).select("image_id", F.concat(F.lit("P5\n8 8\n255\n"), F.array_join(codes, "")).alias("value")), path)
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(path).select(F.concat(F.lit("image"), F.col("image_id")).alias("path"), "content")
-    return numbered(formats.parsed(files, formats.parse_pgm)).select("image_id", "r", "c", F.round(F.col("v") * 255).cast("long").alias("v"))
+    back = numbered(formats.parsed(through_files(spark, grey(spark, sf), "pgm", formats.write_pgm), formats.parse_pgm))
+    return back.select("image_id", "r", "c", F.round(F.col("v") * 255).cast("long").alias("v"))
 
 
-@query("IO3_image_files", f"SELECT image_id, r, c, {HALF} AS red, (100 - r)::BIGINT AS green, c::BIGINT AS blue, ({HALF} + 100 - r + c)::BIGINT AS total FROM raster WHERE r < 4 AND c < 4")
+@query("IO3_image_files", f"WITH b AS (SELECT image_id, r, c, {BYTE} AS red, (255 - r * 30)::BIGINT AS green, (c * 36)::BIGINT AS blue FROM raster) SELECT image_id, r, c, red, green, blue, round((greatest(red, green, blue) + least(red, green, blue)) / 2 / 255, 9) AS grey, ((greatest(red, green, blue) + least(red, green, blue)) // 2)::BIGINT AS mono FROM b")
 def io3(spark, sf):
-    """Colour bitmaps (the upper left 4 x 4 cells) written as files and loaded by Spark's image source, blue first."""
+    """Colour bitmaps written as files and loaded by Spark's image source, blue first, as colours, grey values and whole grey numbers."""
     path = folder(spark, "bmp")
-    # fixed values: the header of a bitmap of 4 x 4 cells of 24 bits, rows from the bottom up
-    header = bytes([66, 77, 102, 0, 0, 0, 0, 0, 0, 0, 54, 0, 0, 0, 40, 0, 0, 0, 4, 0, 0, 0, 4, 0, 0, 0, 1, 0, 24, 0, 0, 0, 0, 0, 48, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0])
-    order = F.array(*[F.struct(F.lit(r).alias("r"), F.lit(c).alias("c")) for r in (3, 2, 1, 0) for c in range(4)])
-    red = lambda p: F.floor(F.least(F.abs(F.get("data", p["r"] * 8 + p["c"])), F.lit(1.0)) * 127)
-    cells = F.transform(order, lambda p: F.concat(F.char(p["c"]), F.char(100 - p["r"]), F.char(red(p))))
-    one_file_each(T.table(spark, sf, "embeddings").select(F.col("vec_id").alias("image_id"), F.col("embedding").cast("array<double>").alias("data")).select("image_id", F.concat(F.lit(header.decode("latin-1")), F.array_join(cells, "")).alias("value")), path)
-    images = spark.read.format("image").option("pathGlobFilter", "*.txt").load(path).select(F.regexp_extract("image.origin", r"image_id=(\d+)", 1).cast("long").alias("image_id"), "image.width", F.regexp_extract_all(F.hex("image.data"), F.lit("(..)"), F.lit(1)).alias("bytes"))
-    byte = lambda k: F.conv(F.get("bytes", F.col("i") * 3 + k), 16, 10).cast("long")
-    out = images.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(15)))).select("image_id", F.floor(F.col("i") / F.col("width")).cast("int").alias("r"), (F.col("i") % F.col("width")).cast("int").alias("c"), byte(2).alias("red"), byte(1).alias("green"), byte(0).alias("blue"))
-    return out.withColumn("total", F.col("red") + F.col("green") + F.col("blue"))
+
+    def write(a):
+        r, c = np.indices(a.shape)
+        return formats.write_bmp(np.stack([np.floor(a * 255), 255 - r * 30, c * 36], axis=-1).astype(np.uint8))
+
+    formats.save_files(formats.written(grey(spark, sf), write).withColumnRenamed("path", "name"), path)
+    images = spark.read.format("image").option("pathGlobFilter", "*.txt").load(path).select(F.regexp_extract("image.origin", r"name=image-(\d+)", 1).cast("long").alias("image_id"), "image.width", "image.height", F.hex("image.data").alias("hex"))
+    cells = images.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("width") * F.col("height") - 1)))
+    byte = lambda k: F.conv(F.substring("hex", F.col("i") * 6 + 2 * k + 1, F.lit(2)), 16, 10).cast("long")
+    out = cells.select("image_id", F.floor(F.col("i") / F.col("width")).cast("int").alias("r"), (F.col("i") % F.col("width")).cast("int").alias("c"), byte(2).alias("red"), byte(1).alias("green"), byte(0).alias("blue"))
+    ends = F.greatest("red", "green", "blue") + F.least("red", "green", "blue")
+    return out.withColumns({"grey": F.round(ends / 2 / 255, 9), "mono": F.expr("cast((greatest(red, green, blue) + least(red, green, blue)) div 2 as bigint)")})
 
 
 @query("IO5_ppm", GREY)
@@ -79,7 +81,7 @@ def io5(spark, sf):
         b = np.floor(a * 255).astype(int) * 257
         return formats.write_ppm(np.repeat(b[..., None], 3, axis=2), deep=True)
 
-    back = numbered(formats.parsed(formats.written(grey(spark, sf), write), formats.parse_ppm))
+    back = numbered(formats.parsed(through_files(spark, grey(spark, sf), "ppm", write), formats.parse_ppm))
     return back.filter("ch = 1").select("image_id", "r", "c", F.col("v").cast("long").alias("v"))
 
 
@@ -88,34 +90,97 @@ def io6(spark, sf):
     def write(a):
         return gzip.compress(np.repeat(np.floor(a * 255).astype(np.uint8)[..., None], 3, axis=2).tobytes())
 
-    back = numbered(formats.parsed(formats.written(grey(spark, sf), write), lambda d: formats.parse_raw(d, 8, 8)))
+    back = numbered(formats.parsed(through_files(spark, grey(spark, sf), "raw", write), lambda d: formats.parse_raw(d, 8, 8)))
     return back.filter("ch = 2").select("image_id", "r", "c", F.col("v").cast("long").alias("v"))
 
 
+def matrices(spark, sf, **options):
+    files = through_files(spark, grey(spark, sf), "mat", lambda a: formats.write_mat5({"m": a}, **options))
+    return numbered(formats.parsed(files, lambda d: formats.parse_mat5(d)["m"])).select("image_id", "r", "c", F.round("v", 9).alias("v"))
+
+
 @query("IO7_mat5", "SELECT image_id, r, c, round(least(abs(v), 1.0), 9) AS v FROM raster")
 def io7(spark, sf):
-    back = formats.parsed(formats.written(grey(spark, sf), lambda a: formats.write_mat5({"m": a})), lambda d: formats.parse_mat5(d)["m"])
-    return numbered(back).select("image_id", "r", "c", F.round("v", 9).alias("v"))
+    return matrices(spark, sf)
 
 
 @query("IO8_mat5_compressed", "SELECT image_id, r, c, round(least(abs(v), 1.0), 9) AS v FROM raster")
 def io8(spark, sf):
-    back = formats.parsed(formats.written(grey(spark, sf), lambda a: formats.write_mat5({"m": a}, compressed=True)), lambda d: formats.parse_mat5(d)["m"])
-    return numbered(back).select("image_id", "r", "c", F.round("v", 9).alias("v"))
+    return matrices(spark, sf, compressed=True)
 
 
 @query("IO9_mat5_big_endian", "SELECT image_id, r, c, round(least(abs(v), 1.0), 9) AS v FROM raster")
 def io9(spark, sf):
-    back = formats.parsed(formats.written(grey(spark, sf), lambda a: formats.write_mat5({"m": a}, order=">")), lambda d: formats.parse_mat5(d)["m"])
-    return numbered(back).select("image_id", "r", "c", F.round("v", 9).alias("v"))
+    return matrices(spark, sf, order=">")
+
+
+@query("IO9_mat5_nested", "WITH g AS (SELECT image_id, r, c, least(abs(v), 1.0) AS v FROM raster) SELECT image_id, 'of ' || (min(CASE WHEN r = 0 AND c = 0 THEN floor(v * 1000) END)::BIGINT) AS title, round(sum(CASE WHEN r = 2 THEN v ELSE 0 END), 9) AS line, sum(CASE WHEN v > 0.1 THEN 1 ELSE 0 END)::BIGINT AS above, round(sum(v) * 0.5, 9) AS imaginary, sum(floor(v * 100))::BIGINT AS hundredths FROM g GROUP BY image_id")
+def io9nested(spark, sf):
+    """Structs with text, cells, truth values, complex and whole numbers, as compressed files."""
+
+    def write(a):
+        return formats.write_mat5({"s": {"title": f"of {int(a[0, 0] * 1000)}", "cells": [a[2], "third line"], "above": a > 0.1, "complex": a + 0.5j * a, "hundredths": np.floor(a * 100).astype("i4")}}, compressed=True)
+
+    def read(frames):
+        for f in frames:
+            for path, content in zip(f["path"], f["content"], strict=True):
+                s = formats.parse_mat5(bytes(content))["s"][0]
+                yield pd.DataFrame({"image_id": [int(path.rpartition("-")[2])], "title": [s["title"][0]], "line": [round(float(s["cells"][0].sum()), 9)], "above": [int(s["above"].sum())], "imaginary": [round(float(s["complex"].imag.sum()), 9)], "hundredths": [int(s["hundredths"].sum())]})
+
+    return through_files(spark, grey(spark, sf), "nested", write).mapInPandas(read, "image_id long, title string, line double, above long, imaginary double, hundredths long")
 
 
 @query("IO10_filter_bank_binary", "SELECT image_id, r, c, round(least(abs(v), 1.0), 5) AS v FROM raster")
 def io10(spark, sf):
-    back = formats.parsed(formats.written(grey(spark, sf), lambda a: formats.write_bank(a[..., None])), formats.parse_bank)
+    back = formats.parsed(through_files(spark, grey(spark, sf), "bank", lambda a: formats.write_bank(a[..., None])), formats.parse_bank)
     return numbered(back).select("image_id", "r", "c", F.round("v", 5).alias("v"))
 
 
+@query("IO11_histogram_files", "SELECT hist_id, tree, idx, value FROM hist")
+def io11files(spark, sf, most: int = 1000):
+    """Tree histograms as binary files of about ``most`` each, so that files grow in number and not in size."""
+    path = folder(spark, "histograms")
+    whole = T.histograms(spark, sf).groupBy("hist_id").agg(F.array_sort(F.collect_list(F.struct("tree", "idx", "value"))).alias("nodes"))  # the bins of one histogram
+
+    def write(frames):
+        for f in frames:
+            yield pd.DataFrame({"file": f["file"], "content": [formats.write_histogram(str(i), [(x["tree"], x["idx"], -1, x["value"]) for x in nodes]) for i, nodes in zip(f["hist_id"], f["nodes"], strict=True)]})
+
+    files = whole.count() // most + 1
+    parts = whole.withColumn("file", F.pmod(F.xxhash64("hist_id"), F.lit(files))).repartition(files, "file").mapInPandas(write, "file long, content binary")
+    joined = parts.groupBy("file").agg(F.expr("unhex(array_join(transform(collect_list(content), x -> hex(x)), ''))").alias("content"))
+    formats.save_files(joined.withColumn("name", F.concat(F.lit("histograms-"), "file")), path)
+
+    def read(frames):
+        for f in frames:
+            for content in f["content"]:
+                rows = [(int(name), t, i, v) for name, nodes in formats.parse_histograms(bytes(content)) for t, i, _, v in nodes]
+                yield pd.DataFrame(rows, columns=["hist_id", "tree", "idx", "value"])
+
+    return formats.scan_files(spark, path).mapInPandas(read, "hist_id long, tree int, idx long, value double")
+
+
+@query("IO11_label_dictionary", "SELECT label, 'label ' || label AS name, (label * 20)::INT AS red, (255 - label)::INT AS green, (label % 7)::INT AS blue FROM (SELECT DISTINCT label FROM embeddings)")
+def io11labels(spark, sf):
+    """The labels of the points, with names and colours, as a binary file. A dictionary has one row a label."""
+    path = folder(spark, "labels")
+    k = F.col("label")
+    rows = T.points(spark, sf).select("label").distinct().select(F.struct(k, F.concat(F.lit("label "), k).alias("name"), (k * 20).alias("red"), (255 - k).alias("green"), (k % 7).alias("blue")).alias("x"))
+    listed = rows.agg(F.array_sort(F.collect_list("x")).alias("labels"))  # a dictionary is small by its kind: its labels are 16-bit numbers
+
+    def write(frames):
+        for f in frames:
+            yield pd.DataFrame({"name": ["dictionary"] * len(f), "content": [formats.write_labels([(x["label"], x["name"], x["red"], x["green"], x["blue"]) for x in labels]) for labels in f["labels"]]})
+
+    def read(frames):
+        for f in frames:
+            for content in f["content"]:
+                yield pd.DataFrame(formats.parse_labels(bytes(content)), columns=["label", "name", "red", "green", "blue"])
+
+    formats.save_files(listed.mapInPandas(write, "name string, content binary"), path)
+    return formats.scan_files(spark, path).mapInPandas(read, "label int, name string, red int, green int, blue int")
+
+
 @query("IO11_histogram_table", "SELECT hist_id, tree, idx, value FROM hist")
 def io11(spark, sf):
     return staged(T.histograms(spark, sf), "histograms")

@@ -9,6 +9,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gridloom.functions import filters
+from gridloom.operators import banks as B
+from gridloom.operators import patches as Z
 from gridloom.operators import pixels as P
 from gridloom.operators import stencil as S
 from gridloom.plans.pixel_queries import CELL, rounded
@@ -237,11 +239,30 @@ def w20(spark, sf, levels: int = 3, least: int = 4, sigma: float = 1.6):
 
 @query("W21_scale_space_samples")
 def w21(spark, sf):
-    """Samples of the pyramid, likelier the larger their scale; a hash decides, so reruns agree."""
-    df = w20(spark, sf)
-    u = F.shiftrightunsigned(F.xxhash64(F.lit(21), "octave", "level", *CELL), 11).cast("double") / float(1 << 53)
-    scale = F.pow(F.lit(2.0), F.col("octave"))
-    return df.filter(u < 0.1 * scale).withColumn("x", F.col("c") * scale).withColumn("y", F.col("r") * scale)
+    """Ten places of each image's scale space, all octaves alike; hashes decide, so reruns agree."""
+    return Z.scale_space_samples(w20(spark, sf), 10, "scale")
+
+
+@query("W21_uniform_samples")
+def w21uniform(spark, sf):
+    """Ten places of each image's scale space, all cells alike."""
+    return Z.scale_space_samples(w20(spark, sf), 10, "uniform")
+
+
+@query("W21_sample_patches")
+def w21patches(spark, sf):
+    """The 5 x 5 patches from three places of each image's scale space on."""
+    pyramid = w20(spark, sf)
+    return Z.patches(pyramid, Z.scale_space_samples(pyramid, 3, "scale"), 5, 5, ["image_id", "octave", "level"], tile=4)
+
+
+@query("W21_patches", "WITH q AS (SELECT vec_id AS image_id, (vec_id % 11)::INT - 2 AS r0, (vec_id % 13)::INT - 3 AS c0 FROM embeddings), d AS (SELECT image_id, r0, c0, y.pr::INT AS pr, x.pc::INT AS pc FROM q, (SELECT unnest(range(0, 5)) AS pr) y, (SELECT unnest(range(0, 6)) AS pc) x) SELECT d.image_id, d.pr, d.pc, v FROM d JOIN raster a ON a.image_id = d.image_id AND a.r = greatest(least(r0 + d.pr, 7), 0) AND a.c = greatest(least(c0 + d.pc, 7), 0)")
+def w21given(spark, sf):
+    """A 5 x 6 patch of each image from a given place on, partly outside, through tiles of 4 x 4 cells."""
+    i = F.col("vec_id")
+    samples = T.table(spark, sf, "embeddings").select(i.alias("image_id"), (i % 11 - 2).cast("int").alias("r"), (i % 13 - 3).cast("int").alias("c"))
+    out = Z.patches(T.raster(spark, sf), samples, 5, 6, ["image_id"], tile=4)
+    return out.select("image_id", F.posexplode("patch").alias("i", "v")).select("image_id", F.expr("cast(i div 6 as int)").alias("pr"), (F.col("i") % 6).cast("int").alias("pc"), "v")
 
 
 @query("W22_hough", """WITH p AS (SELECT s_suppkey AS id, trunc(s_acctbal / 500.0)::BIGINT AS b0, trunc(s_nationkey / 4.0)::BIGINT AS b1 FROM supplier), o(m0, m1) AS (VALUES (0, 0), (-1, 0), (1, 0), (0, -1), (0, 1)) SELECT b0 + m0 AS b0, b1 + m1 AS b1, count(*) AS votes, min(id) AS first FROM p, o GROUP BY ALL""")
@@ -295,15 +316,25 @@ def w25whole(spark, sf):
     return rounded(S.zero_mean(T.raster(spark, sf)), "v")
 
 
-@query("W26_contour_descriptor", f"""WITH {GRAD}, a AS (SELECT image_id, (r // 4) * 2 + c // 4 AS cell, sqrt(gx * gx + gy * gy) AS m, (CASE WHEN atan2(gy, gx) < 0 THEN atan2(gy, gx) + 2 * pi() ELSE atan2(gy, gx) END) / (2 * pi()) * 8 AS x FROM g),
-b AS (SELECT image_id, cell, floor(x)::INT % 8 AS bin, m * (1 - (x - floor(x))) AS w FROM a UNION ALL SELECT image_id, cell, (floor(x)::INT + 1) % 8, m * (x - floor(x)) FROM a) SELECT image_id, cell::INT AS cell, bin::INT AS bin, round(sum(w), 5) AS w FROM b GROUP BY ALL""")
+#: The 28 x 28 mask by its geometry: three nested squares, eight cells each, diagonals shared by two.
+MASK = """d AS (SELECT y.r - 14 AS dr, x.c - 14 AS dc, y.r - 13.5 AS y, x.c - 13.5 AS x FROM (SELECT unnest(range(0, 28)) AS r) y, (SELECT unnest(range(0, 28)) AS c) x),
+h AS (SELECT *, CASE WHEN greatest(abs(x), abs(y)) < 2 THEN 0 WHEN greatest(abs(x), abs(y)) < 6 THEN 1 ELSE 2 END AS ring FROM d),
+e AS (SELECT dr, dc, ring, CASE WHEN abs(x) = abs(y) THEN 1 ELSE 2 END AS w, CASE WHEN y < 0 THEN CASE WHEN x < 0 THEN [9, 4, 0] ELSE [10, 5, 1] END ELSE CASE WHEN x < 0 THEN [18, 20, 22] ELSE [19, 21, 23] END END AS cells FROM h WHERE abs(y) >= abs(x)
+UNION ALL SELECT dr, dc, ring, CASE WHEN abs(x) = abs(y) THEN 1 ELSE 2 END, CASE WHEN x < 0 THEN CASE WHEN y < 0 THEN [8, 3, 2] ELSE [14, 13, 12] END ELSE CASE WHEN y < 0 THEN [11, 6, 7] ELSE [15, 16, 17] END END FROM h WHERE abs(x) >= abs(y)),
+mask AS (SELECT dr, dc, w, cells[ring + 1] AS cell, [1, 4, 8][ring + 1] AS n FROM e), starts AS (SELECT cell, sum(n) OVER (ORDER BY cell) - n AS start FROM (SELECT DISTINCT cell, n FROM mask))"""
+
+
+@query("W26_contour_descriptor", f"""WITH {GRAD}, {MASK}, q AS (SELECT vec_id AS image_id, (vec_id % 8)::INT AS r, (vec_id // 8 % 8)::INT AS c FROM embeddings),
+t AS (SELECT q.image_id, greatest(least(q.r + dr, 7), 0) AS r, greatest(least(q.c + dc, 7), 0) AS c, cell, n, w FROM q, mask),
+a AS (SELECT t.image_id, cell, n, w * sqrt(gx * gx + gy * gy) AS m, (CASE WHEN atan2(gy, gx) < 0 THEN atan2(gy, gx) + 2 * pi() ELSE atan2(gy, gx) END) / (2 * pi()) * n - 0.5 AS x FROM t JOIN g USING (image_id, r, c)),
+b AS (SELECT image_id, cell, (floor(x)::INT + n) % n AS bin, m * (1 - (x - floor(x))) AS v FROM a UNION ALL SELECT image_id, cell, (floor(x)::INT + 1 + n) % n, m * (x - floor(x)) FROM a)
+SELECT image_id, (start + bin)::INT AS place, round(sum(v), 6) AS v FROM b JOIN starts USING (cell) GROUP BY image_id, start + bin HAVING round(sum(v), 6) <> 0""")
 def w26(spark, sf):
-    """Orientation histograms of the cells of a patch; a magnitude is split between the two nearest bins."""
-    g = S.gradient(T.raster(spark, sf))
-    x = F.col("direction") / (2 * math.pi) * 8
-    parts = F.array(F.struct((F.floor(x) % 8).cast("int").alias("bin"), (F.col("magnitude") * (1 - (x - F.floor(x)))).alias("w")), F.struct(((F.floor(x) + 1) % 8).cast("int").alias("bin"), (F.col("magnitude") * (x - F.floor(x))).alias("w")))
-    cell = F.expr("cast((r div 4) * 2 + c div 4 as int)").alias("cell")
-    return g.select("image_id", cell, F.explode(parts).alias("p")).groupBy("image_id", "cell", F.col("p.bin").alias("bin")).agg(F.round(F.sum("p.w"), 5).alias("w"))
+    """The descriptor of a place of each image: a magnitude is split between the two nearest directions of its cell."""
+    i = F.col("vec_id")
+    samples = T.table(spark, sf, "embeddings").select(i.alias("key"), i.alias("image_id"), (i % 8).cast("int").alias("r"), (F.floor(i / 8) % 8).cast("int").alias("c"))
+    out = Z.contour_descriptors(S.gradient(T.raster(spark, sf)), samples)
+    return out.select("image_id", "place", F.round("v", 6).alias("v")).filter("v != 0")
 
 
 def bank_table(spark, bank):
@@ -338,17 +369,13 @@ def bank_sql(bank, radius=None, more=""):
 y AS (SELECT id, kind, s, o, reach, unnest(range(-reach, reach + 1))::INT AS dr FROM z), t AS (SELECT id, kind, s, o, dr, unnest(range(-reach, reach + 1))::INT AS dc FROM y),
 raw AS (SELECT id, dr, dc, CASE kind WHEN 0 THEN {g('cos(o) * dc - sin(o) * dr', '(3 * s)')} * -{across} * {g(across, 's')} WHEN 1 THEN {g('cos(o) * dc - sin(o) * dr', '(3 * s)')} * ({across} ** 2 - s * s) * {g(across, 's')}
 WHEN 2 THEN exp(-(dr * dr + dc * dc) / (2 * s * s)) ELSE (dr * dr + dc * dc - s * s) * exp(-(dr * dr + dc * dc) / (2 * s * s)) END AS w FROM t),
-low AS (SELECT id, dr, dc, w - CASE WHEN min(w) OVER b < 0 THEN avg(w) OVER b ELSE 0 END AS w FROM raw WINDOW b AS (PARTITION BY id)), f AS (SELECT id, dr, dc, w / sum(abs(w)) OVER (PARTITION BY id) AS w FROM low{more})"""
+low AS (SELECT id, dr, dc, w - CASE WHEN min(w) OVER b < 0 THEN avg(w) OVER b ELSE 0 END AS w FROM raw WINDOW b AS (PARTITION BY id)), f AS MATERIALIZED (SELECT id, dr, dc, w / sum(abs(w)) OVER (PARTITION BY id) AS w FROM low{more})"""
 
 
 def name_sql(bank):
     return f"list_extract([{', '.join(repr(n) for n in bank)}], id + 1) AS filter"
 
 
-def taps_sql(bank):
-    return "f(id, dr, dc, w) AS (VALUES " + ", ".join(f"({n}, {i - len(k) // 2}, {j - len(k) // 2}, {x!r}::DOUBLE)" for n, k in enumerate(bank.values()) for i, row in enumerate(k) for j, x in enumerate(row)) + ")"
-
-
 ONE_JOIN = "JOIN raster a ON a.image_id = p.image_id AND a.r = greatest(least(p.r + f.dr, 7), 0) AND a.c = greatest(least(p.c + f.dc, 7), 0)"
 POINT = " UNION ALL SELECT 4, y.dr::INT, x.dc::INT, CASE WHEN y.dr = 1 AND x.dc = -1 THEN 1.0 ELSE 0.0 END FROM (SELECT unnest(range(-2, 3)) AS dr) y, (SELECT unnest(range(-2, 3)) AS dc) x"
 SMALL, SMALL_NAME = bank_sql(BANK, 2, POINT), name_sql(KERNELS)
@@ -359,31 +386,40 @@ def w27(spark, sf):
     return rounded(bank_table(spark, KERNELS), "w")
 
 
-@query("W28_filter_response", f"WITH {taps_sql(KERNELS)}, x AS (SELECT p.image_id, id, sum(f.w * a.v) AS v FROM raster p, f {ONE_JOIN} WHERE p.r = 3 AND p.c = 3 GROUP BY ALL) SELECT image_id, {SMALL_NAME}, round(v, 5) + 0.0 AS v FROM x")
+@query("W28_filter_response", f"WITH {SMALL}, x AS (SELECT p.image_id, id, sum(f.w * a.v) AS v FROM raster p, f {ONE_JOIN} WHERE p.r = p.image_id % 8 AND p.c = p.image_id // 8 % 8 GROUP BY ALL) SELECT image_id, {SMALL_NAME}, round(v, 5) + 0.0 AS v FROM x")
 def w28(spark, sf):
-    df = responses(T.raster(spark, sf), KERNELS, (F.col("r") == 3) & (F.col("c") == 3))
+    """The responses at a point of each image."""
+    df = responses(T.raster(spark, sf), KERNELS, (F.col("r") == F.col("image_id") % 8) & (F.col("c") == F.floor(F.col("image_id") / 8) % 8))
     return df.select("image_id", "filter", (F.round("v", 5) + 0.0).alias("v"))
 
 
-@query("W29_leung_malik", f"WITH {taps_sql({n: filters.kernel(*spec, radius=3) for n, spec in filters.leung_malik().items()})}, x AS (SELECT p.image_id, id, sum(f.w * a.v) AS v FROM raster p, f {ONE_JOIN} WHERE p.r = 4 AND p.c = 4 GROUP BY ALL) SELECT image_id, {name_sql(filters.leung_malik())}, round(v, 5) + 0.0 AS v FROM x")
-def w29(spark, sf):
-    """Kernels cut at 3 cells from the centre, as images have 8 x 8."""
-    df = responses(T.raster(spark, sf), {n: filters.kernel(*spec, radius=3) for n, spec in filters.leung_malik().items()}, (F.col("r") == 4) & (F.col("c") == 4))
-    return df.select("image_id", "filter", (F.round("v", 5) + 0.0).alias("v"))
+#: Kernels of any reach come down to one weight for each pair of cells, as all that lies beyond the border is the border's cell.
+FOLDED = "m AS MATERIALIZED (SELECT id, p.r, p.c, greatest(least(p.r + dr, 7), 0) AS sr, greatest(least(p.c + dc, 7), 0) AS sc, sum(w) AS w FROM f, (SELECT y.r, x.c FROM (SELECT unnest(range(0, 8)) AS r) y, (SELECT unnest(range(0, 8)) AS c) x) p GROUP BY ALL), x AS (SELECT image_id, id, m.r, m.c, sum(m.w * a.v) AS v FROM raster a JOIN m ON a.r = sr AND a.c = sc GROUP BY ALL)"
+LM, MR = filters.leung_malik(), filters.mr8()
 
 
-MR = filters.mr8()
+def bank_images(spark, sf):
+    return T.packed(T.raster(spark, sf))
+
+
+@query("W29_leung_malik", f"WITH {bank_sql(LM)}, {FOLDED} SELECT image_id, {name_sql(LM)}, round(max(v), 6) + 0.0 AS largest, round(avg(v), 6) + 0.0 AS mean FROM x GROUP BY image_id, id")
+def w29(spark, sf):
+    """48 filters at full reach over every cell: the largest and the mean response of an image."""
+    df = B.bank_responses(bank_images(spark, sf), LM)
+    mean = F.aggregate("data", F.lit(0.0), lambda acc, x: acc + x) / F.size("data")
+    return df.select("image_id", "filter", (F.round(F.array_max("data"), 6) + 0.0).alias("largest"), (F.round(mean, 6) + 0.0).alias("mean"))
 
 
-@query("W29_mr8", f"WITH {taps_sql({n: filters.kernel(*spec, radius=3) for n, (_, *spec) in MR.items()})}, s AS (SELECT p.image_id, id, sum(f.w * a.v) AS v FROM raster p, f {ONE_JOIN} WHERE p.r = 4 AND p.c = 4 GROUP BY ALL) SELECT image_id, (CASE WHEN id < 36 THEN id // 6 ELSE id - 30 END)::INT AS band, round(max(v), 5) + 0.0 AS v FROM s GROUP BY ALL")
+@query("W29_mr8", f"WITH {bank_sql({n: spec for n, (_, *spec) in MR.items()})}, {FOLDED}, g AS (SELECT image_id, r, c, (CASE WHEN id < 36 THEN id // 6 ELSE id - 30 END)::INT AS band, max(v) AS v FROM x GROUP BY ALL) SELECT image_id, r::INT AS r, c::INT AS c, band, round(v, 6) + 0.0 AS v FROM g")
 def w29m(spark, sf):
-    """38 filters, 8 responses: the greatest over each group's orientations."""
-    df = responses(T.raster(spark, sf), {n: filters.kernel(*spec, radius=3) for n, (_, *spec) in MR.items()}, (F.col("r") == 4) & (F.col("c") == 4))
+    """38 filters, 8 responses of every cell: the greatest over each group's orientations."""
+    df = B.bank_responses(bank_images(spark, sf), {n: tuple(spec) for n, (_, *spec) in MR.items()})
     groups = spark.createDataFrame([(n, g) for n, (g, *_) in MR.items()], "filter string, band int")
-    return df.join(F.broadcast(groups), "filter").groupBy("image_id", "band").agg((F.round(F.max("v"), 5) + 0.0).alias("v"))
+    cells = df.join(F.broadcast(groups), "filter").select("image_id", "band", "columns", F.posexplode("data").alias("i", "v")).groupBy("image_id", "i", "columns", "band").agg(F.max("v").alias("v"))
+    return cells.select("image_id", F.expr("cast(i div columns as int)").alias("r"), (F.col("i") % F.col("columns")).cast("int").alias("c"), "band", (F.round("v", 6) + 0.0).alias("v"))
 
 
-@query("W30_filter_bank_image", f"WITH {taps_sql(KERNELS)}, x AS (SELECT p.image_id, p.r, p.c, id, sum(f.w * a.v) AS v FROM raster p, f {ONE_JOIN} GROUP BY ALL) SELECT image_id, r, c, {SMALL_NAME}, round(v, 5) + 0.0 AS v FROM x")
+@query("W30_filter_bank_image", f"WITH {SMALL}, x AS (SELECT p.image_id, p.r, p.c, id, sum(f.w * a.v) AS v FROM raster p, f {ONE_JOIN} GROUP BY ALL) SELECT image_id, r, c, {SMALL_NAME}, round(v, 5) + 0.0 AS v FROM x")
 def w30(spark, sf):
     return responses(T.raster(spark, sf), KERNELS).withColumn("v", F.round("v", 5) + 0.0)
 

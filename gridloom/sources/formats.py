@@ -6,14 +6,14 @@ Spark reads; writers give rows of (path, content).
 
 from __future__ import annotations
 
-import gzip
 import struct
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 RASTER = "path string, r int, c int, ch int, v double"
 
@@ -61,7 +61,7 @@ def parse_ppm(data: bytes) -> np.ndarray | None:
 
 def parse_raw(data: bytes, rows: int, columns: int, packed: bool = False) -> np.ndarray:
     """Raw RGB bytes, or with ``packed`` 24-bit numbers; gzip is told by its first bytes."""
-    data = gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data
+    data = zlib.decompressobj(31).decompress(data) if data[:2] == b"\x1f\x8b" else data
     a = np.frombuffer(data, np.uint8, rows * columns * 3).reshape(rows, columns, 3).astype(float)
     return a[..., 0] * 65536 + a[..., 1] * 256 + a[..., 2] if packed else a
 
@@ -158,17 +158,40 @@ def parse_mat5(data: bytes) -> dict[str, object]:
     return out
 
 
-def write_mat5(arrays: dict[str, np.ndarray], compressed: bool = False, order: str = "<") -> bytes:
-    """Real double matrices as a MAT 5 file."""
+#: Class code, element code and type of the numbers that arrays are written as.
+MX_NUMBERS = {"f8": (6, 9), "f4": (7, 7), "i1": (8, 1), "u1": (9, 2), "i2": (10, 3), "u2": (11, 4), "i4": (12, 5), "u4": (13, 6)}
 
-    def element(kind: int, payload: bytes) -> bytes:
-        return struct.pack(order + "II", kind, len(payload)) + payload + b"\0" * (-len(payload) % 8)
 
+def _written(kind: int, payload: bytes, order: str) -> bytes:
+    return struct.pack(order + "II", kind, len(payload)) + payload + b"\0" * (-len(payload) % 8)
+
+
+def _array(name: str, value: object, order: str) -> bytes:
+    """An array as a matrix element: text as characters, a list as cells, a dict as a struct, numbers (also complex and truth values) as they are."""
+    bits, put = 0, lambda kind, payload: _written(kind, payload, order)
+    if isinstance(value, str):
+        klass, dims, body = MX_CHAR, (1, len(value)), put(4, np.array([ord(c) for c in value], order + "u2").tobytes())
+    elif isinstance(value, list):
+        klass, dims, body = MX_CELL, (1, len(value)), b"".join(_array("", v, order) for v in value)
+    elif isinstance(value, dict):
+        names = b"".join(k.encode().ljust(32, b"\0") for k in value)
+        klass, dims, body = MX_STRUCT, (1, 1), put(5, np.array([32], order + "i4").tobytes()) + put(1, names) + b"".join(_array("", v, order) for v in value.values())
+    else:
+        a = np.atleast_2d(np.asarray(value))
+        bits, dims = (8 if a.dtype.kind == "c" else 0) | (2 if a.dtype.kind == "b" else 0), a.shape
+        sides = [a.real, a.imag] if a.dtype.kind == "c" else [a.astype("u1")] if a.dtype.kind == "b" else [a]
+        code = sides[0].dtype.str[1:] if sides[0].dtype.str[1:] in MX_NUMBERS else "f8"
+        klass, kind = MX_NUMBERS[code]
+        body = b"".join(put(kind, x.astype(order + code).tobytes(order="F")) for x in sides)
+    head = put(6, struct.pack(order + "II", bits << 8 | klass, 0)) + put(5, np.asarray(dims, order + "i4").tobytes()) + put(1, name.encode())
+    return put(MI_MATRIX, head + body)
+
+
+def write_mat5(arrays: dict[str, object], compressed: bool = False, order: str = "<") -> bytes:
+    """Named arrays as a MAT 5 file: matrices of numbers, truth values or complex ones, text, lists as cells, dicts as structs."""
     out = b"MATLAB 5.0 MAT-file".ljust(124) + struct.pack(order + "H", 0x0100) + (b"IM" if order == "<" else b"MI")
-    for name, a in arrays.items():
-        flags = struct.pack(order + "II", 6, 0)
-        body = element(6, flags) + element(5, np.asarray(a.shape, order + "i4").tobytes()) + element(1, name.encode()) + element(9, a.astype(order + "f8").tobytes(order="F"))
-        whole = element(MI_MATRIX, body)
+    for name, value in arrays.items():
+        whole = _array(name, value, order)
         if compressed:
             z = zlib.compress(whole)
             whole = struct.pack(order + "II", MI_COMPRESSED, len(z)) + z
@@ -176,6 +199,91 @@ def write_mat5(arrays: dict[str, np.ndarray], compressed: bool = False, order: s
     return out
 
 
+def write_bmp(a: np.ndarray) -> bytes:
+    """Rows x columns x (red, green, blue) as a bitmap of 24 bits: rows from the bottom up, blue first, each filled up to four bytes."""
+    rows, columns, _ = a.shape
+    lines = np.zeros((rows, columns * 3 + (-columns * 3) % 4), np.uint8)
+    lines[:, : columns * 3] = a[::-1, :, ::-1].reshape(rows, columns * 3)
+    return struct.pack("<2sIHHIIiiHHIIiiII", b"BM", 54 + lines.size, 0, 0, 54, 40, columns, rows, 1, 24, 0, lines.size, 0, 0, 0, 0) + lines.tobytes()
+
+
+def _text(value: str) -> bytes:
+    """Text with its length in bytes before it, seven bits a byte, the lowest first."""
+    data, n, out = value.encode(), len(value.encode()), b""
+    while True:
+        out += bytes([n & 127 | (128 if n > 127 else 0)])
+        n >>= 7
+        if not n:
+            return out + data
+
+
+def _read_text(data: bytes, at: int) -> tuple[str, int]:
+    n = shift = 0
+    while True:
+        n |= (data[at] & 127) << shift
+        at, shift, more = at + 1, shift + 7, data[at] > 127
+        if not more:
+            return data[at : at + n].decode(), at + n
+
+
+NODE = struct.Struct("<Biif")
+
+
+def write_histogram(name: str, nodes: list[tuple[int, int, int, float]]) -> bytes:
+    """A tree histogram: its name, the number of nodes, and of each tree, place, leaf number and value."""
+    return _text(name) + struct.pack("<i", len(nodes)) + b"".join(NODE.pack(*n) for n in nodes)
+
+
+def parse_histograms(data: bytes) -> list[tuple[str, list[tuple[int, int, int, float]]]]:
+    """All the histograms that follow each other in a file. What is left at the end, shorter than any, is passed over."""
+    out, at = [], 0
+    while at + 5 <= len(data):
+        name, at = _read_text(data, at)
+        (count,) = struct.unpack_from("<i", data, at)
+        at += 4
+        out.append((name, [NODE.unpack_from(data, at + NODE.size * k) for k in range(count)]))
+        at += NODE.size * count
+    return out
+
+
+def write_labels(labels: list[tuple[int, str, int, int, int]]) -> bytes:
+    """A label dictionary: the number of labels, and of each its number, name, red, green and blue."""
+    return struct.pack("<i", len(labels)) + b"".join(struct.pack("<h", k) + _text(name) + bytes(rgb) for k, name, *rgb in labels)
+
+
+def parse_labels(data: bytes) -> list[tuple[int, str, int, int, int]]:
+    (count,), at, out = struct.unpack_from("<i", data), 4, []
+    for _ in range(count):
+        (k,) = struct.unpack_from("<h", data, at)
+        name, at = _read_text(data, at + 2)
+        out.append((k, name, *data[at : at + 3]))
+        at += 3
+    return out
+
+
+def write_match(trees: int, levels: int, normalised: bool) -> bytes:
+    """The settings of a pyramid match."""
+    return struct.pack("<ii?", trees, levels, normalised)
+
+
+def parse_match(data: bytes) -> tuple[int, int, bool]:
+    return struct.unpack_from("<ii?", data)
+
+
+def save_files(files: DataFrame, path: str) -> None:
+    """Rows (name, content) as files of a folder that any store may hold, one a row, written by Spark's tasks.
+
+    The bytes are kept as they are; a newline follows them, which ``scan_files`` takes off again.
+    """
+    files.select("name", F.col("content").cast("string").alias("value")).write.partitionBy("name").text(path)
+
+
+def scan_files(spark: SparkSession, path: str) -> DataFrame:
+    """Rows (path, content) of a folder that ``save_files`` has written, by Spark's scan of whole files; the path is the name."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(path)
+    return files.select(F.col("name").cast("string").alias("path"), F.expr("substring(content, 1, length(content) - 1)").alias("content"))
+
+
 def parsed(files: DataFrame, parse) -> DataFrame:
     """Rows (path, content) as tall rasters; files that ``parse`` gives None for have no rows."""
 

@@ -141,6 +141,38 @@ def test_formats_round_trip(tmp_path, spark):
     assert formats.parsed(files, formats.parse_pgm).count() == 12
 
 
+def test_nested_matrices_and_small_formats():
+    value = {"title": "Zürich", "cells": [np.arange(6.0).reshape(2, 3), "x", [np.eye(2)], {"deep": "y"}], "yes": np.array([[True, False]]), "z": np.array([[1 + 2j, 3]]), "n": np.array([[1], [-2]], "i2"), "f": np.float32([[0.5]]), "none": np.zeros((0, 0))}
+    for compressed in (False, True):
+        for order in "<>":
+            back = formats.parse_mat5(formats.write_mat5({"s": value, "m": np.eye(3)}, compressed, order) + b"\n")
+            assert back["m"].tolist() == np.eye(3).tolist()
+            (s,) = back["s"]
+            assert s["title"] == ["Zürich"] and s["cells"][0].tolist() == [[0, 1, 2], [3, 4, 5]] and s["cells"][1] == ["x"] and s["cells"][2][0].tolist() == [[1, 0], [0, 1]] and s["cells"][3][0]["deep"] == ["y"]
+            assert s["yes"].tolist() == [[1, 0]] and s["z"].tolist() == [[1 + 2j, 3]] and s["n"].tolist() == [[1], [-2]] and s["f"].tolist() == [[0.5]] and s["none"].size == 0
+    nodes = [(3, 70000, -1, 0.25), (255, 1, 2, -4.0)]
+    data = formats.write_histogram("a", nodes) + formats.write_histogram("n" * 300, [])
+    assert formats.parse_histograms(data + b"\n") == [("a", nodes), ("n" * 300, [])]
+    labels = [(0, "sky", 1, 2, 255), (300, "é" * 100, 0, 10, 13)]
+    assert formats.parse_labels(formats.write_labels(labels)) == labels
+    assert formats.parse_match(formats.write_match(5, 7, True)) == (5, 7, True)
+
+
+def test_files_keep_every_byte(spark, tmp_path):
+    contents = {"all": bytes(range(256)) * 3, "lines": b"\n\r\n\x00\n", "one": b"\xff", "empty": b""}
+    formats.save_files(spark.createDataFrame(list(contents.items()), "name string, content binary").repartition(2), str(tmp_path / "f"))
+    assert {r["path"]: bytes(r["content"]) for r in formats.scan_files(spark, str(tmp_path / "f")).collect()} == contents
+
+
+def test_bitmaps_of_any_width(spark, tmp_path):
+    for columns in (1, 2, 3, 4):
+        a = np.random.default_rng(columns).integers(0, 256, (3, columns, 3)).astype(np.uint8)
+        (tmp_path / f"{columns}.bmp").write_bytes(formats.write_bmp(a))
+        row = spark.read.format("image").load(str(tmp_path / f"{columns}.bmp")).select("image.*").first()
+        assert (row["height"], row["width"], row["nChannels"]) == (3, columns, 3)
+        assert np.frombuffer(bytes(row["data"]), np.uint8).reshape(3, columns, 3)[..., ::-1].tolist() == a.tolist()
+
+
 def test_stream_gives_the_batch_windows(spark, tmp_path):
     from gridloom.streaming.windows import replay, tumbling
 
