@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from gridloom import registry
-from gridloom.plans import analytics_queries, feature_queries, io_queries, learner_queries, match_queries, pixel_queries, platform_queries, stencil_queries, tree_queries  # noqa: F401  they register themselves
+from gridloom.plans import analytics_queries, feature_queries, io_queries, learner_queries, match_queries, pixel_queries, platform_queries, sampling_queries, stencil_queries, tree_queries  # noqa: F401  they register themselves
 
 
 def queries() -> dict:

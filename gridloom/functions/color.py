@@ -60,6 +60,18 @@ def yuv_to_rgb(y: Column, u: Column, v: Column) -> tuple[Column, Column, Column]
     return y + v * 1.13983, y + u * -0.39465 + v * -0.5806, y + u * 2.03211
 
 
+# The same in 256ths for whole channels of 0 to 255, luminance from 16 on and colour differences around 128.
+def rgb_to_whole_yuv(r: Column, g: Column, b: Column) -> tuple[Column, Column, Column]:
+    part = lambda x, y, z: F.shiftright((r * x + g * y + b * z + 128).cast("long"), 8)
+    return part(66, 129, 25) + 16, part(-38, -74, 112) + 128, part(112, -94, -18) + 128
+
+
+def whole_yuv_to_rgb(y: Column, u: Column, v: Column) -> tuple[Column, Column, Column]:
+    """Channels are cut to 0 to 255."""
+    part = lambda a, b: F.greatest(F.least(F.shiftright(((y - 16) * 298 + (u - 128) * a + (v - 128) * b + 128).cast("long"), 8), F.lit(255)), F.lit(0)).cast("long")
+    return part(0, 409), part(-100, -208), part(516, 0)
+
+
 # Rec. 709 RGB to XYZ at the D65 white point and back, and the CIE L*a*b* constants.
 WHITE = (0.950456, 1.0, 1.088754)
 TO_XYZ = ((0.412453, 0.357580, 0.180423), (0.212671, 0.715160, 0.072169), (0.019334, 0.119193, 0.950227))

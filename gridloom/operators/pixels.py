@@ -94,8 +94,21 @@ def affine_source(m: tuple[float, ...], rows: int, columns: int, new_rows: int,
     return m[3] * x + m[4] * y + m[5] + (rows - 1) / 2, m[0] * x + m[1] * y + m[2] + (columns - 1) / 2
 
 
-def appended(left: DataFrame, right: DataFrame, columns: int) -> DataFrame:
-    return left.unionByName(right.withColumn("c", F.col("c") + columns))
+def appended(left: DataFrame, right: DataFrame, where: str = "right") -> DataFrame:
+    """Each image of ``left`` with its counterpart of ``right`` on its right side, or with ``where`` = ``bottom`` below it.
+
+    The smaller one is centred along the other axis (rounded down), and what neither covers is 0. Images without a counterpart have no rows.
+    """
+    along, across = ("c", "r") if where == "right" else ("r", "c")
+    size = lambda df, n: df.groupBy("image_id").agg((F.max(along) + 1).alias(f"{n}_along"), (F.max(across) + 1).alias(f"{n}_across"))
+    sizes = size(left, "left").join(size(right, "right"), "image_id").withColumn("across", F.greatest("left_across", "right_across"))
+    centred = lambda n: (F.col(across) + F.floor((F.col("across") - F.col(f"{n}_across")) / 2)).cast("int").alias(across)
+    one = left.join(sizes, "image_id").select("image_id", F.col(along), centred("left"), "v")
+    two = right.join(sizes, "image_id").select("image_id", (F.col(along) + F.col("left_along")).alias(along), centred("right"), "v")
+    upto = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    grid = sizes.withColumn(along, upto(F.col("left_along") + F.col("right_along"))).withColumn(across, upto(F.col("across"))).select("image_id", along, across, F.lit(0.0).alias("v"))
+    every = one.unionByName(two).unionByName(grid)
+    return every.groupBy("image_id", "r", "c").agg(F.sum("v").alias("v"))
 
 
 def smoothed_distribution(df: DataFrame, alpha: float = 1e-4) -> DataFrame:

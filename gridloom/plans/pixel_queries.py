@@ -116,14 +116,26 @@ def p9_lab_back(spark, sf):
     return T.rgb(spark, sf).select(*CELL, *[(F.round(x, 5) + 0.0).alias(n) for x, n in zip(out, ("red", "green", "blue"), strict=True)])
 
 
-@query("P9_hsv_rgb", """SELECT image_id, r, c, round(red / 255.0, 5) AS red, round(green / 255.0, 5) AS green, round(blue / 255.0, 5) AS blue FROM rgb""")
+#: A channel of hue, saturation and value by its distance on the colour wheel.
+WHEEL = "v - v * s * greatest(0, least((({n} + h * 6) % 6), 4 - (({n} + h * 6) % 6), 1))"
+
+
+@query("P9_hsv_rgb", f"""WITH q AS (SELECT image_id, r AS row, c AS col, red / 255.0::DOUBLE AS h, (green % 256) / 255.0::DOUBLE AS s, blue / 255.0::DOUBLE AS v FROM rgb) SELECT image_id, row AS r, col AS c, round({WHEEL.format(n=5)}, 5) AS red, round({WHEEL.format(n=3)}, 5) AS green, round({WHEEL.format(n=1)}, 5) AS blue FROM q""")
 def p9_hsv_back(spark, sf):
-    ch = [F.col(x) / 255.0 for x in ("red", "green", "blue")]
-    h, chroma, v = color.rgb_to_hsv(*ch)
-    out = color.hsv_to_rgb(h, F.coalesce(F.try_divide(chroma, v), F.lit(0.0)), v)
+    """From hue, saturation and value, made of the raster's channels."""
+    out = color.hsv_to_rgb(F.col("red") / 255.0, (F.col("green") % 256) / 255.0, F.col("blue") / 255.0)
     return T.rgb(spark, sf).select(*CELL, *[F.round(x, 5).alias(n) for x, n in zip(out, ("red", "green", "blue"), strict=True)])
 
 
+@query("P9_whole_yuv", """WITH q AS (SELECT image_id, r, c, red, green % 256 AS green, blue FROM rgb), y AS (SELECT *, floor((66 * red + 129 * green + 25 * blue + 128) / 256.0)::BIGINT + 16 AS y, floor((-38 * red - 74 * green + 112 * blue + 128) / 256.0)::BIGINT + 128 AS u, floor((112 * red - 94 * green - 18 * blue + 128) / 256.0)::BIGINT + 128 AS v FROM q)
+SELECT image_id, r, c, y, u, v, greatest(least(floor((298 * (y - 16) + 409 * (v - 128) + 128) / 256.0), 255), 0)::BIGINT AS red, greatest(least(floor((298 * (y - 16) - 100 * (u - 128) - 208 * (v - 128) + 128) / 256.0), 255), 0)::BIGINT AS green, greatest(least(floor((298 * (y - 16) + 516 * (u - 128) + 128) / 256.0), 255), 0)::BIGINT AS blue FROM y""")
+def p9_whole_yuv(spark, sf):
+    """Luminance and colour differences as whole numbers, and back."""
+    y, u, v = color.rgb_to_whole_yuv(F.col("red"), F.col("green") % 256, F.col("blue"))
+    there = T.rgb(spark, sf).select(*CELL, y.alias("y"), u.alias("u"), v.alias("v"))
+    return there.select("*", *[x.alias(n) for x, n in zip(color.whole_yuv_to_rgb(F.col("y"), F.col("u"), F.col("v")), ("red", "green", "blue"), strict=True)])
+
+
 @query("P9_chromaticity", "SELECT image_id, r, c, round(red / nullif(red + green + blue, 0), 6) AS share_r, round(green / nullif(red + green + blue, 0), 6) AS share_g, (red + green + blue)::BIGINT AS total, red AS red_again FROM rgb")
 def p9_chroma(spark, sf):
     ch = [F.col(x) for x in ("red", "green", "blue")]
@@ -277,7 +289,21 @@ def p27(spark, sf):
 @query("P28_append", "SELECT image_id, r, c, v FROM raster UNION ALL SELECT image_id, r, c + 8, v FROM raster WHERE r < 8")
 def p28(spark, sf):
     df = T.raster(spark, sf)
-    return P.appended(df, df, 8)
+    return P.appended(df, df)
+
+
+@query("P28_append_centred", "WITH small AS (SELECT * FROM raster WHERE r < 3 AND c < 2), g AS (SELECT image_id, r.r::INT AS r, c.c::INT AS c FROM (SELECT DISTINCT image_id FROM raster), (SELECT unnest(range(0, 8)) AS r) r, (SELECT unnest(range(0, 10)) AS c) c) SELECT g.image_id, g.r, g.c, coalesce(a.v, b.v, 0.0) AS v FROM g LEFT JOIN raster a ON a.image_id = g.image_id AND a.r = g.r AND a.c = g.c LEFT JOIN small b ON b.image_id = g.image_id AND b.r + 2 = g.r AND b.c + 8 = g.c")
+def p28centred(spark, sf):
+    """A part of 3 x 2 cells to the right of the whole, centred, with zeros around it."""
+    df = T.raster(spark, sf)
+    return P.appended(df, df.filter("r < 3 and c < 2"))
+
+
+@query("P28_append_bottom", "WITH small AS (SELECT * FROM raster WHERE r < 2 AND c < 5), g AS (SELECT image_id, r.r::INT AS r, c.c::INT AS c FROM (SELECT DISTINCT image_id FROM raster), (SELECT unnest(range(0, 10)) AS r) r, (SELECT unnest(range(0, 8)) AS c) c) SELECT g.image_id, g.r, g.c, coalesce(a.v, b.v, 0.0) AS v FROM g LEFT JOIN small a ON a.image_id = g.image_id AND a.r = g.r AND a.c + 1 = g.c LEFT JOIN raster b ON b.image_id = g.image_id AND b.r + 2 = g.r AND b.c = g.c")
+def p28bottom(spark, sf):
+    """The whole below a part of 2 x 5 cells, which is centred."""
+    df = T.raster(spark, sf)
+    return P.appended(df.filter("r < 2 and c < 5"), df, "bottom")
 
 
 @query("P29_true_cells", "SELECT image_id, r, c, c - 4 AS x, r - 4 AS y FROM raster WHERE v > 0")
