@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-PARTS = 1024
+from gridloom.functions.literals import doubles, integers
+
+PARTS = 256
 
 
 def confusion(df: DataFrame, background: int = 0) -> DataFrame:
@@ -20,16 +22,29 @@ def accuracy(m: DataFrame) -> DataFrame:
     return rows.agg((F.sum("hit") / F.sum("total")).alias("overall"), F.avg(F.col("hit") / F.greatest("total", F.lit(1))).alias("average"))
 
 
+def ranges(rows: DataFrame, value: str, parts: int = PARTS) -> DataFrame:
+    """``rows`` with ``part``: ranges of about equal numbers of rows by falling ``value``, from approximate quantiles.
+
+    Equal values share a range. The cuts, fewer than ``parts`` numbers, are searched by halving.
+    """
+    cuts = rows.agg(F.percentile_approx(value, [i / parts for i in range(1, parts)], 10 * parts)).first()[0]
+    cuts = sorted({float(x) for x in cuts or []})
+    size = 1 << len(cuts).bit_length()
+    padded = doubles([*cuts, *[float("inf")] * (size - len(cuts))])
+    steps = integers(size >> k for k in range(1, size.bit_length())) if size > 1 else F.expr("array(0)")
+    below = F.aggregate(steps, F.lit(0), lambda at, step: at + F.when(F.get(padded, at + step - 1) <= F.col(value), step).otherwise(0))
+    return rows.withColumn("part", -below)
+
+
 def changes(ranking: DataFrame) -> DataFrame:
     """Running true and false positives in order of falling rank (then id), with the totals p and n.
 
-    Ranks are dealt to ranges first; running sums of the ranges' totals and running sums within each add up, so no task holds all rows.
+    Ranks are dealt to ranges of about equal numbers of rows first; running sums of the ranges' totals and running sums within each add up, so no task holds
+    all rows, however the ranks are spread. Rows without a rank or a truth are left out.
     """
-    ends = ranking.agg(F.min("rank").alias("lo"), F.max("rank").alias("hi")).first()
-    lo, width = float(ends["lo"] or 0), max(float((ends["hi"] or 0) - (ends["lo"] or 0)), 1e-300)
-    rows = ranking.withColumn("part", (F.lit(PARTS) - F.floor((F.col("rank") - lo) / width * PARTS)).cast("int"))
+    rows = ranges(ranking.filter("rank is not null and not isnan(rank) and positive is not null"), "rank")
     tp, fp = F.col("positive").cast("long"), (~F.col("positive")).cast("long")
-    sums = rows.groupBy("part").agg(F.sum(tp).alias("t"), F.sum(fp).alias("f"))
+    sums = rows.groupBy("part").agg(F.sum(tp).alias("t"), F.sum(fp).alias("f"))  # at most PARTS rows
     before = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)
     zero = F.lit(0).cast("long")
     sums = sums.select("part", F.coalesce(F.sum("t").over(before), zero).alias("t0"), F.coalesce(F.sum("f").over(before), zero).alias("f0"), F.sum("t").over(W.partitionBy()).alias("p"), F.sum("f").over(W.partitionBy()).alias("n"))

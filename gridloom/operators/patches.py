@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from gridloom.functions.literals import strings
+
 #: Side of the patch of a contour descriptor.
 SIDE = 28
 #: Half sides of the inner and of the middle square of its cells.
@@ -57,7 +59,7 @@ def contour_descriptors(gradients: DataFrame, samples: DataFrame) -> DataFrame:
     The mask is a literal of 840 entries, so samples meet gradients by one equi-join on cells, and sums are added up before the shuffle.
     """
     starts = contour_starts()
-    entries = F.lit([f"{dr},{dc},{starts[cell]},{n},{w}" for dr, dc, cell, n, w in contour_mask()])
+    entries = strings(f"{dr},{dc},{starts[cell]},{n},{w}" for dr, dc, cell, n, w in contour_mask())
     part = lambda i: F.split("m", ",")[i].cast("int")
     size = gradients.groupBy("image_id").agg((F.max("r") + 1).alias("rows"), (F.max("c") + 1).alias("columns"))
     places = samples.join(size, "image_id").select("key", "image_id", "r", "c", "rows", "columns", F.explode(entries).alias("m"))

@@ -20,16 +20,23 @@ def threshold(df: DataFrame, t: float, less_than: bool = False) -> DataFrame:
     return df.withColumn("v", F.when(F.col("v") <= t, F.lit(less_than)).otherwise(F.lit(not less_than)))
 
 
+def with_statistics(df: DataFrame, **statistics: Column) -> DataFrame:
+    """``df`` with statistics of its images. Each is added up before the shuffle, so an image of any size is spread over tasks; one row an image is joined."""
+    return df.join(df.groupBy("image_id").agg(*[s.alias(n) for n, s in statistics.items()]), "image_id")
+
+
 def rescaled(df: DataFrame, low: float = 0.0, high: float = 1.0) -> DataFrame:
     """Values of each image stretched to low .. high; a constant image becomes ``low``."""
-    lo, hi = F.min("v").over(by_image()), F.max("v").over(by_image())
-    return df.withColumn("v", F.coalesce(F.try_divide(F.col("v") - lo, hi - lo), F.lit(0.0)) * (high - low) + low)
+    lo, hi = F.col("__lo"), F.col("__hi")
+    out = with_statistics(df, __lo=F.min("v"), __hi=F.max("v"))
+    return out.withColumn("v", F.coalesce(F.try_divide(F.col("v") - lo, hi - lo), F.lit(0.0)) * (high - low) + low).drop("__lo", "__hi").select(df.columns)
 
 
 def normalised(df: DataFrame) -> DataFrame:
     """Zero mean and unit (population) variance in each image; a zero deviation counts as 1."""
-    sd = F.stddev_pop("v").over(by_image())
-    return df.withColumn("v", (F.col("v") - F.avg("v").over(by_image())) / F.when(sd == 0, F.lit(1.0)).otherwise(sd))
+    sd = F.col("__sd")
+    out = with_statistics(df, __mean=F.avg("v"), __sd=F.stddev_pop("v"))
+    return out.withColumn("v", (F.col("v") - F.col("__mean")) / F.when(sd == 0, F.lit(1.0)).otherwise(sd)).drop("__mean", "__sd").select(df.columns)
 
 
 def to_bytes(df: DataFrame, low: float, high: float) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from gridloom.functions.literals import doubles, integers
 from gridloom.sources.staging import staged
 
 #: Lower bounds are taken a little lower, so that rounding never hides a point.
@@ -32,7 +33,7 @@ class KdTree:
 def place(splits: dict[int, tuple[int, float]], depth: int, data: str = "data") -> Column:
     """The heap place of the leaf that a point falls into; a value equal to a threshold goes right."""
     size = 2 ** (depth + 1)
-    dims, cuts = F.lit([splits.get(n, (-1, 0.0))[0] for n in range(size)]), F.lit([float(splits.get(n, (-1, 0.0))[1]) for n in range(size)])
+    dims, cuts = integers(splits.get(n, (-1, 0.0))[0] for n in range(size)), doubles(splits.get(n, (-1, 0.0))[1] for n in range(size))
     step = lambda n, _: F.when(dims[n] >= 0, 2 * n + (F.col(data)[dims[n]] >= cuts[n]).cast("int")).otherwise(n)
     return F.aggregate(F.sequence(F.lit(1), F.lit(depth)), F.lit(1), step) if splits else F.lit(1)
 
@@ -119,7 +120,7 @@ def kd_search(tree: KdTree, queries: DataFrame, k: int, budget: int = 0) -> Data
     ends = None
     for _ in range(tree.depth + 1):
         front = near(front.join(boxes, "node").withColumn("lb", to_box())).select("query", "q", "own", "bound", "node", "lb")
-        inner = F.col("node").isin(list(tree.splits)) if len(tree.splits) <= 64 else F.array_contains(F.lit(sorted(tree.splits)), F.col("node"))
+        inner = F.col("node").isin(list(tree.splits)) if len(tree.splits) <= 64 else F.array_contains(integers(sorted(tree.splits)), F.col("node"))
         done = front.filter(~inner & (F.col("node") != F.col("own"))) if tree.splits else front.limit(0)
         ends = done if ends is None else ends.unionByName(done)
         front = front.filter(inner).withColumn("node", F.explode(F.array(2 * F.col("node"), 2 * F.col("node") + 1))).drop("lb") if tree.splits else front.limit(0).drop("lb")

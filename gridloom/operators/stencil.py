@@ -70,6 +70,20 @@ def separable(df: DataFrame, kernel: list[float], border=clamped, step: int = 1)
     return convolved(convolved(df, kernel, "c", border, step), kernel, "r", border, step)
 
 
+def separable_many(df: DataFrame, kernel: list[float], values: list[str], border=clamped) -> DataFrame:
+    """As separable, for several values of a cell together: their lines are made by one shuffle for each axis."""
+    half = len(kernel) // 2
+    for axis, other in (("c", "r"), ("r", "c")):
+        line = F.array_sort(F.collect_list(F.struct(axis, *values)))
+
+        def at(i: Column) -> Column:
+            near = [(F.get("line", border(i + (k - half), F.size("line"))), w) for k, w in enumerate(kernel)]
+            return F.struct(*[sum((x[v] * w for x, w in near), F.lit(0.0)).alias(v) for v in values])
+
+        df = df.groupBy("image_id", other).agg(line.alias("line")).select("image_id", other, F.posexplode(F.transform(F.sequence(F.lit(0), F.size("line") - 1), at)).alias(axis, "s")).select("image_id", other, axis, "s.*")
+    return df
+
+
 def half_kernel(half: list[float]) -> list[float]:
     """The full symmetric kernel whose centre and right side are ``half``."""
     return [*half[:0:-1], *half]
@@ -127,9 +141,7 @@ def moments(g: DataFrame) -> DataFrame:
 
 def eigensystem(m: DataFrame, sigma: float = 1.0) -> DataFrame:
     """Eigenvalues (twice the true ones, by convention) and unit eigenvectors of the blurred moments."""
-    k = gaussian_kernel(sigma)
-    parts = [separable(m.select("image_id", "r", "c", F.col(x).alias("v")), k).withColumnRenamed("v", x) for x in ("xx", "yy", "xy")]
-    df = parts[0].join(parts[1], ["image_id", "r", "c"]).join(parts[2], ["image_id", "r", "c"])
+    df = separable_many(m, gaussian_kernel(sigma), ["xx", "yy", "xy"])
     root = F.sqrt(4 * F.col("xy") * F.col("xy") + (F.col("xx") - F.col("yy")) * (F.col("xx") - F.col("yy")))
     df = df.withColumn("l1", F.col("xx") + F.col("yy") + root).withColumn("l2", F.col("xx") + F.col("yy") - root)
     angle = F.atan2(F.col("l1") / 2 - F.col("xx"), F.col("xy"))

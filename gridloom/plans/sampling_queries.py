@@ -16,31 +16,36 @@ from gridloom.sources import tables as T
 
 def u(key, seed):
     """The uniform draw as SQL."""
-    return f"(((({key}) % 1000003) * {2 * seed + 2654435761} + {seed * 40503}) % 1000003 * 7919 % 1000003 / 1000003.0::DOUBLE)"
+    x = f"((({key}) % 1000003 * {2 * seed + 2654435761} + {seed * 40503}) % 1000003)"
+    return f"(({x} * {x} % 1000003) * ({x} * {x} % 1000003) % 1000003 * {x} % 1000003 / 1000003.0::DOUBLE)"
 
 
-ID = F.col("vec_id")
+def vec():
+    return F.col("vec_id")
 
 
 @query("A20_bernoulli", f"SELECT vec_id, {u('vec_id', 3)} < 0.3 AS hit FROM embeddings")
 def a20bernoulli(spark, sf):
-    return T.table(spark, sf, "embeddings").select("vec_id", R.test(ID, 3, 0.3).alias("hit"))
+    return T.table(spark, sf, "embeddings").select("vec_id", R.test(vec(), 3, 0.3).alias("hit"))
 
 
 @query("A20_normal", f"SELECT vec_id, round(sqrt(-2 * ln({u('vec_id', 5)} + 0.5 / 1000003)) * cos(2 * pi() * {u('vec_id', 6)}), 6) + 0.0 AS x FROM embeddings")
 def a20normal(spark, sf):
-    return T.table(spark, sf, "embeddings").select("vec_id", (F.round(R.normal(ID, 5), 6) + 0.0).alias("x"))
+    return T.table(spark, sf, "embeddings").select("vec_id", (F.round(R.normal(vec(), 5), 6) + 0.0).alias("x"))
 
 
 @query("A20_random_distribution", f"WITH x AS (SELECT vec_id, i, pow({u('vec_id * 6 + i', 9)} + 0.5 / 1000003, 3) AS p FROM embeddings, (SELECT unnest(range(0, 6)) AS i)) SELECT vec_id, i::INT AS i, round(p / sum(p) OVER (PARTITION BY vec_id), 6) AS p FROM x")
 def a20distribution(spark, sf):
-    return T.table(spark, sf, "embeddings").select("vec_id", F.posexplode(R.distribution(ID, 9, 6)).alias("i", "p")).withColumn("p", F.round("p", 6))
+    return T.table(spark, sf, "embeddings").select("vec_id", F.posexplode(R.distribution(vec(), 9, 6)).alias("i", "p")).withColumn("p", F.round("p", 6))
 
 
 # --- training samples ---------------------------------------------------------------------------
 
 GRID = "s AS (SELECT image_id, r, c, label, image_id * 64 + r * 8 + c AS k FROM labels_r WHERE r BETWEEN 1 AND 6 AND c BETWEEN 2 AND 5 AND (r - 1) % 2 = 0 AND (c - 2) % 2 = 0)"
-KEY = F.col("image_id") * 64 + F.col("r") * 8 + F.col("c")
+
+
+def cell_key():
+    return F.col("image_id") * 64 + F.col("r") * 8 + F.col("c")
 
 
 def samples(spark, sf):
@@ -51,20 +56,20 @@ def samples(spark, sf):
 def m19modes(spark, sf):
     """The labels that grid samples get under each mode of supervision."""
     s, labels, cell = samples(spark, sf), T.labels(spark, sf), ["image_id", "r", "c"]
-    full = R.supervised(s, labels, "full", KEY, 0).withColumnRenamed("label", "full_")
-    part = R.supervised(s, labels, "part", KEY, 11).withColumnRenamed("label", "part")
-    none = R.supervised(s, labels, "none", KEY, 12).withColumnRenamed("label", "none")
+    full = R.supervised(s, labels, "full", cell_key(), 0).withColumnRenamed("label", "full_")
+    part = R.supervised(s, labels, "part", cell_key(), 11).withColumnRenamed("label", "part")
+    none = R.supervised(s, labels, "none", cell_key(), 12).withColumnRenamed("label", "none")
     return full.join(part, cell).join(none, cell)
 
 
 @query("M19_splits_by_point", f"WITH {GRID} SELECT image_id, r, c, label, split::INT AS split FROM s, (SELECT unnest([0, 1, 2]) AS split) WHERE {u('k * 3 + split', 13)} < 0.4")
 def m19points(spark, sf):
-    return R.split_samples(samples(spark, sf), 3, KEY, 13, 0.4)
+    return R.split_samples(samples(spark, sf), 3, cell_key(), 13, 0.4)
 
 
 @query("M19_splits_by_image", f"WITH {GRID} SELECT image_id, r, c, label, split::INT AS split FROM s, (SELECT unnest([0, 1, 2]) AS split) WHERE {u('k * 3 + split', 13)} < 0.8 AND {u('image_id * 3 + split', 20)} < 0.5")
 def m19images(spark, sf):
-    return R.split_samples(samples(spark, sf), 3, KEY, 13, 0.8, 0.5)
+    return R.split_samples(samples(spark, sf), 3, cell_key(), 13, 0.8, 0.5)
 
 
 # --- templates ------------------------------------------------------------------------------------
@@ -80,7 +85,7 @@ def placements(spark, sf):
     kinds = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(sx).alias("sx"), F.lit(sy).alias("sy")) for k, (sx, sy) in enumerate([(1.0, 1.0), (1.0, 1.0), (1.5, 0.8)])]))
     moved = lambda x: F.when(F.col("k.kind") == 0, 0).otherwise(x).cast("int")
     rows = T.table(spark, sf, "embeddings").select("vec_id", kinds.alias("k"))
-    return rows.select(F.struct("vec_id", "k.kind").alias("key"), F.col("vec_id").alias("image_id"), F.lit(1).alias("template"), moved(ID % 7 - 1).alias("row"), moved(ID % 5).alias("column"), "k.sx", "k.sy")
+    return rows.select(F.struct("vec_id", "k.kind").alias("key"), F.col("vec_id").alias("image_id"), F.lit(1).alias("template"), moved(vec() % 7 - 1).alias("row"), moved(vec() % 5).alias("column"), "k.sx", "k.sy")
 
 
 def template(spark):

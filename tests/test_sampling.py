@@ -95,3 +95,21 @@ def test_appended(spark, where):
         for r in P.appended(tall(one), tall(two), where).collect():
             got[r["r"], r["c"]] = r["v"]
         assert (got == want).all()
+
+
+def test_rankings_with_outliers_ties_and_gaps(spark):
+    from gridloom.operators import evaluation as E
+
+    rng = random.Random(6)
+    rows = [(i, rng.choice([rng.random(), 0.5, 1e12, -1e300]), rng.random() < 0.3) for i in range(3000)]
+    odd = [(5000, None, True), (5001, 0.5, None), (5002, float("nan"), True)]
+    got = {r["id"]: (r["tp"], r["fp"], r["p"], r["n"]) for r in E.changes(spark.createDataFrame(rows + odd, "id long, rank double, positive boolean")).collect()}
+    tp = fp = 0
+    p = sum(y for *_, y in rows)
+    for i, _, y in sorted(rows, key=lambda r: (-r[1], r[0])):
+        tp, fp = tp + y, fp + (not y)
+        assert got.pop(i) == (tp, fp, p, 3000 - p)
+    assert not got
+    parts = E.ranges(spark.range(50_000).selectExpr("id", "cast(pow(1.001, id) as double) as x"), "x", 64).groupBy("part").count()
+    assert parts.count() >= 60 and parts.agg(F.max("count")).first()[0] < 1200
+    assert E.changes(spark.createDataFrame([], "id long, rank double, positive boolean")).count() == 0
