@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import math
 
 import numpy as np
@@ -19,8 +20,9 @@ def hashed(seed: int, *cols) -> Column:
 
 
 def assign(points: DataFrame, centres: list[list[float]]) -> DataFrame:
-    """Nearest centre of each point, the lowest of equals; the centres are literals."""
-    each = F.array(*[F.struct(F.lit(k).alias("k"), F.array(*[F.lit(float(x)) for x in c]).alias("c")) for k, c in enumerate(centres)])
+    """Nearest centre of each point, the lowest of equals; all centres are one literal, read from text, so the plan doesn't grow with them."""
+    table = F.from_json(F.lit(json.dumps([[float(x) for x in c] for c in centres])), "array<array<double>>")
+    each = F.transform(table, lambda c, k: F.struct(k.alias("k"), c.alias("c")))
     d = lambda s: F.aggregate(F.zip_with("data", s["c"], lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda acc, x: acc + x)
     return points.withColumn("b", F.array_min(F.transform(each, lambda s: F.struct(d(s).alias("d"), s["k"].alias("k"))))).withColumn("cluster", F.col("b.k")).withColumn("d", F.col("b.d")).drop("b")
 

@@ -50,16 +50,19 @@ def squared_distance(a: str, b: str) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda acc, x: acc + x)
 
 
-def similarity_upper(df: DataFrame, blocks: int = 8, within: str | None = None, metric: Callable[[str, str], Column] = dot) -> DataFrame:
+def similarity_upper(df: DataFrame, blocks: int | None = None, within: str | None = None, metric: Callable[[str, str], Column] = dot, keep: tuple[str, ...] = (), block_rows: int = 4096) -> DataFrame:
     """A metric (the dot product) of all pairs id <= other, block against block: each row goes to the blocks that it meets, an equi-join.
 
-    With ``within`` only pairs that agree in that column are formed. The result has a row for each pair; its size is what is asked for.
+    With ``within`` only pairs that agree in that column are formed. There are at least 8 ``blocks``, and as many that one has about ``block_rows`` rows.
+    Columns ``keep`` come along for both sides (the other's as name_other), so that what is summed over pairs adds up
+    beside the join, before a shuffle. The result has a row for each pair; its size is what is asked for.
     """
+    blocks = blocks or max(8, -(-df.count() // block_rows))
     own = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
     group = [within] if within else []
-    left = df.select(F.col("id"), F.col("data"), *group, own.alias("p")).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    right = df.select(F.col("id").alias("other"), F.col("data").alias("data2"), *group, own.alias("q")).withColumn("p", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    return left.join(right, ["p", "q", *group]).filter("id <= other").select("id", "other", metric("data", "data2").alias("v"))
+    left = df.select(F.col("id"), F.col("data"), *group, *keep, own.alias("p")).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    right = df.select(F.col("id").alias("other"), F.col("data").alias("data2"), *group, *[F.col(c).alias(f"{c}_other") for c in keep], own.alias("q")).withColumn("p", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    return left.join(right, ["p", "q", *group]).filter("id <= other").select("id", "other", *keep, *[f"{c}_other" for c in keep], metric("data", "data2").alias("v"))
 
 
 def block_nearest(df: DataFrame, queries: DataFrame, k: int) -> DataFrame:

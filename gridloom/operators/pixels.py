@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from gridloom.operators.evaluation import ranges
+from gridloom.sources.staging import staged
+
 
 def by_image():
     return W.partitionBy("image_id")
@@ -118,6 +121,19 @@ def appended(left: DataFrame, right: DataFrame, where: str = "right") -> DataFra
     return every.groupBy("image_id", "r", "c").agg(F.sum("v").alias("v"))
 
 
+def numbered(keys: DataFrame, order: str) -> DataFrame:
+    """Keys with ``label``: their places, from 1, by rising ``order`` (without nulls or ties).
+
+    Places within ranges, which come from quantiles, are added to the counts of the ranges before; no task holds all keys.
+    """
+    rows = ranges(staged(keys, "keys"), order)
+    counts = rows.groupBy("part").agg(F.count("*").alias("n"))  # a row for each range
+    before = F.sum("n").over(W.orderBy(F.desc("part")).rowsBetween(W.unboundedPreceding, -1))
+    counts = counts.select("part", F.coalesce(before, F.lit(0)).alias("before"))
+    place = F.row_number().over(W.partitionBy("part").orderBy(order))
+    return rows.withColumn("place", place).join(F.broadcast(counts), "part").withColumn("label", F.col("before") + F.col("place")).drop("part", "place", "before")
+
+
 def smoothed_distribution(df: DataFrame, alpha: float = 1e-4) -> DataFrame:
     """Each cell's distribution with a Dirichlet prior of ``alpha`` in all over its labels."""
     n, total = F.count("*").over(by_pixel()), F.sum("p").over(by_pixel())

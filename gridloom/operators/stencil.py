@@ -175,20 +175,30 @@ def neighbours8(df: DataFrame, *cols: str) -> DataFrame:
 def connected(cells: DataFrame, columns: int, save=None) -> DataFrame:
     """8-connected components of ``cells`` (image_id, r, c): each cell with its component's least cell number.
 
-    Labels spread to neighbours and jump to their label's label each round, until none changes; each round's table is
+    In each round only cells whose label fell in the round before tell their neighbours, and labels jump to their label's label where
+    that fell; images without a change are complete and left out of further rounds. Each round's table of the images still open is
     written (``save``), so lineage stays short.
     """
     save = save or (lambda df: df)
-    labels = save(cells.select("image_id", "r", "c", (F.col("r") * columns + F.col("c")).alias("label")))
+    cell, number = ["image_id", "r", "c"], F.col("r") * columns + F.col("c")
+    labels, moved, complete = save(cells.select(*cell, number.alias("label"), F.lit(True).alias("fell"))), None, []
     while True:
-        near = neighbours8(labels, "label").groupBy("image_id", "r", "c").agg(F.min("label").alias("near"))
-        spread = labels.join(near, ["image_id", "r", "c"]).select("image_id", "r", "c", "label", "near")
-        jump = spread.select("image_id", (F.col("r") * columns + F.col("c")).alias("near"), F.col("near").alias("beyond"))
-        new = save(spread.join(jump, ["image_id", "near"], "left").select("image_id", "r", "c", F.col("label").alias("old"), F.least("near", F.coalesce("beyond", "near")).alias("label")))
-        changed = not new.filter("old != label").isEmpty()
-        labels = new.drop("old")
-        if not changed:
-            return labels
+        moved = labels.filter("fell") if moved is None else moved
+        near = neighbours8(moved, "label").groupBy(*cell).agg(F.min("label").alias("near"))
+        spread = labels.join(near, cell, "left").select(*cell, "label", "fell", F.coalesce(F.least("label", "near"), "label").alias("near"))
+        jump = spread.filter("fell or near < label").select("image_id", number.alias("near"), F.col("near").alias("beyond"))
+        new = save(spread.join(jump, ["image_id", "near"], "left").select(*cell, F.col("label").alias("old"), F.least("near", F.coalesce("beyond", "near")).alias("label")))
+        new, moved = new.select(*cell, "label", (F.col("label") < F.col("old")).alias("fell")), new.filter("label < old").select(*cell, "label")
+        if moved.isEmpty():
+            complete.append(new)
+            break
+        images = moved.select("image_id").distinct()
+        complete.append(new.join(images, "image_id", "left_anti"))
+        labels = new.join(images, "image_id", "left_semi")
+    out = complete[0]
+    for part in complete[1:]:
+        out = out.unionByName(part)
+    return out.select(*cell, "label")
 
 
 def distance_transform(cells: DataFrame, size: DataFrame, rows: int, columns: int) -> DataFrame:

@@ -41,19 +41,13 @@ def m2(spark, sf):
     return L.assign(p, L.scalable_seeds(p, 4)).select("id", "cluster", "d")
 
 
-@query("M3_knn_classify", f"WITH d AS (SELECT a.id AS query, b.id, b.label, row_number() OVER (PARTITION BY a.id ORDER BY {SQ}, b.id) AS k FROM points a, points b WHERE a.id < 25), v AS (SELECT query, label, count(*) AS n FROM d WHERE k <= 7 GROUP BY ALL) SELECT query, arg_max(label, {{'n': n, 'k': -label}})::INT AS label FROM v GROUP BY query")
-def m3(spark, sf):
-    """Exact neighbours of a stated set of 25 queries vote; the lowest label of equals wins."""
-    from gridloom.operators.matching import nearest
-
-    p = T.points(spark, sf)
-    v = nearest(p, p.filter("id < 25"), 7).join(p.select("id", "label"), "id").groupBy("query", "label").count()
-    return v.groupBy("query").agg((-F.max(F.struct("count", (-F.col("label")).alias("k")))["k"]).alias("label"))
+VOTES = f"WITH d AS (SELECT a.id AS query, b.id, b.label, row_number() OVER (PARTITION BY a.id ORDER BY {SQ}, b.id) AS k FROM points a, points b WHERE a.id % 50 = 0), v AS (SELECT query, label, count(*) AS n FROM d WHERE k <= 7 GROUP BY ALL) SELECT query, arg_max(label, {{'n': n, 'k': -label}})::INT AS label FROM v GROUP BY query"
 
 
-@query("M3_knn_classify_searches", f"WITH d AS (SELECT a.id AS query, b.id, b.label, row_number() OVER (PARTITION BY a.id ORDER BY {SQ}, b.id) AS k FROM points a, points b WHERE a.id % 50 = 0), v AS (SELECT query, label, count(*) AS n FROM d WHERE k <= 7 GROUP BY ALL) SELECT query, arg_max(label, {{'n': n, 'k': -label}})::INT AS label FROM v GROUP BY query")
-def m3searches(spark, sf):
-    """As M3, for every point with an id divisible by 50, at any scale."""
+@query("M3_knn_classify", VOTES)
+@query("M3_knn_classify_searches", VOTES)
+def m3(spark, sf):
+    """Exact neighbours of every point with an id divisible by 50 vote; the lowest label of equals wins."""
     from gridloom.operators.matching import nearest
 
     p = T.points(spark, sf)

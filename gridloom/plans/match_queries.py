@@ -64,23 +64,17 @@ def j7(spark, sf):
 DOT = "list_sum([x[1]::DOUBLE * x[2]::DOUBLE for x in list_zip(a.data, b.data)])"
 
 
-@query("J8_similarity_matrix", f"SELECT a.label, b.id, round(sum({DOT}), 4) + 0.0 AS v FROM points a, points b WHERE a.id < 20 GROUP BY ALL")
-def j8(spark, sf):
-    """A stated set of 20 vectors against all, summed by the set's labels."""
-    p = T.points(spark, sf)
-    some = p.filter("id < 20").agg(F.collect_list(F.struct("id", "label", "data")).alias("q"))
-    rows = p.withColumnRenamed("data", "other").join(F.broadcast(some)).select("id", "other", F.explode("q").alias("a")).select("id", "other", F.col("a.label").alias("label"), F.col("a.data").alias("data"))
-    return rows.groupBy("label", "id").agg((F.round(F.sum(M.dot("data", "other")), 4) + 0.0).alias("v"))
+MATRIX = f"SELECT a.label, b.id, round(sum({DOT}), 3) + 0.0 AS v FROM points a, points b GROUP BY ALL"
 
 
-@query("J8_similarity_matrix_whole", f"SELECT a.label, b.id, round(sum({DOT}), 3) + 0.0 AS v FROM points a, points b GROUP BY ALL")
-def j8whole(spark, sf):
-    """All vectors against all in blocks, the upper triangle mirrored, summed by label."""
-    p = T.points(spark, sf)
-    upper = M.similarity_upper(p)
-    full = upper.unionByName(upper.filter("id != other").select(F.col("other").alias("id"), F.col("id").alias("other"), "v"))
-    label = p.select(F.col("id").alias("other"), "label")
-    return full.join(label, "other").groupBy("label", "id").agg((F.round(F.sum("v"), 3) + 0.0).alias("v"))
+@query("J8_similarity_matrix", MATRIX)
+@query("J8_similarity_matrix_whole", MATRIX)
+def j8(spark, sf):
+    """All vectors against all in blocks, the upper triangle mirrored, summed by label beside the join."""
+    upper = M.similarity_upper(T.points(spark, sf), keep=("label",))
+    mirrored = F.when(F.col("id") != F.col("other"), F.struct("label", F.col("other").alias("id")))
+    sides = upper.select("v", F.explode(F.array(F.struct(F.col("label_other").alias("label"), "id"), mirrored)).alias("side")).filter("side is not null")
+    return sides.groupBy("side.label", "side.id").agg((F.round(F.sum("v"), 3) + 0.0).alias("v"))
 
 
 @query("J9_symmetric_similarity", f"SELECT a.id, round(sum({DOT}), 3) + 0.0 AS total, count(*) AS n FROM points a JOIN points b ON a.label = b.label GROUP BY a.id")
@@ -123,14 +117,12 @@ def j10g(spark, sf):
 SQ = "list_sum([(x[1]::DOUBLE - x[2]::DOUBLE) ** 2 for x in list_zip(a.data, b.data)])"
 
 
-@query("J11_nearest_points", f"WITH d AS (SELECT a.id AS query, b.id, {SQ} AS d FROM points a, points b WHERE a.id < 20), k AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY d, id) AS place FROM d) SELECT query, id, round(d, 5) AS d, place::INT AS place FROM k WHERE place <= 5")
-def j11(spark, sf):
-    p = T.points(spark, sf)
-    return M.nearest(p, p.filter("id < 20"), 5).withColumn("d", F.round("d", 5))
+NEAREST = f"WITH d AS (SELECT a.id AS query, b.id, {SQ} AS d FROM points a, points b WHERE a.id % 50 = 0), k AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY d, id) AS place FROM d) SELECT query, id, round(d, 5) AS d, place::INT AS place FROM k WHERE place <= 5"
 
 
-@query("J11_nearest_points_searches", f"WITH d AS (SELECT a.id AS query, b.id, {SQ} AS d FROM points a, points b WHERE a.id % 50 = 0), k AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY d, id) AS place FROM d) SELECT query, id, round(d, 5) AS d, place::INT AS place FROM k WHERE place <= 5")
-def j11searches(spark, sf):
+@query("J11_nearest_points", NEAREST)
+@query("J11_nearest_points_searches", NEAREST)
+def j11(spark, sf):
     """The searches of the contract: every point with an id divisible by 50, at any scale."""
     p = T.points(spark, sf)
     return M.nearest(p, p.filter("id % 50 = 0"), 5).withColumn("d", F.round("d", 5))

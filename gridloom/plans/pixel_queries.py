@@ -181,10 +181,9 @@ def p15(spark, sf):
 @query("P16_colors_to_labels", """WITH k AS (SELECT *, (red // 16)::BIGINT AS key, image_id * 64 + r * 8 + c AS pos FROM rgb), f AS (SELECT key, min(pos) AS first FROM k GROUP BY key), d AS (SELECT key, row_number() OVER (ORDER BY first) AS label FROM f)
 SELECT image_id, r, c, label::BIGINT AS label FROM k JOIN d USING (key)""")
 def p16(spark, sf):
-    from pyspark.sql import Window as W
-
+    """Colours get labels in the order in which a scan over the images meets them."""
     df = T.rgb(spark, sf).withColumn("key", F.expr("red div 16")).withColumn("pos", F.col("image_id") * 64 + F.col("r") * 8 + F.col("c"))
-    seen = df.groupBy("key").agg(F.min("pos").alias("first")).withColumn("label", F.row_number().over(W.orderBy("first")).cast("long"))
+    seen = P.numbered(df.groupBy("key").agg(F.min("pos").alias("first")), "first")
     return df.join(seen.select("key", "label"), "key").select(*CELL, "label")
 
 

@@ -183,9 +183,10 @@ def distances(spark, sf):
     return S.distance_transform(cells, None, 8, 8)
 
 
-@query("W14_nearest_edge", f"WITH {EDGES}, d AS (SELECT a.image_id, b.r AS nr, b.c AS nc, row_number() OVER (PARTITION BY a.image_id ORDER BY (b.r - 3) ** 2 + (b.c - 4) ** 2, b.r, b.c) AS k FROM raster a JOIN b ON a.image_id = b.image_id WHERE a.r = 3 AND a.c = 4) SELECT image_id, nr, nc FROM d WHERE k = 1")
+@query("W14_nearest_edge", f"WITH {EDGES}, d AS (SELECT a.image_id, a.r, a.c, min({{'d': (a.r - b.r) ** 2 + (a.c - b.c) ** 2, 'nr': b.r, 'nc': b.c}}) AS n FROM raster a JOIN b ON a.image_id = b.image_id GROUP BY ALL) SELECT image_id, r, c, n.nr, n.nc FROM d")
 def w14(spark, sf):
-    return distances(spark, sf).filter("r = 3 and c = 4").select("image_id", "nr", "nc")
+    """The nearest edge cell of every cell; of equally near ones the least row, then column."""
+    return distances(spark, sf).select(*CELL, "nr", "nc")
 
 
 TEMPLATE = [(0, 0), (0, 1), (1, 2), (2, 2), (3, 1)]
