@@ -527,6 +527,21 @@ def test_exact_dedup_can_retain_the_smallest(spark):
     assert {(r["doc_id"], r["keep_id"], r["kept"]) for r in got} == {(3, 2, False), (2, 2, True), (None, 2, False), (9, 9, True)}
 
 
+@pytest.mark.parametrize("runs,parts", [(1, 1), (2, 3), (5, 2), (16, 7)])
+def test_exact_dedup_gives_the_same_for_any_runs_and_ranges(spark, runs, parts):
+    long = "Ab " * 400_000
+    rows = [(7, "x", "s")] * 40 + [(i, "X", "s") for i in range(20)] + [(None, "x", "s"), (None, None, "s"), (None, "", "s"), (3, long, "s"), (4, long.lower(), "s"), (5, long + "c", "s")]
+    got = exact_dedup.exact_dedup(table(spark, rows).repartition(3), runs=runs, parts=parts).collect()
+    low = lambda t: (t or "").translate(str.maketrans(exact_dedup.UPPER, exact_dedup.LOWER))
+    groups = defaultdict(list)
+    for d, t, _ in rows:
+        groups[low(t)].append(d)
+    want = Counter((d, max((x for x in groups[low(t)] if x is not None), default=None), len(groups[low(t)]), hashlib.sha256(low(t).encode()).hexdigest()) for d, t, _ in rows)
+    assert Counter((r["doc_id"], r["keep_id"], r["group_size"], r["text_sha256"]) for r in got) == want
+    kept = [r for r in got if r["kept"]]
+    assert len(kept) == len(groups) == len({r["text_sha256"] for r in kept}) and all(r["doc_id"] == r["keep_id"] for r in kept)
+
+
 def test_words_on_which_polynomials_agree_differ():
     bits = [0]
     while len(bits) < 1024:
