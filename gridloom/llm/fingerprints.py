@@ -131,19 +131,19 @@ def subtracted(sets: DataFrame, dealt: int = 8, by: tuple[str, ...] = ("r", "th"
 RANGES, LARGE = 1024, 2_000_000
 
 
-def ranged(rows: DataFrame) -> tuple[DataFrame, list[str]]:
-    """Deal rows (r, th, ...) to buckets that follow each other in the order of r; returns the rows and the bucket's columns.
+def ranged(rows: DataFrame) -> tuple[DataFrame, list[str], bool]:
+    """Deal rows (r, th, text) to buckets that follow each other in the order of r; returns the rows, the bucket's columns, and whether any row stands for several.
 
     Ranges of r come from quantiles, so far-off values don't matter. A value of r that itself has more rows than
-    a range is cut by the hash of the text, and a row repeated that often (equal r and th) at random, so that no
-    identifier, and no repeated row, is one task.
+    a range is cut by the hash of the text, and rows repeated that often (equal r and text) are counted before they move and become one row with
+    the number of its ``times``, so that no identifier, and no repeated row, is one task. All is decided by the rows' values, so reading them again gives the same.
     """
     keys = staged(rows.groupBy("r", "th").agg(F.count("*").alias("copies")), "fingerprint-keys")
     total = keys.agg(F.sum("copies")).first()[0] or 0
     k = max(1, min(RANGES, total // 250))
     many = total / k
     heavy = staged(keys.groupBy("r").agg(F.sum("copies").alias("copies")).filter(F.col("copies") > many).select(F.col("r").alias("r_many")), "fingerprint-heavy")
-    repeated = keys.filter(F.col("copies") > many).select(F.col("r").alias("r_same"), F.col("th").alias("th_same"))
+    repeated = staged(keys.filter(F.col("copies") > many).select(F.col("r").alias("r_same"), F.col("th").alias("th_same")), "fingerprint-repeated")
     found = keys.agg(F.percentile_approx("r", F.lit([i / k for i in range(1, k)]), F.lit(10 * RANGES))).first()[0] if k > 1 and total else []
     cuts = sorted({*(found or []), *(r["r_many"] for r in heavy.collect())})  # a heavy value's rows begin a range
     step = 32
@@ -159,9 +159,20 @@ def ranged(rows: DataFrame) -> tuple[DataFrame, list[str]]:
     # both tables have fewer rows than there are ranges
     rows = rows.join(F.broadcast(heavy), F.col("r") == F.col("r_many"), "left").join(F.broadcast(repeated), (F.col("r") == F.col("r_same")) & (F.col("th") == F.col("th_same")), "left")
     part = F.when(F.col("th_same").isNotNull(), F.col("th")).when(F.col("r_many").isNotNull(), F.shiftleft(F.shiftright("th", 56), 56)).otherwise(F.lit(0).cast("long"))
-    salt = F.when(F.col("th_same").isNotNull(), F.floor(F.rand(5) * 256)).otherwise(F.lit(0)).cast("int")
-    rows = rows.withColumn("rest", F.col("r_many").isNull()).withColumn("part", part).withColumn("salt", salt)
-    return rows.drop("r_many", "r_same", "th_same"), ["q", "s", "rest", "part", "salt"]
+    bucket = ["q", "s", "rest", "part"]
+    rows = rows.withColumn("rest", F.col("r_many").isNull()).withColumn("part", part)
+    one = F.lit(1).cast("long").alias("times")
+    if repeated.isEmpty():
+        return rows.select(*bucket, "r", "th", "text", one), bucket, False
+    counted = rows.filter("th_same is not null").groupBy(*bucket, "r", "th", "text").agg(F.count("*").alias("times"))
+    return rows.filter("th_same is null").select(*bucket, "r", "th", "text", one).unionByName(counted), bucket, True
+
+
+def repeated_out(rows: DataFrame, block: int = 65536) -> DataFrame:
+    """Each row ``times`` times, dealt out in blocks so that many copies don't come from one task."""
+    blocks = rows.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(times - 1) div {block}"))))
+    here = F.least(F.lit(block), F.col("times") - F.col("block") * block).cast("int")
+    return blocks.repartition("rid", "block").withColumn("copy", F.explode(F.sequence(F.lit(1), here))).drop("block", "copy", "times")
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -177,7 +188,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Null texts are empty (an empty fingerprint; like each other); null ids come last; rows with equal
     id come in an order decided by their texts' hashes, repeated rows one after the other; a single row is its own next.
-    An empty table gives no rows; other columns are not read; ids are whole numbers.
+    An empty table gives no rows; texts of any length go through whole; other columns are not read; ids are whole numbers.
 
     Returns id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, and the
     recovered digests: edited_gone and edited_new (those that the text and the edited text have alone), next_gone and next_new.
@@ -186,7 +197,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     text = text_of(text_col)
     # r: the identifier's complement, in whose ascending order the next document follows
     rows = docs.select(F.bitwise_not(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID))).alias("r"), F.xxhash64(text).alias("th"), text.alias("text"))
-    rows, bucket = ranged(rows)
+    rows, bucket, several = ranged(rows)
     me = F.struct("r", "th")
     firsts = rows.groupBy(*bucket).agg(F.min(me).alias("first"))
     over = W.orderBy(*bucket)  # a row for each bucket
@@ -197,9 +208,14 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     within = W.partitionBy(*bucket).orderBy("r", "th")
     n = F.char_length("text")
     met = rows.withColumn("own", digests(F.col("text"))).withColumn("after", F.lead("text").over(within)).withColumn("next", F.lead("own").over(within)).join(starts, bucket)
+    if several:
+        # of a row that stands for several, the last is followed by the next row, and each of the others by its like
+        like = F.explode(F.when(F.col("times") > 1, F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False))))
+        met = met.withColumn("like", like).withColumn("times", F.when(F.col("like"), F.col("times") - 1).otherwise(1))
+        met = met.withColumn("after", F.when(F.col("like"), F.col("text")).otherwise(F.col("after"))).withColumn("next", F.when(F.col("like"), F.col("own")).otherwise(F.col("next")))
     met = met.withColumn("edited", F.concat(F.substring("text", F.lit(1), n - F.floor(n / 3).cast("int")), F.substring(F.coalesce("after", "beyond"), F.lit(1), F.floor(n / 3).cast("int"))))
     sets = met.select(
-        F.monotonically_increasing_id().alias("rid"), F.when(F.bitwise_not("r") != NULL_ID, F.bitwise_not("r")).alias("id"), n.cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+        F.monotonically_increasing_id().alias("rid"), F.when(F.bitwise_not("r") != NULL_ID, F.bitwise_not("r")).alias("id"), n.cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "times",
         "own", digests(F.col("edited")).alias("other"), F.coalesce("next", digests(F.col("beyond"))).alias("next"),
     )
     sets = staged(sets, "fingerprint-sets")
@@ -210,8 +226,9 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     found = subtracted(sets, dealt, ("rid",))
     by_row = lambda df: df.repartition(dealt, "rid")
     prints = written(by_row(sets.select("rid", "own", "other")))
-    counts = by_row(sets.select("rid", "id", "n_chars", "edited_sha256", *[F.size(c).alias(c) for c in ("own", "other", "next")]))
+    counts = by_row(sets.select("rid", "id", "n_chars", "edited_sha256", "times", *[F.size(c).alias(c) for c in ("own", "other", "next")]))
     out = counts.join(by_row(found), "rid").join(prints, "rid", "left")
+    out = repeated_out(out) if several else out.drop("times")
 
     def near(other: str, k: int) -> Column:
         total = F.col("own") + F.col(other)
