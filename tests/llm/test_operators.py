@@ -590,3 +590,13 @@ def test_fingerprints_of_hot_ids_and_far_off_ones(spark):
     # the last in order are the null ids, and after them comes the first document again
     starts = {hashlib.sha256((t[: len(t) - len(t) // 3] + "last"[: len(t) // 3]).encode()).hexdigest() for d, t in data if d is None}
     assert sum(r["edited_sha256"] in starts for r in got if r["doc_id"] is None) >= 1
+
+
+def test_pipeline_stages_take_an_empty_table_and_null_labels(spark, tmp_path):
+    import corpus_pipeline as c
+
+    spark.createDataFrame([(1, None), (2, 1), (None, 0)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    empty = spark.createDataFrame([], SCHEMA)
+    for name, stage in c.STAGES:
+        got = stage(spark, empty, str(tmp_path))
+        assert got.count() == 0 and (name == "packing" or got.columns == empty.columns), name
