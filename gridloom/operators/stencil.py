@@ -201,11 +201,37 @@ def connected(cells: DataFrame, columns: int, save=None) -> DataFrame:
     return out.select(*cell, "label")
 
 
+def envelope(found: Column, c: Column, rows: int) -> Column:
+    """Which of the cells ``found`` (array of (r, nc), by r) is nearest to column ``c`` in each row: an array of (r, nc, s), each from row ``s`` on.
+
+    The lower envelope of their parabolas. A cell beats all before it from some row on, so those that it ousts are the
+    last ones, and where they begin is found by bisection: n log n steps for n cells. Of equally near cells the upper one stays.
+    """
+    far = lambda x, r: (x["r"] - r) * (x["r"] - r) + (x["nc"] - c) * (x["nc"] - c)
+    halves = F.array(*[F.lit(1 << k) for k in reversed(range(rows.bit_length()))])
+    once = lambda value, then: F.get(F.transform(F.array(value), then), F.lit(0))
+
+    def add(stack: Column, q: Column) -> Column:
+        def stays(i: Column) -> Column:
+            return once(F.get(stack, i), lambda x: far(x, x["s"]) <= far(q, x["s"]))
+
+        def start(m: Column) -> Column:
+            begins = lambda top: F.floor((far(q, 0) - far(top, 0)) / (2 * (q["r"] - top["r"]))).cast("int") + 1
+            return F.when(m == 0, 0).otherwise(once(F.get(stack, m - 1), begins))
+
+        kept = F.aggregate(halves, F.lit(0), lambda m, b: F.when(m + b > F.size(stack), m).when(stays(m + b - 1), m + b).otherwise(m))
+        place = once(kept, lambda m: F.struct(m.alias("m"), start(m).alias("s")))
+        new = lambda p: F.array(F.struct(q["r"].cast("int").alias("r"), q["nc"].cast("int").alias("nc"), p["s"].alias("s")))
+        return once(place, lambda p: F.when(p["s"] < rows, F.concat(F.slice(stack, F.lit(1), p["m"]), new(p))).otherwise(stack))
+
+    return F.aggregate(found, F.array().cast("array<struct<r:int,nc:int,s:int>>"), add)
+
+
 def distance_transform(cells: DataFrame, size: DataFrame, rows: int, columns: int) -> DataFrame:
     """Squared Euclidean distance of every cell to the nearest true one, and that one (least row, then column).
 
     In two passes: the nearest true cell within each row by running windows, then within each
-    column the least over that column's rows. ``cells``: (image_id, r, c, v boolean).
+    column the lower envelope of that column's rows. ``cells``: (image_id, r, c, v boolean).
     """
     w = W.partitionBy("image_id", "r").orderBy("c")
     left = F.last(F.when(F.col("v"), F.col("c")), ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, 0))
@@ -214,10 +240,12 @@ def distance_transform(cells: DataFrame, size: DataFrame, rows: int, columns: in
     at = F.when(F.col("right").isNull() | (F.col("c") - F.col("left") <= F.col("right") - F.col("c")), F.col("left")).otherwise(F.col("right"))
     near = near.withColumn("nc", at).select("image_id", "r", "c", "nc")
     column = near.groupBy("image_id", "c").agg(F.array_sort(F.collect_list(F.when(F.col("nc").isNotNull(), F.struct("r", "nc")))).alias("found"))
-    grid = column.withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(rows - 1))))
-    d = lambda x: (x["r"] - F.col("r")) * (x["r"] - F.col("r")) + (x["nc"] - F.col("c")) * (x["nc"] - F.col("c"))
-    best = F.array_min(F.transform("found", lambda x: F.struct(d(x).alias("d"), x["r"].alias("nr"), x["nc"].alias("nc"))))
-    return grid.withColumn("b", best).filter("b is not null").select("image_id", "r", "c", F.col("b.d").cast("long").alias("d"), "b.nr", "b.nc")
+    spans = column.select("image_id", "c", envelope(F.col("found"), F.col("c"), rows).alias("spans"))
+    span = spans.select("image_id", "c", "spans", F.posexplode("spans").alias("i", "x"))
+    end = F.coalesce(F.get("spans", F.col("i") + 1)["s"], F.lit(rows)) - 1
+    grid = span.select("image_id", F.explode(F.sequence("x.s", end)).alias("r"), "c", F.col("x.r").alias("nr"), F.col("x.nc").alias("nc"))
+    d = (F.col("nr") - F.col("r")) * (F.col("nr") - F.col("r")) + (F.col("nc") - F.col("c")) * (F.col("nc") - F.col("c"))
+    return grid.select("image_id", "r", "c", d.cast("long").alias("d"), "nr", "nc")
 
 
 def pooled(df: DataFrame, size: int, every: int, rows: int, columns: int, reduce) -> DataFrame:
