@@ -18,7 +18,6 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gridloom.llm.common import discard, release, staged, text_of
@@ -296,8 +295,9 @@ def repeated_runs(docs: DataFrame, words: bool, gram: int, width: int, sizes: tu
     run = F.struct("cid", "cls", "at.pos", "low", "high", "n").alias("run")
     runs = contexts.filter("kinds > 1").select(F.col("at.uid").alias("uid"), run).groupBy("uid").agg(F.collect_list("run").alias("runs"))
     wanted = hits.join(runs, "uid", "left").join(summary.select("uid", "id", "th"), "uid")
-    once = F.row_number().over(W.partitionBy("id", "th", "uid").orderBy("id", "th", "uid"))
-    held = staged(texts.join(wanted, ["id", "th"]).withColumn("nth", once).filter("nth = 1").select("uid", "text", "hits", "runs"), f"{name}-texts")
+    if not summary.groupBy("id", "th").count().filter("count > 1").isEmpty():
+        texts = texts.groupBy("id", "th").agg(F.first("text").alias("text"))  # repeated rows combine before they are moved
+    held = staged(texts.join(wanted, ["id", "th"]).select("uid", "text", "hits", "runs"), f"{name}-texts")
     discard(repeated)
     release(spark)
 
