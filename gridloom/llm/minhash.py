@@ -325,4 +325,5 @@ def near_dedup(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "d
 
 
 def op3_minhash(spark, sf_dir):
+    """All documents with their class of near copies; see ``near_dedup``."""
     return near_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("text_hash")

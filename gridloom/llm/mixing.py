@@ -137,5 +137,6 @@ def drawn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed:
 
 
 def op1_mixing(spark, sf_dir):
+    """All documents with the words that the mix takes of each; see ``mix_sources``."""
     mixed = mix_sources(spark.read.parquet(f"{sf_dir}/documents.parquet"))["documents"]
     return mixed.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", "shards")

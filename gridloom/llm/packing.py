@@ -126,5 +126,6 @@ def pack(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
 
 
 def op7_best_fit_packing(spark, sf_dir):
+    """All documents in sequences of 2048 tokens; see ``token_pieces`` and ``pack``."""
     pieces = staged(token_pieces(spark.read.parquet(f"{sf_dir}/documents.parquet"), tokenizer_path("byte_bpe_50k.json")), "packing")
     return pack(pieces).select(F.col("id").alias("doc_id"), "piece", "start", "length", "ids_crc32", F.col("sequence_id").cast("long"), F.col("offset").cast("long"))

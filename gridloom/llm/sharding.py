@@ -73,4 +73,5 @@ def stratified_shards(docs: DataFrame, shards: int = 40, seed: int = 17, id_col:
 
 
 def op4_sharding(spark, sf_dir):
+    """All documents in 40 shards; see ``stratified_shards``."""
     return stratified_shards(spark.read.parquet(f"{sf_dir}/documents.parquet"))

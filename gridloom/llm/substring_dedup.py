@@ -113,4 +113,5 @@ def substring_dedup(docs: DataFrame, gram: int = GRAM, width: int = WIDTH, id_co
 
 
 def op5_substring_dedup(spark, sf_dir):
+    """All documents without windows of 35 words that repeat; see ``substring_dedup``."""
     return substring_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("n_spans")

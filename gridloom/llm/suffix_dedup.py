@@ -120,4 +120,5 @@ def suffix_dedup(docs: DataFrame, gram: int = GRAM, width: int = WIDTH, sizes: t
 
 
 def op10_suffix_dedup(spark, sf_dir):
+    """All documents without strings of 400 bytes that repeat; see ``suffix_dedup``."""
     return suffix_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))

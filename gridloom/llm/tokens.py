@@ -220,4 +220,5 @@ def tokenizer_path(name: str) -> str:
 
 
 def op2_token_counts(spark, sf_dir):
+    """Token counts of all documents; see ``token_counts``."""
     return token_counts(spark.read.parquet(f"{sf_dir}/documents.parquet"), tokenizer_path("word_bpe_49k.json"))

@@ -248,5 +248,6 @@ def without_toxic(docs: DataFrame, model: dict[str, float], text_col: str = "tex
 
 
 def op6_toxicity(spark, sf_dir):
+    """All documents scored by a model of the labelled ones; see ``score`` and ``train``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return score(docs, train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
