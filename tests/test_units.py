@@ -66,6 +66,17 @@ def test_distance_transform_is_brute_force(spark):
         for c in range(6):
             assert got[r, c] == ((on - [r, c]) ** 2).sum(axis=1).min()
 
+def test_distance_transform_of_long_columns(spark):
+    rng = np.random.default_rng(9)
+    v = rng.random((2, 45, 37)) < np.array([0.01, 0.2])[:, None, None]
+    df = spark.createDataFrame([(i, int(r), int(c), bool(v[i, r, c])) for i in range(2) for r in range(45) for c in range(37)], "image_id long, r int, c int, v boolean")
+    got = {(x.image_id, x.r, x.c): (x.d, x.nr, x.nc) for x in S.distance_transform(df, None, 45, 37).collect()}
+    for i in range(2):
+        true = np.argwhere(v[i]).tolist()
+        for r in range(45):
+            for c in range(37):
+                assert got[i, r, c] == min(((r - a) ** 2 + (c - b) ** 2, a, b) for a, b in true)
+
 
 def test_union_commutes_and_self_similarity_is_one(spark):
     h = spark.createDataFrame([(1, 0, 1, 2.0), (1, 0, 2, 1.0), (1, 1, 5, 3.0)], "hist_id long, tree int, idx long, value double")
