@@ -65,6 +65,27 @@ def similarity_upper(df: DataFrame, blocks: int | None = None, within: str | Non
     return left.join(right, ["p", "q", *group]).filter("id <= other").select("id", "other", *keep, *[f"{c}_other" for c in keep], metric("data", "data2").alias("v"))
 
 
+def dot_sums(df: DataFrame) -> DataFrame:
+    """(label, n, sums): what a label's vectors add to the dot products with any vector, by component.
+
+    Dot products are linear, so the sum of those of many vectors with one is that of their sum with it: one aggregation in place of
+    all pairs. Null components count as absent. ``x`` is the sum of a component; ``far`` is the sum of its products with infinity, which
+    is what an infinite component of the other vector meets.
+    """
+    rows = df.groupBy("label").agg(F.count("*").alias("n"))
+    each = df.select("label", F.posexplode("data").alias("i", "x")).filter("x is not null").groupBy("label", "i").agg(F.sum("x").alias("x"), F.sum(F.col("x") * float("inf")).alias("far"))
+    sums = each.groupBy(F.col("label").alias("of")).agg(F.map_from_entries(F.collect_list(F.struct("i", F.struct("x", "far")))).alias("m"), F.max("i").alias("last"))  # an entry a component
+    sums = sums.select("of", F.transform(F.sequence(F.lit(0), "last"), lambda i: F.try_element_at("m", i)).alias("sums"))
+    return rows.join(sums, F.col("label").eqNullSafe(F.col("of")), "left").drop("of")
+
+
+def dot_with(sums: str, data: str) -> Column:
+    """The sum of the dot products of ``data`` with all the vectors of ``sums``; null where no component meets one."""
+    meets = F.filter(F.zip_with(data, sums, lambda x, s: F.struct(x.alias("x"), s.alias("s"))), lambda p: p["x"].isNotNull() & p["s"].isNotNull())
+    term = lambda p: F.when(F.abs(p["x"]) == float("inf"), F.signum(p["x"]) * p["s"]["far"]).otherwise(p["x"] * p["s"]["x"])
+    return F.when(F.size(meets) > 0, F.aggregate(meets, F.lit(0.0), lambda acc, p: acc + term(p)))
+
+
 def block_nearest(df: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """For each query the k best of each batch of points."""
     q = queries.select("id", "data").toPandas()
