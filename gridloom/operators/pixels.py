@@ -69,12 +69,12 @@ def resampled(df: DataFrame, rows: int, columns: int, new_rows: int, new_columns
 
     ``source``: row and column there, as expressions of the target's (r, c); by default a scaling.
     ``kernel``: nearest, bilinear or cubic (a cubic B-spline). Cells from outside take ``background``,
-    or the nearest edge cell where it is None. Each target cell meets 1, 4 or 16 source cells in one equi-join.
+    or the nearest edge cell where it is None. Which cells meet is the same in all images: a table of 1, 4 or 16 rows for each cell of the
+    new grid, which is broadcast, so source cells go to where they count and add up there before the one shuffle.
     """
-    ids = df.select("image_id").distinct()
-    grid = ids.withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(new_rows - 1)))).withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(new_columns - 1))))
     sr, sc = source or (F.col("r") * (rows / new_rows), F.col("c") * (columns / new_columns))
-    grid = grid.withColumn("y", sr).withColumn("x", sc)
+    upto = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    grid = df.sparkSession.range(1).select(upto(new_rows).alias("r")).select("r", upto(new_columns).alias("c")).withColumn("y", sr).withColumn("x", sc)
     if kernel == "nearest":
         taps, weight, base = [0], lambda d: F.lit(1.0), lambda z: F.floor(z + 0.5)
     elif kernel == "bilinear":
@@ -89,13 +89,14 @@ def resampled(df: DataFrame, rows: int, columns: int, new_rows: int, new_columns
     offsets = F.array(*[F.struct(F.lit(i).alias("dr"), F.lit(j).alias("dc")) for i in taps for j in taps])
     cells = grid.withColumn("o", F.explode(offsets)).withColumn("br", base(F.col("y")) + F.col("o.dr")).withColumn("bc", base(F.col("x")) + F.col("o.dc"))
     cells = cells.withColumn("w", weight(F.col("y") - F.col("br")) * weight(F.col("x") - F.col("bc")))
-    inside = F.col("y").between(0, rows - 1) & F.col("x").between(0, columns - 1)
-    cells = cells.withColumn("inside", inside).withColumn("sr", F.greatest(F.least("br", F.lit(rows - 1)), F.lit(0)).cast("int")).withColumn("sc", F.greatest(F.least("bc", F.lit(columns - 1)), F.lit(0)).cast("int"))
-    got = cells.join(df.select("image_id", F.col("r").alias("sr"), F.col("c").alias("sc"), "v"), ["image_id", "sr", "sc"])
-    out = got.groupBy("image_id", "r", "c").agg(F.sum(F.col("w") * F.col("v")).alias("v"), F.first("inside").alias("inside"))
+    to = lambda x, n: F.greatest(F.least(x, F.lit(n - 1)), F.lit(0)).cast("int")
+    taps = cells.groupBy("r", "c", to("br", rows).alias("sr"), to("bc", columns).alias("sc")).agg(F.sum("w").alias("w"))
+    pieces = df.filter("image_id is not null").select("image_id", F.col("r").alias("sr"), F.col("c").alias("sc"), "v").join(F.broadcast(taps), ["sr", "sc"])
+    out = pieces.groupBy("image_id", "r", "c").agg(F.sum(F.col("w") * F.col("v")).alias("v"))
     if background is not None:
-        out = out.withColumn("v", F.when(F.col("inside"), F.col("v")).otherwise(F.lit(background)))
-    return out.drop("inside")
+        inside = sr.between(0, rows - 1) & sc.between(0, columns - 1)
+        out = out.withColumn("v", F.when(inside, F.col("v")).otherwise(F.lit(background)))
+    return out
 
 
 def affine_source(m: tuple[float, ...], rows: int, columns: int, new_rows: int, new_columns: int) -> tuple[Column, Column]:

@@ -31,3 +31,21 @@ def test_sums_of_dot_products_need_no_pairs(spark):
         known = [x for x in values if x is not None]
         assert got[k] is None if not known else (math.isnan(got[k]) if math.isnan(sum(known)) else got[k] == sum(known) or math.isclose(got[k], sum(known), abs_tol=1e-9)), k
     assert {r["group"]: r["n"] for r in sums.collect()} == {g: sum(1 for x in rows if x[2] == g) for g in {x[2] for x in rows}}
+
+
+def test_resampling_shuffles_sums_alone(spark):
+    from gridloom.operators import pixels as P
+
+    rng = np.random.default_rng(23)
+    images = {i: rng.normal(size=(4, 5)) for i in (1, 2)}
+    rows = [(i, r, c, float(a[r, c])) for i, a in images.items() for r in range(4) for c in range(5)] + [(None, 0, 0, 1.0)]
+    out = P.resampled(spark.createDataFrame(rows, "image_id long, r int, c int, v double"), 4, 5, 7, 6)
+    assert "image_id" not in [x for x in out._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in x][0]
+    got = {(x["image_id"], x["r"], x["c"]): x["v"] for x in out.collect()}
+    assert len(got) == 2 * 7 * 6
+    for (i, r, c), v in got.items():
+        y, x = r * 4 / 7, c * 5 / 6
+        a, b = math.floor(y), math.floor(x)
+        at = lambda p, q, i=i: images[i][min(p, 3), min(q, 4)]
+        want = sum(at(a + m, b + n) * (1 - abs(y - a - m)) * (1 - abs(x - b - n)) for m in (0, 1) for n in (0, 1))
+        assert math.isclose(v, want, abs_tol=1e-12)
