@@ -49,3 +49,14 @@ def test_resampling_shuffles_sums_alone(spark):
         at = lambda p, q, i=i: images[i][min(p, 3), min(q, 4)]
         want = sum(at(a + m, b + n) * (1 - abs(y - a - m)) * (1 - abs(x - b - n)) for m in (0, 1) for n in (0, 1))
         assert math.isclose(v, want, abs_tol=1e-12)
+
+
+def test_hue_query_goes_there_and_back(spark):
+    """The query converts to hue, chroma and value first; the conversion back alone has a query of its own."""
+    from gridloom import catalog
+    from gridloom.sources import tables as T
+
+    sf = "/root/testdata/sf0.001"
+    assert "P9_hsv_rgb_direct" in catalog.queries()
+    want = T.rgb(spark, sf).select("image_id", "r", "c", *[F.round(F.col(x) / 255.0, 5).alias(x) for x in ("red", "green", "blue")])
+    assert catalog.queries()["P9_hsv_rgb"](spark, sf).exceptAll(want).count() == 0
