@@ -60,3 +60,21 @@ def test_hue_query_goes_there_and_back(spark):
     assert "P9_hsv_rgb_direct" in catalog.queries()
     want = T.rgb(spark, sf).select("image_id", "r", "c", *[F.round(F.col(x) / 255.0, 5).alias(x) for x in ("red", "green", "blue")])
     assert catalog.queries()["P9_hsv_rgb"](spark, sf).exceptAll(want).count() == 0
+
+
+def test_packed_integral_is_brute_sum(spark):
+    from gridloom.operators import stencil as S
+
+    a = np.arange(12.0).reshape(3, 4)
+    df = spark.createDataFrame([(1, a.ravel().tolist(), 3, 4), (2, [None, 2.0], 1, 2)], "image_id long, data array<double>, rows int, columns int")
+    got = {r["image_id"]: r["integral"] for r in S.integral_packed(df).collect()}
+    assert got[1] == [a[:r, :c].sum() for r in range(4) for c in range(5)]
+    assert got[2] == [0, 0, 0, 0, 0, 2]
+
+
+def test_haar_values_shuffle_images_alone(spark):
+    """Values are not added up over a shuffle: what is above the packing of images is one broadcast of the dictionary."""
+    from gridloom import catalog
+
+    plan = catalog.queries()["W24_haar_values_whole"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan.split("Join")[0]
