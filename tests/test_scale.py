@@ -100,3 +100,19 @@ def test_bitmaps_read_as_written():
     a = np.random.default_rng(3).integers(0, 256, (3, 5, 3)).astype(np.uint8)
     assert (formats.parse_bmp(formats.write_bmp(a)) == a[:, :, ::-1]).all()
     assert formats.parse_bmp(b"P5 1 1 255 x") is None
+
+
+def test_kd_leaves_stay_few_beside_the_points(spark):
+    """Queries times chunks is what a search queues, so chunks must not be as small as leaves; blocks of queries give the same."""
+    from gridloom.operators import spatial
+
+    rng = np.random.default_rng(11)
+    a = rng.normal(size=(3000, 4)).round(1)
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(a)], "id long, data array<double>")
+    tree = spatial.kd_tree(df, 10, 2, 4096)
+    assert tree.leaves.count() == 4
+    asked = df.filter("id % 100 = 0")
+    got = {(r["query"], r["place"]): r["id"] for r in spatial.kd_search(tree, asked, 5, block=7).collect()}
+    for i in range(0, 3000, 100):
+        d = ((a - a[i]) ** 2).sum(axis=1)
+        assert [got[i, p + 1] for p in range(5)] == np.lexsort((np.arange(3000), d))[:5].tolist()
