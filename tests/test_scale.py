@@ -130,3 +130,21 @@ def test_image_points_and_descriptors_join_no_cells(spark):
     plans = []
     S.connected(cells, 5, save=lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or df.localCheckpoint())
     assert not any("BroadcastHashJoin" in p for p in plans)
+
+
+def test_edges_sort_no_cells(spark):
+    """Thinning and hysteresis take an image as one row: above its packing are no windows and joins, nor tests that repeat its arrays for each cell."""
+    from gridloom import catalog
+    from gridloom.operators import stencil as S
+
+    for name in ("W11_canny_hysteresis", "W11_canny_thinning"):
+        above = catalog.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString().split("Aggregate")[0]
+        assert not any(x in above for x in ("Window", "Join", "Filter (size", "Relation")), name
+    a = np.random.default_rng(5).normal(size=(5, 7)).round(1)
+    packed = spark.createDataFrame([(1, a.ravel().tolist(), 5, 7)], "image_id long, data array<double>, rows int, columns int")
+    tall = spark.createDataFrame([(1, r, c, float(a[r, c])) for r in range(5) for c in range(7)], "image_id long, r int, c int, v double")
+    want = {(x["r"], x["c"]): (x["gx"], x["gy"], x["magnitude"]) for x in S.gradient(tall).collect()}
+    assert [tuple(x) for x in S.gradient_packed(packed).first()["g"]] == [want[r, c] for r in range(5) for c in range(7)]
+    sides = [(1, 4, [0, 1, 5, 11, 8, 12], [0]), (2, 3, [2, 3], [2]), (None, 3, [1], [1]), (3, 3, [1], [])]
+    cells = S.linked(spark.createDataFrame(sides, "image_id long, columns int, weak array<int>, strong array<int>")).collect()
+    assert sorted(tuple(x) for x in cells if x[0]) == [(1, 0, 0), (1, 0, 1), (1, 1, 1), (1, 2, 0), (1, 3, 0), (2, 0, 2)]
