@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -167,3 +168,81 @@ def earth_movers(x: list[float], wx: list[float], y: list[float], wy: list[float
     elif b.sum() > a.sum():
         cost, a = np.vstack([cost, np.zeros((1, len(b)))]), np.append(a, b.sum() - a.sum())
     return transport(cost, a, b) / min(sum(wx), sum(wy))
+
+
+def box_blocks(boxes: DataFrame, most: int) -> DataFrame:
+    """Boxes (id, x0, y0, x1, y1), none of them null, as rows of up to ``most``, near each other in ``x0`` and sorted by ``y0``, with the bounds of all."""
+    names = ["id", "x0", "y0", "x1", "y1"]
+
+    def packed(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        t = pa.Table.from_batches(held).sort_by("y0").combine_chunks()
+        lists = [pa.ListArray.from_arrays(pa.array([0, len(t)], pa.int32()), pa.array(t.column(c).to_numpy())) for c in names]
+        ends = [pa.array([float(f(t.column(c).to_numpy()))]) for c, f in zip(names[1:], (np.min, np.min, np.max, np.max), strict=True)]
+        return pa.RecordBatch.from_arrays([*lists, *ends], [*names, "left", "top", "right", "bottom"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for b in batches:
+            while b.num_rows:
+                part = b.slice(0, most - n)
+                held.append(part)
+                n, b = n + part.num_rows, b.slice(part.num_rows)
+                if n == most:
+                    yield packed(held)
+                    held, n = [], 0
+        if n:
+            yield packed(held)
+
+    near = boxes.select(*names).repartitionByRange("x0").sortWithinPartitions("x0")
+    return near.mapInArrow(run, "id array<long>, x0 array<double>, y0 array<double>, x1 array<double>, y1 array<double>, left double, top double, right double, bottom double")
+
+
+def overlapping(boxes: DataFrame, most: int = 8192) -> DataFrame:
+    """Pairs of boxes (id, x0, y0, x1, y1) whose overlap is above half of what they cover together: (id, other, iou), the lower id first.
+
+    Boxes are packed into blocks, which are written; blocks whose bounds meet are held against each other, one pair of blocks after
+    the other in a task. An overlap above a half needs one in each axis, which bounds where the other box may begin. Boxes with a null or without finite ends give no pairs.
+    """
+    ends = ["x0", "y0", "x1", "y1"]
+    whole = boxes.filter("id is not null").filter(" and ".join(f"abs({c}) < double('infinity')" for c in ends))
+    blocks = staged(box_blocks(whole, most).withColumn("block", F.monotonically_increasing_id()), "boxes")
+    bounds = ["block", "left", "top", "right", "bottom"]
+    a, b = blocks.select(*bounds), blocks.select(*[F.col(c).alias(f"{c}_") for c in bounds])
+    meet = staged(a.join(b, F.expr("block <= block_ and left <= right_ and left_ <= right and top <= bottom_ and top_ <= bottom")).select("block", "block_"), "blocks")
+    first = blocks.select("block", "id", *ends)
+    second = first.select(*[F.col(c).alias(f"{c}_") for c in first.columns])
+    both = meet.join(first.hint("merge"), "block").join(second.hint("merge"), "block_").repartition(max(meet.count(), 1), "block", "block_")  # about one pair of blocks a task
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                at = lambda c, batch=batch, k=k: batch.column(batch.schema.get_field_index(c))[k].values.to_numpy()
+                same = batch.column(0)[k].as_py() == batch.column(1)[k].as_py()
+                i1, x0, y0, x1, y1 = (at(c) for c in ("id", *ends))
+                i2, u0, v0, u1, v1 = (at(f"{c}_") for c in ("id", *ends))
+                s, t, h = (x1 - x0) * (y1 - y0), (u1 - u0) * (v1 - v0), y1 - y0
+                low, high = np.searchsorted(v0, y0 - h * (1 + 1e-9)), np.searchsorted(v0, y0 + h * (0.5 + 1e-9), "right")
+                low = np.maximum(low, np.arange(1, len(low) + 1)) if same else low
+                found, n = [], 0
+                for j in np.flatnonzero(low < high):
+                    w = slice(low[j], high[j])
+                    inter = np.maximum(np.minimum(u1[w], x1[j]) - np.maximum(u0[w], x0[j]), 0.0)
+                    inter *= np.minimum(v1[w], y1[j]) - np.maximum(v0[w], y0[j])
+                    hit = np.flatnonzero(inter * 3.0000001 > t[w] + s[j])  # wide; the exact test follows
+                    if len(hit):
+                        v = inter[hit]
+                        found.append((np.full(len(hit), i1[j]), i2[w][hit], v / (s[j] + t[w][hit] - v)))
+                        n += len(hit)
+                    if n >= 1 << 16:
+                        yield chosen(found)
+                        found, n = [], 0
+                if found:
+                    yield chosen(found)
+
+    def chosen(found: list) -> pa.RecordBatch:
+        p, q, iou = (np.concatenate(x) for x in zip(*found, strict=True))
+        keep = (iou > 0.5) & (p != q)
+        p, q = p[keep], q[keep]
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (np.minimum(p, q), np.maximum(p, q), iou[keep])], ["id", "other", "iou"])
+
+    return both.select("block", "block_", "id", *ends, "id_", *[f"{c}_" for c in ends]).mapInArrow(run, "id long, other long, iou double")
