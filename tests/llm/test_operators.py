@@ -242,6 +242,22 @@ def test_repeats_of_every_phase_and_period(spark):
     assert by_id(suffix_dedup.suffix_dedup(docs), "n_bytes", "n_removed", "n_spans", "kept_sha256") == want
 
 
+def test_passages_of_many_words_go_only_from_400_bytes_on(spark):
+    rng = random.Random(17)
+    own = lambda: " ".join(f"{rng.getrandbits(48):012x}" for _ in range(60))
+    texts = []
+    for size in (399, 400, 401):
+        passage = " ".join(f"{rng.getrandbits(20):05x}" for _ in range(70))[:size]
+        assert len(passage.split()) > 50 and len(passage) == size
+        texts += [f"{own()} <{passage}> {own()}", f"{own()} ({passage}) {own()}"]
+    passage = "".join(chr(0xE0 + rng.randrange(16)) for _ in range(200))  # 200 characters of two bytes each
+    texts += [f"{own()} <{passage}> {own()}", f"{own()} ({passage}) {own()}"]
+    got = {r["doc_id"]: r for r in suffix_dedup.suffix_dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [(got[i]["n_removed"], got[i]["n_spans"]) for i in range(8)] == [(0, 0)] * 2 + [(400, 1)] * 2 + [(401, 1)] * 2 + [(400, 1)] * 2
+    assert [got[i]["n_bytes"] for i in range(8)] == [len(t.encode()) for t in texts]
+    assert [tuple(got[i][c] for c in ("n_bytes", "n_removed", "n_spans", "kept_sha256")) for i in range(8)] == list(brute.bytes_removed(texts))
+
+
 def test_ranks_keep_the_order_of_pairs(spark):
     pairs = [(3, 1), (1, 9), (3, 1), (1, 9), (1, 2), (2, 5), (2, 5), (2, 4), (2, 4)]
     rows = spark.createDataFrame([(i, a, b, 1) for i, (a, b) in enumerate(pairs)], "uid long, a long, b long, n long")
